@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brainweave.llm import common, exact_dedup, secrets, url_filter
+from brainweave.llm import common, exact_dedup, near_join, packing, secrets, url_filter
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_components(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=1024)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +59,8 @@ SELECT page_id, host, path, rule,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_url_filter": op10_url_filter,
