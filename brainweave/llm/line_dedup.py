@@ -185,3 +185,12 @@ def deletions(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataF
         F.coalesce(F.array_join(F.transform("_ranges", as_text), ","), F.lit("")).alias("deleted"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
+    """docs with text cleaned and n_chars, if there is one, set anew; texts of which nothing is left are dropped."""
+    done = drop_repeated_lines(docs, min_lines, min_words).filter("_ranges IS NULL OR text != ''")
+    if "n_chars" in docs.columns:
+        new = F.length("text").cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col("_ranges").isNull(), F.col("n_chars")).otherwise(new))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])

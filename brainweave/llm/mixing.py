@@ -19,9 +19,11 @@ the budget ends. Rows that share leaf, doc_id and tokens are taken or left toget
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brainweave.llm import common
+
 #: The weights of the registered query.
 WEIGHTS = {
     "domain": {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0},
@@ -30,11 +32,11 @@ WEIGHTS = {
 LEVELS = ("domain", "lang", "source")
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, into: str = "domain") -> DataFrame:
     """The documents table has no domain: it is the source's number modulo 4."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
     return docs.withColumn(
-        "domain", F.when(number != "", F.concat(F.lit("domain"), (number.cast("long") % 4).cast("string"))).otherwise("none")
+        into, F.when(number != "", F.concat(F.lit("domain"), (number.cast("long") % 4).cast("string"))).otherwise("none")
     )
 
 
@@ -68,6 +70,15 @@ def leaf_budgets(
     return plan.select(*levels, "supply", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
+def keys(levels: list[str]) -> list[Column]:
+    """What a row is mixed by: doc_id, the levels and its tokens."""
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in levels],
+        F.coalesce(F.regexp_count("text", F.lit("[^ \t\n\r]+")), F.lit(0)).cast("long").alias("n_tokens"),
+    ]
+
+
 def mix_sources(
     docs: DataFrame,
     levels: tuple[str, ...] = LEVELS,
@@ -82,14 +93,7 @@ def mix_sources(
     The table of leaves is broadcast if it has up to ``small`` rows and shuffled beyond that.
     """
     levels = list(levels)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        *[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in levels],
-        F.coalesce(F.regexp_count("text", F.lit("[^ \t\n\r]+")), F.lit(0)).cast("long").alias("n_tokens"),
-    )
-    from brainweave.llm import common
-
-    rows = common.materialise(rows, "mix-rows")
+    rows = common.materialise(docs.select(*keys(levels)), "mix-rows")
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("supply"))
     plan = common.materialise(leaf_budgets(leaves, levels, weights, fraction, max_epochs), "mix-plan")
     plan = plan.withColumn("epochs", F.when(F.col("supply") > 0, F.least(F.expr("budget div supply"), F.lit(max_epochs))).otherwise(0))
@@ -106,3 +110,16 @@ def mix_sources(
     done = dealt.withColumn("upto", F.sum("n_tokens").over(inside)).join(sums, [*levels, "bucket"])
     took = (F.col("before") + F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)
     return done.select("doc_id", *levels, "n_tokens", (F.col("epochs") + took.cast("int")).cast("long").alias("copies"))
+
+
+def take_mixed(docs: DataFrame, levels: tuple[str, ...] = LEVELS, **how) -> DataFrame:
+    """The rows of docs, each as often as mix_sources takes it; with docs' columns."""
+    taken = mix_sources(docs, levels, **how).filter("copies > 0").distinct()
+    names = ["doc_id", *levels, "n_tokens"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[k.alias(f"_{c}") for c, k in zip(names, keys(list(levels)), strict=True)])
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in names]
+    return (
+        rows.join(taken, same)
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select("_row.*")
+    )

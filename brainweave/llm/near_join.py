@@ -328,3 +328,13 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
         .join(of_set, ["n", "h1", "h2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
     )
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each component the document with the smallest doc_id stays, once.
+
+    Rows without doc_id stay: no row can be named to stay for them. Columns are those of docs.
+    """
+    gone = near_components(docs.select("doc_id", "text")).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone"))
+    left = docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
