@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brainweave.llm import common, exact_dedup, near_join, packing, secrets, url_filter
+import corpus_pipeline
+from brainweave.llm import ann, common, exact_dedup, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deletions(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,25 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=1024)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    scored = quality.quality_scores(docs.select("doc_id", "text", "n_chars"), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix_sources(mixing.with_domain(docs))
+
+
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,6 +56,47 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _weights_sql(level: str) -> str:
+    cases = " ".join(f"WHEN '{v}' THEN {w}" for v, w in mixing.WEIGHTS.get(level, {}).items())
+    return f"(CASE {level} {cases} ELSE 1.0 END)::DOUBLE" if cases else "1.0::DOUBLE"
+
+
+def _level_sql(depth: int) -> str:
+    """The budgets of one level of the tree: b0 has the root's, b1 those of domains, and so on."""
+    nodes = mixing.LEVELS[: depth + 1]
+    level, parents = nodes[-1], nodes[:-1]
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    by = f"{part} ORDER BY cap / w, {level}"
+    above = f"JOIN b{depth} USING ({', '.join(parents)})" if parents else f", b{depth}"
+    return f"""
+n{depth} AS (SELECT {', '.join(nodes)}, sum(supply)::DOUBLE * 2 AS cap, any_value(b) AS b, {_weights_sql(level)} AS w
+  FROM leaf {above} GROUP BY {', '.join(nodes)}),
+l{depth} AS (SELECT *, (b - coalesce(sum(cap) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM n{depth}),
+b{depth + 1} AS (SELECT {', '.join(nodes)}, greatest(0, least(cap, w * max(l) OVER ({part}))) AS b FROM l{depth})"""
+
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+    CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) <> ''
+         THEN 'domain' || (regexp_extract(source, '([0-9]+)$', 1)::BIGINT % 4)::VARCHAR ELSE 'none' END AS domain,
+    coalesce(len(regexp_extract_all(text, '[^ 	
+]+')), 0)::BIGINT AS n_tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM d GROUP BY ALL),
+b0 AS (SELECT floor(sum(supply)::BIGINT * 0.6::DOUBLE) AS b FROM leaf),{",".join(map(_level_sql, range(3)))},
+plan AS (SELECT domain, lang, source, supply, floor(b + 1e-6)::BIGINT AS budget FROM leaf JOIN b3 USING (domain, lang, source)),
+e AS (SELECT *, CASE WHEN supply > 0 THEN least(budget // supply, 2) ELSE 0 END AS epochs FROM plan),
+r AS (SELECT *, CASE WHEN epochs < 2 THEN budget - epochs * supply ELSE 0 END AS rest FROM e),
+k AS (SELECT d.*, epochs, rest, md5('17:' || epochs::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM d JOIN r USING (domain, lang, source)),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id NULLS FIRST, n_tokens
+  RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+SELECT doc_id, domain, lang, source, n_tokens,
+       (epochs + CASE WHEN upto <= rest AND rest > 0 THEN 1 ELSE 0 END)::BIGINT AS copies FROM c
+"""
+
 OP8_SQL = f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
@@ -59,8 +125,14 @@ SELECT page_id, host, path, rule,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_html_text": op5_html_text,
+        "op6_source_mixing": op6_source_mixing,
+        "op7_nearest_vectors": op7_nearest_vectors,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_url_filter": op10_url_filter,
@@ -68,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op6_source_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
