@@ -31,8 +31,11 @@ STATE = T.StructType(
         T.StructField("group_size", T.LongType()),
     ]
 )
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Without preallocation a store of few keys takes what it holds, not some 4 MB for its manifest.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def digest_of(text):
@@ -54,8 +57,9 @@ def stream_state(prints: DataFrame, checkpoint: str, updates: str) -> DataFrame:
             "overwrite"
         ).parquet(f"{updates}/batch={n}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -66,7 +70,8 @@ def stream_state(prints: DataFrame, checkpoint: str, updates: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # state only grows, so of several updates of a digest the one with the largest count is the last
     return (
         spark.read.schema(STATE)
