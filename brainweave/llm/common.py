@@ -25,13 +25,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brainweave/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    files: at most so many; a small table in hundreds of files costs more to write and list than to compute.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(spark: SparkSession, rows: int, each: int = 50_000, least: int | None = None) -> int:
+    """Files for a table of so many rows: one per ``each`` rows, and one per core (or ``least``) at least."""
+    return max(spark.sparkContext.defaultParallelism if least is None else least, -(-rows // each))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

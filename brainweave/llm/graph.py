@@ -20,11 +20,14 @@ def connected_components(edges: DataFrame, limit: int = 50) -> DataFrame:
     Each round shuffles the edges four times and writes them to the shared folder; the number of rounds grows with
     the logarithm of the longest path. No node's neighbours are ever collected.
     """
+    spark = edges.sparkSession
+    files = common.files_for(spark, edges.count(), 500_000, 1)
     stars = common.materialise(
         edges.filter("a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
+        files,
     )
     mark = None
     for _ in range(limit):
@@ -32,7 +35,7 @@ def connected_components(edges: DataFrame, limit: int = 50) -> DataFrame:
         large = _nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _nearest(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
-        stars = common.materialise(small.filter("u != v").distinct(), "edges")
+        stars = common.materialise(small.filter("u != v").distinct(), "edges", files)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -209,22 +209,22 @@ def similar(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, num: int, den: int, bound: int = 1_000_000) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, num: int, den: int, files: int, bound: int = 1_000_000) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar. nodes: (vid, h1).
 
     The texts of these nodes are read again; up to ``bound`` ids are broadcast to find them, else they are shuffled.
     """
-    pairs = common.materialise(pairs.select("a", "b").distinct(), "pairs")
+    pairs = common.materialise(pairs.select("a", "b").distinct(), "pairs", files)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-    ids = common.materialise(ids.join(nodes.select("vid", F.col("h1").alias("_h1")), "vid"), "pair-ids")
+    ids = common.materialise(ids.join(nodes.select("vid", F.col("h1").alias("_h1")), "vid"), "pair-ids", files)
     side = F.broadcast(ids.select("vid")) if ids.count() <= bound else ids.select("vid")
     texts = docs.join(side, F.col("doc_id") == F.col("vid"), "left_semi")
     sets = full_sets(texts).join(ids, (F.col("doc_id") == F.col("vid")) & (F.col("h1") == F.col("_h1")))
-    sets = common.materialise(sets.select("vid", "shingles"), "sets")
+    sets = common.materialise(sets.select("vid", "shingles"), "sets", 8 * files)
     both = pairs.join(sets.select(F.col("vid").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("vid").alias("a"), F.col("shingles").alias("sa")), "a"
     )
-    return common.materialise(similar(both, num, den), "links")
+    return common.materialise(similar(both, num, den), "links", files)
 
 
 # ---- the join
@@ -235,13 +235,14 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = order_table(docs, table, least)
     rows = common.materialise(prefixes(docs, order, num, den), "prefixes")
+    files = common.files_for(docs.sparkSession, rows.count())
 
     # nodes: distinct sets; groups: nodes of one size and prefix
     sets = rows.filter("n > 0").groupBy("n", "h1", "h2", "p1", "p2").agg(F.min("doc_id").alias("vid"))
-    sets = common.materialise(sets.filter("vid IS NOT NULL"), "sets")
+    sets = common.materialise(sets.filter("vid IS NOT NULL"), "sets", files)
     key = ["n", "p1", "p2"]
     groups = sets.groupBy(*key).agg(F.min("vid").alias("gid"), F.count(F.lit(1)).alias("members"))
-    nodes = common.materialise(sets.join(groups, key), "nodes")
+    nodes = common.materialise(sets.join(groups, key), "nodes", files)
 
     ratio = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)  # noqa: E731  the sizes allow a link
     need = lambda n: F.ceil(n * num / den)
@@ -260,7 +261,7 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
         .withColumn("pivot", F.first(me).over(in_band))
         .drop("next", "band")
     )
-    shared = common.materialise(shared, "shared-postings")
+    shared = common.materialise(shared, "shared-postings", 2 * files)
 
     # 1: members to pivots, where many of the prefixes' shingles say so; members of a group to its first
     likely = (
@@ -272,14 +273,14 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
         .select("a", "b")
     )
     inside = nodes.filter("members > 1 AND vid != gid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
-    links = verified(docs, likely.union(inside), nodes, num, den)
-    found = common.materialise(graph.connected_components(links), "components")
+    links = verified(docs, likely.union(inside), nodes, num, den, files)
+    found = common.materialise(graph.connected_components(links), "components", files)
 
     # 2: all pairs of groups that are not of one component
     state = nodes.join(found, F.col("vid") == F.col("id"), "left").select(
         "vid", "gid", "n", "members", F.coalesce("component", "vid").alias("comp")
     )
-    state = common.materialise(state, "states")
+    state = common.materialise(state, "states", files)
     one = state.groupBy("gid").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"))
     every = Window.partitionBy("tok")
     lists = (
@@ -316,7 +317,7 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
         .filter("a < b AND ca != cb")
         .select("a", "b")
     )
-    more = verified(docs, across.union(within), nodes, num, den)
+    more = verified(docs, across.union(within), nodes, num, den, files)
     stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = graph.connected_components(stars.union(more))
 
