@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "hybrid_search"
-MODULES = ()
+MODULES = ("searching", "texts", "linking", "capturing")
 
 
 def queries() -> dict[str, Callable]:
