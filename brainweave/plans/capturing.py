@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from brainweave.operators import stitch
 from brainweave.plans import roles
+from brainweave.sources import sinks
 from brainweave.sources.tables import table
+from brainweave.streaming import capture
 
 
 def _stitched(spark: SparkSession, sf: str, gap: int, feedback: bool = False) -> DataFrame:
@@ -43,6 +45,34 @@ def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """events as a stream of files."""
+    batch = table(spark, sf, "events")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf}/events*.parquet")
+    return stream.select(
+        "user_id", F.lit("chat").alias("channel"), "ts", F.col("event_id").alias("message_id"), (F.col("event_type") == "signup").alias("is_command"), F.lit(False).alias("is_feedback"), "event_type"
+    )
+
+
+def _drained(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
+    work = sinks.scratch(spark, "stream")
+    capture.drain(stream, f"{work}/checkpoint", sinks.append_batch(f"{work}/out"))
+    return spark.read.schema(schema).parquet(f"{work}/out")
+
+
+def stitch_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream form of stitch_6_hours: entries that are closed when the stream has been read."""
+    found = _drained(spark, capture.stitch_stream(_events_stream(spark, sf), 21_600), capture.OUT)
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "messages")
+
+
+def hourly_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of an hour that the watermark has passed when the stream has been read."""
+    counted = capture.hourly_counts(_events_stream(spark, sf)).select(F.col("window.start").alias("hour"), "event_type", "n")
+    found = _drained(spark, counted, "hour timestamp, event_type string, n long")
+    return found.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
 def _sql(gap: int, select: str, feedback: str = "FALSE") -> str:
     return f"""WITH m AS (SELECT event_id, user_id, ts, event_type, {feedback} AS fb FROM events WHERE event_type <> 'signup'),
 c AS (SELECT user_id, ts FROM events WHERE event_type = 'signup'),
@@ -67,6 +97,19 @@ QUERIES = {
         ready_entries,
         _sql(21_600, f"SELECT user_id, entry_no, max(ts) AS window_end FROM n GROUP BY user_id, entry_no HAVING max(ts) < TIMESTAMP '{roles.AS_OF}' - INTERVAL 600 SECOND"),
     ),
+    "stitch_stream": (
+        stitch_stream,
+        _sql(
+            21_600,
+            """, e AS (SELECT user_id, entry_no, min(ts) AS window_start, max(ts) AS window_end, count(*) AS messages, max(entry_no) OVER (PARTITION BY user_id) AS last FROM n GROUP BY user_id, entry_no)
+SELECT user_id, window_start, window_end, messages FROM e WHERE entry_no < last OR window_end + INTERVAL 21600 SECOND < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+        ),
+    ),
+    "hourly_stream": (
+        hourly_stream,
+        """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events
+           WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+    ),
     "hourly_events": (
         hourly_events,
         "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "hybrid_search"
-MODULES = ("searching", "texts", "linking", "capturing")
+MODULES = ("searching", "texts", "linking", "capturing", "states", "reviewing")
 
 
 def queries() -> dict[str, Callable]:

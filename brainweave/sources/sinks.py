@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brainweave.functions import text
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share: that of spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="brainweave-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/brainweave/{name}-{uuid.uuid4().hex}"
+
+
 def json_answer(hits: DataFrame, order: list[Column]) -> DataFrame:
     """One row: {"count": n, "hits": [...]} of a limited read, in order."""
     numbered = F.sort_array(F.collect_list(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*hits.columns).alias("hit"))))
