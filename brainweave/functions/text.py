@@ -98,7 +98,7 @@ def truncate(text: Column, size: int = 200) -> Column:
 
 
 def is_feedback(text: Column) -> Column:
-    return F.lower(F.ltrim(text)).startswith(FEEDBACK_PREFIX)
+    return F.lower(strip(text)).startswith(FEEDBACK_PREFIX)
 
 
 def is_new_note(text: Column) -> Column:
