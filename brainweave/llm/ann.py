@@ -242,7 +242,7 @@ def cosine_udf(dim: int):
 
 def nearest(
     embeddings: DataFrame,
-    is_query: Column,
+    is_query: Column | str,
     k: int = 5,
     shortlist: int = 256,
     fit_rows: int = 16_384,

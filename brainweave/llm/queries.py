@@ -39,7 +39,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
