@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from brainweave.llm import common
 
-BOOKS, WORDS, BEAM = 16, 256, 4
+BOOKS, WORDS, BEAM = 24, 256, 4
 RESULT = "query_id long, rank int, vec_id long, score double"
 #: Bytes of query vectors that are broadcast at once.
 QUERY_BYTES = 8 << 20
@@ -192,10 +192,10 @@ def best_by_tables(index: DataFrame, ids: np.ndarray, queries: np.ndarray, quant
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, q = kept.value
-        table = pa.Table.from_batches(list(batches))  # a partition's codes: some tens of bytes a row
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(held).combine_chunks()  # a partition's codes: some tens of bytes a row
         codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(-1, len(q.books))
         norm = np.maximum(table["norm"].to_numpy(), 1e-9)
         members = table["members"].combine_chunks()
@@ -244,7 +244,7 @@ def nearest(
     embeddings: DataFrame,
     is_query: Column | str,
     k: int = 5,
-    shortlist: int = 256,
+    shortlist: int = 128,
     fit_rows: int = 16_384,
     vec_id: str = "vec_id",
     vector: str = "embedding",
