@@ -40,10 +40,13 @@ def files_for(spark: SparkSession, rows: int, each: int = 50_000, least: int | N
     return max(spark.sparkContext.defaultParallelism if least is None else least, -(-rows // each))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def remove(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

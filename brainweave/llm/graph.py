@@ -14,6 +14,12 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then each v is the smallest node of its component."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).union(pairs.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).filter("ups > 1 OR (ups > 0 AND downs > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, limit: int = 50) -> DataFrame:
     """(id, component): for every node of edges (a, b), the smallest node that it reaches.
 
@@ -29,17 +35,15 @@ def connected_components(edges: DataFrame, limit: int = 50) -> DataFrame:
         "edges",
         files,
     )
-    mark = None
     for _ in range(limit):
+        if _are_stars(stars):
+            break
         both = stars.union(stars.select("v", "u"))
         large = _nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _nearest(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
-        stars = common.materialise(small.filter("u != v").distinct(), "edges", files)
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        stars, old = common.materialise(small.filter("u != v").distinct(), "edges", files), stars
+        common.remove(old)
     else:
         raise RuntimeError(f"components not settled after {limit} rounds")
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(

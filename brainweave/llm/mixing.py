@@ -112,14 +112,20 @@ def mix_sources(
     return done.select("doc_id", *levels, "n_tokens", (F.col("epochs") + took.cast("int")).cast("long").alias("copies"))
 
 
-def take_mixed(docs: DataFrame, levels: tuple[str, ...] = LEVELS, **how) -> DataFrame:
-    """The rows of docs, each as often as mix_sources takes it; with docs' columns."""
-    taken = mix_sources(docs, levels, **how).filter("copies > 0").distinct()
-    names = ["doc_id", *levels, "n_tokens"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[k.alias(f"_{c}") for c, k in zip(names, keys(list(levels)), strict=True)])
-    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in names]
+def take_mixed(docs: DataFrame, levels: tuple[str, ...] = LEVELS, bound: int = 1_000_000, **how) -> DataFrame:
+    """The rows of docs, each as often as mix_sources takes it; with docs' columns.
+
+    Rows that agree in id, levels and tokens are taken alike, so they are found by their id and a hash of these. Up to
+    ``bound`` of these pairs (20 bytes each) are broadcast, so that texts aren't shuffled; more are joined by a shuffle.
+    """
+    names = [*levels, "n_tokens"]
+    taken = mix_sources(docs, levels, **how).filter("copies > 0").select("doc_id", F.xxhash64(*names).alias("_of"), F.col("copies").cast("int").alias("_copies"))
+    taken = common.materialise(taken.distinct().withColumnRenamed("doc_id", "_id"), "taken", common.files_for(docs.sparkSession, 1))
+    own = dict(zip(["doc_id", *names], keys(list(levels)), strict=True))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), own["doc_id"].alias("_d"), F.xxhash64(*[own[c] for c in names]).alias("_h"))
+    same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of"))
     return (
-        rows.join(taken, same)
-        .select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        rows.join(F.broadcast(taken) if taken.count() <= bound else taken, same)
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select("_row.*")
     )

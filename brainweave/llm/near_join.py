@@ -33,6 +33,9 @@ from brainweave.llm import common, graph, shingles
 
 #: Shingles whose frequency is broadcast, and the least frequency that counts as frequent.
 TABLE, FREQUENT = 1 << 20, 6
+#: Words of 64 bits in a set's sketch.
+SKETCH = 4
+SKETCHED = [f"k{i}" for i in range(SKETCH)]
 #: Shingles that a task counts before it hands them on.
 FLUSH = 4_000_000
 
@@ -132,12 +135,16 @@ def needed(n: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, order, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n, two hashes of the set, two of its prefix, the place of the prefix's last shingle, the prefix."""
+    """Per row: doc_id, n, two hashes of the set, two of its prefix, the place of the prefix's last shingle, the set's sketch, the prefix.
+
+    A sketch has a bit per 1 / 256 of all hashes: whether the set has an odd number of shingles there. Where two sketches
+    differ, the sets differ in a shingle at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, keys, classes, seen = order.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(7 + SKETCH)]
             for s in shingles.shingle_hashes(batch.column(1)):
                 n, last = len(s), 0
                 h1 = int(s.sum(dtype=np.uint64))
@@ -158,11 +165,13 @@ def prefixes(docs: DataFrame, order, num: int, den: int) -> DataFrame:
                     last = (int(cls[by[-1]]) if cls is not None else 0) << 56 | int(prefix[-1]) >> 8
                 p1 = int((prefix * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
                 p2 = int(shingles.mix(prefix).sum(dtype=np.uint64))
-                for c, v in zip(cols, (n, h1, h2, p1, p2, last, prefix.view(np.int64)), strict=True):
+                odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                for c, v in zip(cols, (n, h1, h2, p1, p2, last, *sketch, prefix.view(np.int64)), strict=True):
                     c.append(v)
-            longs = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols[1:6]]
-            ends = np.cumsum([0, *map(len, cols[6])])
-            flat = np.concatenate(cols[6]) if cols[6] else np.zeros(0, np.int64)
+            longs = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols[1:-1]]
+            ends = np.cumsum([0, *map(len, cols[-1])])
+            flat = np.concatenate(cols[-1]) if cols[-1] else np.zeros(0, np.int64)
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -170,10 +179,10 @@ def prefixes(docs: DataFrame, order, num: int, den: int) -> DataFrame:
                     *longs,
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                ["doc_id", "n", "h1", "h2", "p1", "p2", "last", "prefix"],
+                ["doc_id", "n", "h1", "h2", "p1", "p2", "last", *SKETCHED, "prefix"],
             )
 
-    schema = "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, last long, prefix array<long>"
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "n", "h1", "h2", "p1", "p2", "last", *SKETCHED)) + ", prefix array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -209,12 +218,26 @@ def similar(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def sketches_allow(num: int, den: int):
+    """Whether sets of sizes n and n_b may be similar by their sketches; unknown sketches allow everything.
+
+    Sets of similarity num / den differ in (den - num) / (den + num) of their sizes' sum at most.
+    """
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCHED), F.lit(0))
+    return F.coalesce(differ * (num + den) <= (den - num) * (F.col("n") + F.col("n_b")), F.lit(True))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, num: int, den: int, files: int, bound: int = 1_000_000) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar. nodes: (vid, h1).
 
-    The texts of these nodes are read again; up to ``bound`` ids are broadcast to find them, else they are shuffled.
+    Pairs whose sketches differ too much are dropped; the texts of the others' nodes are read again. Up to ``bound`` ids
+    are broadcast to find them, else they are shuffled.
     """
-    pairs = common.materialise(pairs.select("a", "b").distinct(), "pairs", files)
+    a = nodes.select(F.col("vid").alias("a"), "n", *SKETCHED)
+    b = nodes.select(F.col("vid").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in SKETCHED])
+    pairs = pairs.select("a", "b").distinct()
+    pairs = pairs.join(a, "a").join(b, (pairs["b"] == b["b"]) & sketches_allow(num, den)).select("a", pairs["b"])
+    pairs = common.materialise(pairs, "pairs", files)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
     ids = common.materialise(ids.join(nodes.select("vid", F.col("h1").alias("_h1")), "vid"), "pair-ids", files)
     side = F.broadcast(ids.select("vid")) if ids.count() <= bound else ids.select("vid")
@@ -224,32 +247,40 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, num: int, den:
     both = pairs.join(sets.select(F.col("vid").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("vid").alias("a"), F.col("shingles").alias("sa")), "a"
     )
-    return common.materialise(similar(both, num, den), "links", files)
+    links = common.materialise(similar(both, num, den), "links", files)
+    common.remove(pairs, ids, sets)
+    return links
 
 
 # ---- the join
 
 
-def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int = TABLE, least: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of docs (doc_id, text). num / den: the least similarity."""
+def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int = TABLE, least: int = FREQUENT, bound: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of docs (doc_id, text). num / den: the least similarity.
+
+    bound: so many groups are broadcast to find their prefixes; more are shuffled.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = order_table(docs, table, least)
     rows = common.materialise(prefixes(docs, order, num, den), "prefixes")
     files = common.files_for(docs.sparkSession, rows.count())
 
     # nodes: distinct sets; groups: nodes of one size and prefix
-    sets = rows.filter("n > 0").groupBy("n", "h1", "h2", "p1", "p2").agg(F.min("doc_id").alias("vid"))
-    sets = common.materialise(sets.filter("vid IS NOT NULL"), "sets", files)
     key = ["n", "p1", "p2"]
+    sets = rows.filter("n > 0").groupBy(*key, "h1", "h2").agg(F.min("doc_id").alias("vid"), *[F.first(c).alias(c) for c in ("last", *SKETCHED)]).filter("vid IS NOT NULL")
     groups = sets.groupBy(*key).agg(F.min("vid").alias("gid"), F.count(F.lit(1)).alias("members"))
     nodes = common.materialise(sets.join(groups, key), "nodes", files)
+    slim = common.materialise(rows.select("doc_id", "n", "h1", "h2"), "rows", files)
 
     ratio = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)  # noqa: E731  the sizes allow a link
     need = lambda n: F.ceil(n * num / den)
+    firsts = nodes.filter("vid = gid").select("gid", "h1", "h2")
+    few = firsts.count() <= bound  # then the prefixes needn't be shuffled to be found
     postings = (
-        groups.join(rows.select(F.col("doc_id").alias("gid"), *key, "last", "prefix"), ["gid", *key])
-        .select("gid", "n", "last", F.explode("prefix").alias("tok"))
-        .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n")))
+        rows.select(F.col("doc_id").alias("gid"), "n", "h1", "h2", "prefix")
+        .join(F.broadcast(firsts) if few else firsts, ["gid", "h1", "h2"])
+        .select("gid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
+        .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n")).cast("int"))
     )
     in_list = Window.partitionBy("tok").orderBy("band", "n", "gid")
     in_band = Window.partitionBy("tok", "band").orderBy("n", "gid")
@@ -262,41 +293,49 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
         .drop("next", "band")
     )
     shared = common.materialise(shared, "shared-postings", 2 * files)
+    common.remove(rows)
 
-    # 1: members to pivots, where many of the prefixes' shingles say so; members of a group to its first
+    # 1: members to pivots, where some of the prefixes' shingles say so; members of a group to its first
     likely = (
         shared.select("gid", "n", F.explode(F.array_distinct(F.array("prev", "pivot"))).alias("o"))
         .filter(F.col("o.gid").isNotNull() & (F.col("o.gid") != F.col("gid")) & ratio(F.col("n"), F.col("o.n")))
         .groupBy(F.col("o.gid").alias("a"), F.col("gid").alias("b"), F.least("n", "o.n").alias("n"))
         .count()
-        .filter(F.col("count") >= 0.3 * (F.col("n") - need(F.col("n")) + 1))
+        .filter(F.col("count") >= 0.04 * (F.col("n") - need(F.col("n")) + 1))
         .select("a", "b")
     )
     inside = nodes.filter("members > 1 AND vid != gid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
     links = verified(docs, likely.union(inside), nodes, num, den, files)
-    found = common.materialise(graph.connected_components(links), "components", files)
+    found = graph.connected_components(links)
 
     # 2: all pairs of groups that are not of one component
     state = nodes.join(found, F.col("vid") == F.col("id"), "left").select(
-        "vid", "gid", "n", "members", F.coalesce("component", "vid").alias("comp")
+        "vid", "gid", "n", "members", "last", *SKETCHED, F.coalesce("component", "vid").alias("comp")
     )
     state = common.materialise(state, "states", files)
-    one = state.groupBy("gid").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"))
+    # a sketch for the groups of one member; others may hold anything
+    only = lambda c: F.when(F.count(F.lit(1)) == 1, F.first(c)).alias(c)
+    one = state.groupBy("gid").agg(
+        F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"), F.first("last").alias("last"), *map(only, SKETCHED)
+    )
     every = Window.partitionBy("tok")
     lists = (
-        shared.select("tok", "gid", "n", "last")
+        shared.select("tok", "gid", "n")
         .join(one, "gid")
         .withColumn("open", (F.min("comp").over(every) != F.max("comp").over(every)) | F.max("mixed").over(every))
         .filter("open")
         .drop("open")
     )
-    other = lists.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("gid", "n", "last", "comp", "mixed")])
+    fields = ("gid", "n", "last", "comp", "mixed", *SKETCHED)
+    other = lists.select(*[F.col(c).alias(f"{c}_b") for c in ("tok", *fields)])
     pairs = (
-        lists.join(other, "tok")
-        .filter(
-            (F.col("gid") < F.col("gid_b"))
+        lists.join(
+            other,
+            (F.col("tok") == F.col("tok_b"))
+            & (F.col("gid") < F.col("gid_b"))
             & ratio(F.col("n"), F.col("n_b"))
             & (F.col("mixed") | F.col("mixed_b") | (F.col("comp") != F.col("comp_b")))
+            & sketches_allow(num, den),
         )
         .groupBy("gid", "gid_b", "n", "n_b", "last", "last_b")
         .count()
@@ -307,16 +346,14 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
         F.col("last") > F.col("last_b"), rest_b
     ).otherwise(F.greatest(rest, rest_b))
     pairs = pairs.filter((num + den) * most >= num * (F.col("n") + F.col("n_b"))).select("gid", "gid_b")
-    left = state.select("gid", F.col("vid").alias("a"), F.col("comp").alias("ca"))
-    right = state.select(F.col("gid").alias("gid_b"), F.col("vid").alias("b"), F.col("comp").alias("cb"))
-    across = pairs.join(left, "gid").join(right, "gid_b").filter("ca != cb").select("a", "b")
+    sides = [F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n"), *SKETCHED]
+    sides_b = [F.col("vid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in SKETCHED]]
+    left, right = state.select("gid", *sides), state.select(F.col("gid").alias("gid_b"), *sides_b)
+    apart = (F.col("ca") != F.col("cb")) & sketches_allow(num, den)
+    across = pairs.join(left, "gid").join(right, (pairs["gid_b"] == right["gid_b"]) & apart).select("a", "b")
     mixed = state.filter("members > 1").join(one.filter("mixed").select("gid"), "gid", "left_semi")
-    within = (
-        mixed.select("gid", F.col("vid").alias("a"), F.col("comp").alias("ca"))
-        .join(mixed.select("gid", F.col("vid").alias("b"), F.col("comp").alias("cb")), "gid")
-        .filter("a < b AND ca != cb")
-        .select("a", "b")
-    )
+    within_a, within_b = mixed.select(F.col("gid").alias("g"), *sides), mixed.select(F.col("gid").alias("g_b"), *sides_b)
+    within = within_a.join(within_b, (F.col("g") == F.col("g_b")) & (F.col("a") < F.col("b")) & apart).select("a", "b")
     more = verified(docs, across.union(within), nodes, num, den, files)
     stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = graph.connected_components(stars.union(more))
@@ -325,17 +362,24 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
         "n", "h1", "h2", F.coalesce("component", "vid").alias("component_id")
     )
     return (
-        rows.select("doc_id", "n", "h1", "h2")
-        .join(of_set, ["n", "h1", "h2"], "left")
+        slim.join(of_set, ["n", "h1", "h2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
     )
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """docs without near copies: of each component the document with the smallest doc_id stays, once.
 
-    Rows without doc_id stay: no row can be named to stay for them. Columns are those of docs.
+    Rows without doc_id stay: no row can be named to stay for them. Columns are those of docs. Up to ``bound`` ids (8 bytes each)
+    are broadcast, so that texts aren't shuffled; more are joined by a shuffle. Only rows whose id repeats are compared.
     """
-    gone = near_components(docs.select("doc_id", "text")).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    d = F.col("doc_id").cast("long")
+    side = lambda ids: F.broadcast(ids) if ids.count() <= bound else ids
+    gone = near_components(docs.select("doc_id", "text")).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(side(common.materialise(gone, "gone", 1)), d == F.col("_gone"), "left_anti")
+    twice = docs.filter("doc_id IS NOT NULL").groupBy(d.alias("_twice")).count().filter("count > 1").select("_twice")
+    twice = common.materialise(twice, "twice", 1)
+    if twice.isEmpty():
+        return left
+    again = left.join(side(twice), d == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(side(twice), d == F.col("_twice"), "left_anti").unionByName(again)
