@@ -9,7 +9,7 @@ are counted over all shingles of all documents. Of the counts, the ``table`` lar
 can be broadcast) decide the order; all other shingles are ordered by hash. Any order gives the same links.
 
 Large groups of near copies: a list of documents that share a shingle is first joined only to its pivots (its smallest
-member of about that size, and each member's neighbour), which takes as many pairs as the list has members. What that
+member of about that size, and each member's two neighbours), which takes as many pairs as the list has members. What that
 links is one component; afterwards only pairs of different components are still looked at, all of them. So no link
 between components is lost, and a group of copies costs pairs in proportion to its size.
 
@@ -287,6 +287,7 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
     me = F.struct("gid", "n")
     shared = (
         postings.withColumn("prev", F.lag(me).over(in_list))
+        .withColumn("before", F.lag(me, 2).over(in_list))
         .withColumn("next", F.lead("gid").over(in_list))
         .filter("prev IS NOT NULL OR next IS NOT NULL")
         .withColumn("pivot", F.first(me).over(in_band))
@@ -297,11 +298,11 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
 
     # 1: members to pivots, where some of the prefixes' shingles say so; members of a group to its first
     likely = (
-        shared.select("gid", "n", F.explode(F.array_distinct(F.array("prev", "pivot"))).alias("o"))
+        shared.select("gid", "n", F.explode(F.array_distinct(F.array("prev", "before", "pivot"))).alias("o"))
         .filter(F.col("o.gid").isNotNull() & (F.col("o.gid") != F.col("gid")) & ratio(F.col("n"), F.col("o.n")))
         .groupBy(F.col("o.gid").alias("a"), F.col("gid").alias("b"), F.least("n", "o.n").alias("n"))
         .count()
-        .filter(F.col("count") >= 0.04 * (F.col("n") - need(F.col("n")) + 1))
+        .filter(F.col("count") >= 0.02 * (F.col("n") - need(F.col("n")) + 1))
         .select("a", "b")
     )
     inside = nodes.filter("members > 1 AND vid != gid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
