@@ -5,6 +5,8 @@ Every text is the sequence of its lines (split at \\n), every line an ID (two 64
 the longest at a position is its maximal repeated run. Runs of ``min_lines`` lines or ``min_words`` words (blanks plus
 one, line by line) and more count: every line that such a run covers is deleted, so the earliest copy of each run stays.
 
+Equal texts are collapsed first: all but the first copy are one run as a whole, and aren't ranked.
+
 Prefix doubling: level k ranks all positions by their next 2^k lines. A rank is the number of positions that sort
 before, so with its count it is an interval of the suffix array, all of whose suffixes share 2^k lines. A level is the
 join of the last one with itself at a distance of 2^k; ranks come from the distinct pairs (range-sorted, with one sum
@@ -28,6 +30,8 @@ from brainweave.llm import common
 
 AT = ["d", "th", "i"]
 NO_ID = -(1 << 63)
+#: So many keys, or ranges, are broadcast; more are shuffled.
+BOUND = 1_000_000
 
 
 def _place(docs: DataFrame) -> DataFrame:
@@ -53,12 +57,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def ranks(keys: DataFrame) -> DataFrame:
-    """keys (r, r2, n): with rank, the number of positions under smaller keys."""
+def ranks(keys: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
+    """keys (r, r2, n): with rank, the number of positions under smaller keys; and the table that this reads."""
     spark = keys.sparkSession
     parts = common.parallelism(spark)
     dealt = common.materialise(
-        keys.repartitionByRange(parts, "r", "r2").withColumn("part", F.spark_partition_id()), "ranges"
+        keys.repartitionByRange(parts, "r", "r2").withColumn("part", F.spark_partition_id()), "ranges", files
     )
     sums = dict(dealt.groupBy("part").agg(F.sum("n")).collect())  # a row per range
     before, shift = 0, []
@@ -67,21 +71,27 @@ def ranks(keys: DataFrame) -> DataFrame:
         before += sums[p]
     shifts = spark.createDataFrame(shift, "part int, shift long")
     inside = Window.partitionBy("part").orderBy("r", "r2").rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    ranked = (
         dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(F.broadcast(shifts), "part")
         .select("r", "r2", (F.col("shift") + F.col("inside")).alias("rank"))
     )
+    return ranked, dealt
 
 
 def levels(lines: DataFrame) -> list[DataFrame]:
     """Per level k: d, th, i, rank (and w, at level 0) of the positions whose next 2^k lines stand elsewhere, too."""
-    found, pairs, k = [], lines, 0
+    spark = lines.sparkSession
+    found, pairs, k, rows = [], lines, 0, lines.count()
     while True:
+        files = common.files_for(spark, rows, 1_000_000, 1 if rows < 100_000 else None)
         keys = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         extra = ["w"] if not found else []
-        level = common.materialise(pairs.join(ranks(keys), ["r", "r2"]).select(*AT, "rank", *extra), f"level-{k}")
-        if level.isEmpty():
+        ranked, dealt = ranks(keys, files)
+        level = common.materialise(pairs.join(ranked, ["r", "r2"]).select(*AT, "rank", *extra), f"level-{k}", files)
+        common.remove(dealt)
+        rows = level.count()
+        if not rows:
             return found
         found.append(level)
         ahead = level.select("d", "th", (F.col("i") - (1 << k)).alias("i"), F.col("rank").alias("r2"))
@@ -92,6 +102,8 @@ def levels(lines: DataFrame) -> list[DataFrame]:
 def longest_repeats(ranked: list[DataFrame]) -> DataFrame:
     """d, th, i, len: the most lines that position shares with an earlier one, where that is at least one."""
     node = ["nd", "nt", "ni", "len"]
+    spark, old = ranked[0].sparkSession, None
+    files = common.files_for(spark, ranked[0].count(), 1_000_000)
     zero = F.lit(0).cast("long")
     roles = ranked[0].select(
         *[zero.alias(c) for c in ("nd", "nt")], *[F.lit(0).alias(c) for c in ("ni", "len")], *AT, F.lit(True).alias("asks")
@@ -119,16 +131,43 @@ def longest_repeats(ranked: list[DataFrame]) -> DataFrame:
         roles = common.materialise(
             here.join(groups, [*node, "rank"], "left").select(*AT, F.explode(moves).alias("to")).select(*AT, "to.*"),
             f"roles-{k}",
+            files,
         )
+        if old is not None:
+            common.remove(old)
+        old = roles
     return roles.filter("asks AND len > 0").select(*AT, "len")
 
 
+def whole_copies(docs: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """d, th of all but the first of the documents of equal text; and of those that qualify the range of all lines.
+
+    A later copy holds nothing that its first one doesn't, so it is no one's earlier position: it needn't be ranked. It is one
+    run as a whole, and where that is too short, so are all its parts.
+    """
+    size = _place(docs).select(
+        F.col("_d").alias("d"), F.col("_th").alias("th"), F.xxhash64(F.lit(29), F.coalesce("text", F.lit(""))).alias("th2"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"),
+        (F.length("text") - F.length(F.translate("text", " \n", "")) + 1).alias("w"),
+    )
+    first = size.groupBy("th", "th2").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.first("n").alias("n"), F.first("w").alias("w"))
+    several = first.filter("first < last").drop("last")
+    rest = size.select("d", "th", "th2").join(several, ["th", "th2"]).filter("d != first").distinct()
+    rest = common.materialise(rest.select("d", "th", "n", "w"), "copies", common.files_for(docs.sparkSession, several.count(), 1_000_000, 1))
+    long = rest.filter((F.col("n") >= min_lines) | (F.col("w") >= min_words))
+    return rest.select("d", "th"), long.select("d", "th", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").cast("int").alias("hi"))).alias("ranges"))
+
+
 def repeated_ranges(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
     """d, th, ranges: per document with deletions, the sorted line ranges (lo, hi; hi exclusive) to delete."""
-    lines = common.materialise(lines_of(docs), "lines")
+    copies, whole = whole_copies(docs, min_lines, min_words)
+    own = lines_of(docs)
+    own = own.join(F.broadcast(copies) if copies.count() <= BOUND else copies, ["d", "th"], "left_anti")
+    lines = common.materialise(own, "lines")
     ranked = levels(lines)
+    common.remove(lines)
     if not ranked:
-        return lines.select("d", "th", F.array(F.struct(F.col("i").alias("lo"), F.col("i").alias("hi"))).alias("ranges")).limit(0)
+        return whole
     in_doc = Window.partitionBy("d", "th").orderBy("i")
     words = F.col("w")
     for k in range(1, min_lines - 1):
@@ -148,17 +187,17 @@ def repeated_ranges(docs: DataFrame, min_lines: int = 3, min_words: int = 50) ->
         .agg(F.min("i").alias("lo"), F.max("hi").alias("hi"))
         .groupBy("d", "th")
         .agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+        .unionByName(whole)
     )
 
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
     """docs with text cleaned, and _ranges (null where nothing is deleted) and _n_lines."""
     ranges = common.materialise(repeated_ranges(docs.select("doc_id", "text"), min_lines, min_words), "line-ranges")
-    joined = _place(docs).join(
-        ranges.select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("ranges").alias("_ranges")),
-        ["_d", "_th"],
-        "left",
-    )
+    ranges = ranges.select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("ranges").alias("_ranges"))
+    held = ranges.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_ranges")), F.lit(0))).first()[0]
+    # up to a bound (about 16 bytes each) they go to the texts, else the texts go to them
+    joined = _place(docs).join(F.broadcast(ranges) if held <= BOUND else ranges, ["_d", "_th"], "left")
     rows = joined.withColumn("_lines", F.split("text", "\n"))
     kept = F.filter("_lines", lambda x, i: ~F.exists("_ranges", lambda r: (r["lo"] <= i) & (i < r["hi"])))
     return rows.select(
