@@ -2,8 +2,8 @@
 
 The raw text is scanned first (the base spans). Then a worklist unwraps, wherever they stand, URL escapes, Unicode
 escapes, base64 runs and - inside base64 - zlib or gzip streams. Each decoded piece is a new layer that is scanned and
-searched for further pieces, until nothing new appears. A layer that has been seen (by its content, per document) is
-not entered again, so cycles end. A secret found in a layer is mapped back to the span, in code points of the raw text,
+searched for further pieces, until nothing new appears. A layer with a content and a place in the raw text that have been
+seen together is not entered again, so cycles end, and a piece that stands at several places is found at each. A secret found in a layer is mapped back to the span, in code points of the raw text,
 of the encoded piece's characters that it came from: exactly for URL and Unicode escapes, and to the whole encoded run
 for base64 and compressed pieces. Spans are reported once each; base spans are never removed.
 
@@ -135,16 +135,17 @@ def find_secrets(text: str | None, max_layer: int = 1 << 26) -> tuple[list, list
     """(base spans, all spans), each sorted by start, then kind."""
     text = text or ""
     base = scan(text)
-    found, seen = set(base), {text}
+    found, seen = set(base), set()
     work: list[tuple[str, list[tuple[int, int]] | None]] = [(text, None)]
     while work:
         layer, origin = work.pop()
         for decoded, spans in layers(layer, max_layer):
-            if decoded in seen:
-                continue
-            seen.add(decoded)
             if origin is not None:
                 spans = [(origin[a][0], origin[b - 1][1]) for a, b in spans]
+            key = hashlib.blake2b(f"{decoded}\0{spans}".encode("utf-8", "surrogatepass")).digest()
+            if key in seen:
+                continue
+            seen.add(key)
             for kind, a, b in scan(decoded):
                 found.add((kind, spans[a][0], spans[b - 1][1]))
             work.append((decoded, spans))

@@ -44,6 +44,14 @@ def test_layers_are_unwrapped_and_mapped():
         assert found and all(text.index(wrapped) <= a < b <= text.index(wrapped) + len(wrapped) for _, a, b in found), wrapped
 
 
+def test_repeated_pieces_are_found_at_every_place():
+    for wrapped in (base64.b64encode(ASSIGN.encode()).decode(), "%70assword%3Dhunter2hunter2", "".join(f"\\u{ord(c):04x}" for c in ASSIGN)):
+        text = f"{wrapped} and {wrapped}\n\n{wrapped}"
+        assert [(a, b) for k, a, b in spans(text)[1] if k == "assign"] == [m.span() for m in re.finditer(re.escape(wrapped), text)], wrapped
+    twice = base64.b64encode(f"a {ASSIGN} b {base64.b64encode(KEY.encode()).decode()}".encode()).decode()
+    assert spans(f"{twice} {twice}")[1] == [(k, a, a + len(twice)) for a in (0, len(twice) + 1) for k in ("assign", "access")]
+
+
 def test_url_spans_are_exact():
     text = "go?x=%70assword%3Dhunter2hunter2&y=1"
     assert [s for s in spans(text)[1] if s[0] == "assign"] == [("assign", 5, 5 + len("%70assword%3Dhunter2hunter2"))]
