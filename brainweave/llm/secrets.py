@@ -1,7 +1,8 @@
 """Operator 9, secret scans: a decoding worklist over every whole text, rescanning each layer.
 
 The raw text is scanned first (the base spans). Then a worklist unwraps, wherever they stand, URL escapes, Unicode
-escapes, base64 runs and - inside base64 - zlib or gzip streams. Each decoded piece is a new layer that is scanned and
+escapes (of the whole layer at once, and of each run without white space alone), base64 runs and - inside base64 - zlib
+or gzip streams. Each decoded piece is a new layer that is scanned and
 searched for further pieces, until nothing new appears. A layer with a content and a place in the raw text that have been
 seen together is not entered again, so cycles end, and a piece that stands at several places is found at each. A secret found in a layer is mapped back to the span, in code points of the raw text,
 of the encoded piece's characters that it came from: exactly for URL and Unicode escapes, and to the whole encoded run
@@ -20,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,9 @@ KINDS = ("assign", "access", "hex")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 URL_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-URL_UNIT = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|.", re.S)
+URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
-UNICODE_UNIT = re.compile(r"((?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+)|.", re.S)
+UNICODE_UNIT = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: In base64, runs that carry text or a compressed stream mix cases or hold digits; words of prose don't.
 MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
@@ -54,30 +56,40 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def by_units(run: str, unit: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
-    """Decodes the units of a run; with, per decoded character, the span in the run that it came from."""
-    out, spans = [], []
-    for m in unit.finditer(run):
-        if m[1] is None:
-            out.append(m[0])
-            spans.append(m.span())
-        else:
-            got = decode(m[1])
-            if got is None:
-                return None
-            out.append(got)
-            spans += [m.span()] * len(got)
-    return "".join(out), spans
-
-
-def url_units(s: str) -> str | None:
+Layer = tuple[str, np.ndarray, np.ndarray]
+"""A decoded text and, per character, start and end of what it came from."""
+
+
+def unwrapped(text: str, unit: re.Pattern, run: re.Pattern, decode) -> Iterator[Layer]:
+    """The text with all its escapes decoded, so that what stands around them stays in context; then each run alone."""
+    out, parts, at = [], [], 0
+    for m in unit.finditer(text):
+        out += [text[at : m.start()], decode(m[0])]
+        parts += [(len(out[-2]), at, at, 1), (len(out[-1]), *m.span(), 0)]
+        at = m.end()
+    if not parts:
+        return
+    out.append(text[at:])
+    parts.append((len(out[-1]), at, at, 1))
+    n, start, end, copied = np.array(parts).T
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(start, n) + inner * np.repeat(copied, n)
+    ends = np.where(np.repeat(copied, n), starts + 1, np.repeat(end, n))
+    decoded = "".join(out)
+    yield decoded, starts, ends
+    for m in run.finditer(text):
+        i, j = np.searchsorted(starts, m.span())
+        yield decoded[i:j], starts[i:j], ends[i:j]
+
+
+def url_units(s: str) -> str:
     try:
         return bytes.fromhex(s.replace("%", "")).decode("utf-8")
     except UnicodeDecodeError:
         return bytes.fromhex(s.replace("%", "")).decode("latin-1")
 
 
-def unicode_units(s: str) -> str | None:
+def unicode_units(s: str) -> str:
     got = "".join(chr(int(x, 16)) for x in re.findall(r"[ux]([0-9A-Fa-f]+)", s))
     return got.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
@@ -116,19 +128,28 @@ def base64_piece(run: str, max_layer: int) -> str | None:
     return text if text and all(c.isprintable() or c in "\r\n\t" for c in text) else None
 
 
-def layers(text: str, max_layer: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """The pieces that can be unwrapped in one layer: (decoded text, the span of each of its characters)."""
+def layers(text: str, max_layer: int) -> Iterator[Layer]:
+    """What can be unwrapped from a text in one step."""
     if "%" in text:
-        for m in URL_RUN.finditer(text):
-            if got := by_units(m[0], URL_UNIT, url_units):
-                yield got[0], [(a + m.start(), b + m.start()) for a, b in got[1]]
+        yield from unwrapped(text, URL_UNIT, URL_RUN, url_units)
     if "\\u" in text or "\\x" in text:
-        for m in UNICODE_RUN.finditer(text):
-            if got := by_units(m[0], UNICODE_UNIT, unicode_units):
-                yield got[0], [(a + m.start(), b + m.start()) for a, b in got[1]]
+        yield from unwrapped(text, UNICODE_UNIT, UNICODE_RUN, unicode_units)
     for m in BASE64_RUN.finditer(text):
         if MIXED.search(m[0]) and (got := base64_piece(m[0], max_layer)):
-            yield got, [m.span()] * len(got)
+            yield got, *(np.broadcast_to(x, len(got)) for x in m.span())
+
+
+def mapped(spans: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """spans[at]; spans that are all the same take no room."""
+    return spans[at] if spans.strides[0] else np.broadcast_to(spans[0], len(at))
+
+
+def key_of(layer: Layer) -> bytes:
+    """Content and place of a layer, in short."""
+    key = hashlib.blake2b(layer[0].encode("utf-8", "surrogatepass"))
+    for x in layer[1:]:
+        key.update(b"|%d|" % len(x) + (x.tobytes() if x.strides[0] else b"%d" % x[0]))
+    return key.digest()
 
 
 def find_secrets(text: str | None, max_layer: int = 1 << 26) -> tuple[list, list]:
@@ -136,19 +157,19 @@ def find_secrets(text: str | None, max_layer: int = 1 << 26) -> tuple[list, list
     text = text or ""
     base = scan(text)
     found, seen = set(base), set()
-    work: list[tuple[str, list[tuple[int, int]] | None]] = [(text, None)]
+    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
     while work:
-        layer, origin = work.pop()
-        for decoded, spans in layers(layer, max_layer):
-            if origin is not None:
-                spans = [(origin[a][0], origin[b - 1][1]) for a, b in spans]
-            key = hashlib.blake2b(f"{decoded}\0{spans}".encode("utf-8", "surrogatepass")).digest()
+        layer, first, last = work.pop()
+        for decoded, starts, ends in layers(layer, max_layer):
+            if first is not None:
+                starts, ends = mapped(first, starts), mapped(last, ends - 1)
+            key = key_of((decoded, starts, ends))
             if key in seen:
                 continue
             seen.add(key)
             for kind, a, b in scan(decoded):
-                found.add((kind, spans[a][0], spans[b - 1][1]))
-            work.append((decoded, spans))
+                found.add((kind, int(starts[a]), int(ends[b - 1])))
+            work.append((decoded, starts, ends))
     key = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=key), sorted(found, key=key)
 

@@ -52,6 +52,14 @@ def test_repeated_pieces_are_found_at_every_place():
     assert spans(f"{twice} {twice}")[1] == [(k, a, a + len(twice)) for a in (0, len(twice) + 1) for k in ("assign", "access")]
 
 
+def test_escapes_keep_what_stands_around_them():
+    every = [("password: %68unter2hunter2", 0), ("see password%3D hunter2hunter2 there", 4), ("%70assword : hunter2hunter2", 0), ('"password": "\\u0068unter2hunter2"', 1), ("password = \\x68unter2hunter2", 0), ("%5Cu0070assword%3A hunter2hunter2", 0)]
+    for text, a in every:
+        assert [s for s in spans(text)[1] if s[0] == "assign"] == [("assign", a, text.index("unter2hunter2") + 13)], text
+    text = "token = secret%3Ahunter2hunter2"
+    assert spans(text)[1] == [("assign", 8, len(text))]
+
+
 def test_url_spans_are_exact():
     text = "go?x=%70assword%3Dhunter2hunter2&y=1"
     assert [s for s in spans(text)[1] if s[0] == "assign"] == [("assign", 5, 5 + len("%70assword%3Dhunter2hunter2"))]
