@@ -6,7 +6,8 @@ or gzip streams. Each decoded piece is a new layer that is scanned and
 searched for further pieces, until nothing new appears. A layer with a content and a place in the raw text that have been
 seen together is not entered again, so cycles end, and a piece that stands at several places is found at each. A secret found in a layer is mapped back to the span, in code points of the raw text,
 of the encoded piece's characters that it came from: exactly for URL and Unicode escapes, and to the whole encoded run
-for base64 and compressed pieces. Spans are reported once each; base spans are never removed.
+for base64 and compressed pieces (of a run over several lines, to the whole lines). Base64 may begin at any character of
+a run, so what is glued to a path or a word is found, and other bytes than text hide nothing but themselves. Spans are reported once each; base spans are never removed.
 
 Null and empty texts have no spans. Repeated rows are reported alike. Extra columns are not read. A decompressed piece
 of more than ``max_layer`` bytes (a compression bomb) is not entered; the raw text itself has no limit of any kind.
@@ -14,7 +15,6 @@ of more than ``max_layer`` bytes (a compression bomb) is not entered; the raw te
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -35,13 +35,24 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 KEYWORDS = ("passw", "secret", "token", "api")
 
-URL_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
+URL_RUN = re.compile(r"(?<![^\s%])[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
+UNICODE_RUN = re.compile(r"(?<![^\s\\])[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
 UNICODE_UNIT = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Base64 over one or more lines; a run of one line has 12 characters at least.
+BASE64_RUN = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}+(?:\r?\n[A-Za-z0-9+/_-]+)*+"
+    r"|[A-Za-z0-9+/_-]{1,11}+(?:\r?\n[A-Za-z0-9+/_-]+)++)={0,2}"
+)
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+URL_ALPHABET = str.maketrans("-_", "+/")
 #: In base64, runs that carry text or a compressed stream mix cases or hold digits; words of prose don't.
 MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
+#: Nothing shorter holds a secret (14 characters at least) or a further piece (12).
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
+#: First bytes of gzip and zlib streams.
+STREAM = re.compile(rb"[\x1f\x08\x18\x28\x38\x48\x58\x68\x78]")
+
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -94,38 +105,79 @@ def unicode_units(s: str) -> str:
     return got.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def inflate(raw: bytes, max_layer: int) -> bytes | None:
-    """raw, or what it decompresses to (zlib and gzip, repeatedly); None if that is over max_layer bytes."""
-    while raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0):
+def begins_stream(raw: bytes, at: int) -> bool:
+    """Whether a gzip or zlib stream may begin at a byte (RFC 1952 and 1950)."""
+    c, f = raw[at : at + 2] if at + 2 <= len(raw) else (0, 0)
+    return (c, f) == (0x1F, 0x8B) or (c & 0x8F == 8 and (c * 256 + f) % 31 == 0 and not f & 32)
+
+
+def inflate(raw: bytes, at: int, max_layer: int, block: int = 1 << 14) -> tuple[bytes, int] | None:
+    """What the stream at a byte decompresses to, as far as it is whole, and its end; None if over max_layer bytes."""
+    d, out, size = zlib.decompressobj(47), [], 0
+    while at < len(raw) and not d.eof:
+        before, piece = d.copy(), raw[at : at + block]
         try:
-            d = zlib.decompressobj(47)
-            got = d.decompress(raw, max_layer)
+            got = d.decompress(piece, max_layer - size + 1)
         except zlib.error:
-            return raw
-        if d.unconsumed_tail:
+            if block == 1:
+                break
+            d, block = before, 1
+            continue
+        out.append(got)
+        size += len(got)
+        if size > max_layer:
             return None
-        if got == raw or not got:
-            return raw
-        raw = got
-    return raw
-
-
-def base64_piece(run: str, max_layer: int) -> str | None:
-    """The text in a base64 run (either alphabet, padding optional), if it is text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    if (raw := inflate(raw, max_layer)) is None:
-        return None
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\r\n\t" for c in text) else None
+        at += len(piece) - len(d.unused_data)
+    return b"".join(out), at
+
+
+def base64_bytes(chars: str, max_layer: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """The bytes in base64 characters (either alphabet) that may begin at any of them, and what is compressed in them;
+
+    with, per byte, the first and last character it came from."""
+    for skip in range(min(4, len(chars) - 1)):
+        body = chars[skip:].translate(URL_ALPHABET)
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+        if STRETCH.search(raw):
+            n = np.arange(len(raw))
+            yield raw, skip + n * 4 // 3, skip + (n * 8 + 7) // 6
+        done = 0
+        for m in STREAM.finditer(raw):
+            at, known = m.start(), set()
+            if at < done or at % 3:
+                continue
+            inner, end = raw, at
+            while begins_stream(inner, 0 if known else at) and (got := inflate(inner, 0 if known else at, max_layer)):
+                inner, end = got[0], end if known else got[1]
+                digest = hashlib.blake2b(inner).digest()
+                if digest in known:
+                    break
+                known.add(digest)
+                if STRETCH.search(inner):
+                    place = skip + at * 4 // 3, skip + ((end - 1) * 8 + 7) // 6
+                    yield inner, *(np.broadcast_to(x, len(inner)) for x in place)
+            done = end
+
+
+def base64_layers(text: str, max_layer: int) -> Iterator[Layer]:
+    """The layers of base64 runs, joined over line breaks and line by line, each byte placed at its whole lines.
+
+    Bytes stand as Latin-1 characters: the patterns are ASCII, and no other byte hides what stands around it."""
+    for run in BASE64_RUN.finditer(text):
+        lines = [m.span() for m in BASE64_LINE.finditer(text, *run.span())]
+        for part in [lines, *([x] for x in lines if len(lines) > 1 and x[1] - x[0] >= 12)]:
+            chars = "".join(text[a:b].rstrip("=") for a, b in part)
+            if len(chars) < 12 or not MIXED.search(text, part[0][0], part[-1][1]):
+                continue
+            first, last = np.array(part).T
+            till = np.cumsum(last - first)
+            for raw, a, b in base64_bytes(chars, max_layer):
+                if len(part) == 1:
+                    yield raw.decode("latin-1"), *(np.broadcast_to(x, len(raw)) for x in part[0])
+                else:
+                    starts, ends = mapped(first, till.searchsorted(a, "right")), mapped(last, till.searchsorted(b, "right"))
+                    yield raw.decode("latin-1"), starts, ends
 
 
 def layers(text: str, max_layer: int) -> Iterator[Layer]:
@@ -134,9 +186,7 @@ def layers(text: str, max_layer: int) -> Iterator[Layer]:
         yield from unwrapped(text, URL_UNIT, URL_RUN, url_units)
     if "\\u" in text or "\\x" in text:
         yield from unwrapped(text, UNICODE_UNIT, UNICODE_RUN, unicode_units)
-    for m in BASE64_RUN.finditer(text):
-        if MIXED.search(m[0]) and (got := base64_piece(m[0], max_layer)):
-            yield got, *(np.broadcast_to(x, len(got)) for x in m.span())
+    yield from base64_layers(text, max_layer)
 
 
 def mapped(spans: np.ndarray, at: np.ndarray) -> np.ndarray:

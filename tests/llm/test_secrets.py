@@ -52,6 +52,21 @@ def test_repeated_pieces_are_found_at_every_place():
     assert spans(f"{twice} {twice}")[1] == [(k, a, a + len(twice)) for a in (0, len(twice) + 1) for k in ("assign", "access")]
 
 
+def test_base64_that_is_glued_wrapped_or_not_all_text():
+    b64 = lambda s: base64.b64encode(s).decode()
+    secret, filler = ASSIGN.encode(), bytes(range(32, 127)) * 3
+    packed = b64(zlib.compress(hashlib.sha512(b"x").digest() * 2 + filler + secret))
+    plain = b64(b" " * 40 + secret + b" " * 40)
+    glued = [f"{before}{b64(what)}" for before in ("/path/", "key_", "id-", "abcde", "Ab1") for what in (secret, zlib.compress(secret), gzip.compress(secret))]
+    wrapped = [end.join(whole[i : i + n] for i in range(0, len(whole), n)) for whole in (packed, plain) for n in (64, 76, 61) for end in ("\n", "\r\n")]
+    odd = [b64(x) for x in (b"a\0b " + secret, secret + b"\x0c", b"\xff\xfe " + secret, secret + b" \x80")] + [b64(secret + b"!!") + "A"]
+    for piece in glued + wrapped + odd:
+        text = f"é see {piece} end"
+        found = [s for s in spans(text)[1] if s[0] == "assign"]
+        assert found and all(6 <= a < b <= 6 + len(piece) for _, a, b in found), piece
+    assert [s for s in spans(wrapped[6])[1] if s[0] == "assign"] == [("assign", 0, 64 + 1 + 64)]
+
+
 def test_escapes_keep_what_stands_around_them():
     every = [("password: %68unter2hunter2", 0), ("see password%3D hunter2hunter2 there", 4), ("%70assword : hunter2hunter2", 0), ('"password": "\\u0068unter2hunter2"', 1), ("password = \\x68unter2hunter2", 0), ("%5Cu0070assword%3A hunter2hunter2", 0)]
     for text, a in every:
