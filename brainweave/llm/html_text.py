@@ -32,7 +32,7 @@ BLOCK = set(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math object audio video canvas".split())
+RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object audio video canvas".split())
 #: What an opening tag closes: an open element of these names, not looking past the barriers.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -168,7 +168,7 @@ def feature_names(page: list[Block]) -> Iterator[list[str]]:
     for i, b in enumerate(page):
         text, size = b.text, len(b.text)
         words = text.count(" ") + 1
-        letters = sum(map(str.isalpha, text[:400])) or 1
+        letters = sum(map(str.isalpha, text)) or 1
         out = ["bias", f"parent:{b.names[-1] if b.names else '-'}"]
         out += [f"tag:{t}" for t in set(b.names)]
         out += [f"mark:{m}" for m in b.marks if m in NAMED]
@@ -180,8 +180,8 @@ def feature_names(page: list[Block]) -> Iterator[list[str]]:
             f"linked:{squashed(int(10 * b.linked / size), (1, 3, 5, 8))}",
             f"stops:{squashed(text.count('. ') + text.count(', '), (1, 3, 8))}",
             f"end:{text[-1] if text[-1] in '.!?:,' else ('digit' if text[-1].isdigit() else 'other')}",
-            f"caps:{squashed(int(10 * sum(map(str.isupper, text[:400])) / letters), (2, 5, 8))}",
-            f"digits:{squashed(int(10 * sum(map(str.isdigit, text[:400])) / min(size, 400)), (2, 5))}",
+            f"caps:{squashed(int(10 * sum(map(str.isupper, text)) / letters), (2, 5, 8))}",
+            f"digits:{squashed(int(10 * sum(map(str.isdigit, text)) / size), (2, 5))}",
             f"place:{4 * i // n}",
         ]
         if inside:

@@ -64,6 +64,19 @@ def test_odd_markup():
     assert text("<div" + " x" * 10) == []
 
 
+def test_features_read_the_whole_block():
+    features = lambda text: set(next(html_text.feature_names([html_text.Block(text, ("p",), frozenset(), 0)])))
+    assert {"caps:0", "digits:0"} <= features("A" * 300 + "1" * 100 + "a" * 4000)
+    assert {"caps:3", "digits:0"} <= features("a" * 400 + "A" * 8000)
+    assert {"caps:0", "digits:2"} <= features("a" * 400 + "1" * 8000)
+
+
+def test_formulas_stay_and_their_annotations_go():
+    text = lambda page: [b.text for b in html_text.blocks(page)]
+    formula = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2 \\tex</annotation></semantics></math>'
+    assert text(f"<p>So {formula} holds.<p>Next") == ["So x=2 holds.", "Next"]
+
+
 def test_nulls_long_pages_repeated_rows_and_clashing_columns(spark):
     long = "<article>" + "<p>Words of a long page, and more of them.</p>" * 20_000 + "</article>"
     rows = [(1, None, "u", 1), (2, "", "u", 1), (3, long, "u", 1), (4, PAGE, "u", 1), (4, PAGE, "u", 1)]
