@@ -371,16 +371,42 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
 def one_of_each_group(docs: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """docs without near copies: of each component the document with the smallest doc_id stays, once.
 
+    Different texts under one doc_id are documents of their own; of those that are near copies of each other (or have no words at
+    all) the one with the smallest text hash stays. Of rows that agree in doc_id and text the one with the smallest row hash stays.
     Rows without doc_id stay: no row can be named to stay for them. Columns are those of docs. Up to ``bound`` ids (8 bytes each)
     are broadcast, so that texts aren't shuffled; more are joined by a shuffle. Only rows whose id repeats are compared.
     """
-    d = F.col("doc_id").cast("long")
+    d, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
     side = lambda ids: F.broadcast(ids) if ids.count() <= bound else ids
-    gone = near_components(docs.select("doc_id", "text")).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(side(common.materialise(gone, "gone", 1)), d == F.col("_gone"), "left_anti")
     twice = docs.filter("doc_id IS NOT NULL").groupBy(d.alias("_twice")).count().filter("count > 1").select("_twice")
     twice = common.materialise(twice, "twice", 1)
     if twice.isEmpty():
-        return left
-    again = left.join(side(twice), d == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(side(twice), d == F.col("_twice"), "left_anti").unionByName(again)
+        gone = near_components(docs.select("doc_id", "text")).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(side(common.materialise(gone, "gone", 1)), d == F.col("_gone"), "left_anti")
+
+    # all but the first text of an id get ids that no row has
+    of_twice = docs.join(side(twice), d == F.col("_twice"), "left_semi").select(d.alias("_d"), th.alias("_th")).distinct()
+    others = of_twice.join(of_twice.groupBy("_d").agg(F.min("_th").alias("_first")), "_d").filter("_th != _first")
+    others = common.materialise(others.select("_d", "_th", F.monotonically_increasing_id().alias("_nth")), "other-texts")
+    low, high = docs.agg(F.min(d), F.max(d)).first()
+    most = others.agg(F.max("_nth")).first()[0] or 0
+    start = high + 1 if high + 1 + most < 1 << 63 else low - 1 - most
+    if start < -(1 << 63):
+        raise ValueError("doc_id leaves no free numbers at either end of its range")
+    others = others.select("_d", "_th", (F.col("_nth") + F.lit(start)).alias("_node"))
+    own = docs.join(side(others), (d == F.col("_d")) & (th == F.col("_th")), "left")
+    own = own.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce("_node", d).alias("_node"))
+
+    nodes = near_components(own.select(F.col("_node").alias("doc_id"), "text")).filter("doc_id IS NOT NULL").distinct()
+    no_words, of = (F.col("n_shingles") == 0).alias("_none"), F.coalesce("_d", "doc_id")
+    nodes = nodes.join(others, F.col("doc_id") == F.col("_node"), "left").select(
+        no_words, F.when(no_words, of).otherwise(F.col("component_id")).alias("_group"), F.col("doc_id").alias("_gone"),
+        F.struct(of, F.coalesce("_th", F.lit(-(1 << 63))), F.col("doc_id").alias("node")).alias("_rank"),
+    )
+    nodes = common.materialise(nodes, "group-nodes", common.files_for(docs.sparkSession, nodes.count(), 1_000_000, 1))
+    stay = nodes.groupBy("_none", "_group").agg(F.min("_rank")["node"].alias("_stay"))
+    gone = nodes.join(stay, ["_none", "_group"]).filter("_gone != _stay").select("_gone")
+    left = own.join(side(common.materialise(gone, "gone", 1)), F.col("_node") == F.col("_gone"), "left_anti")
+    by_row = Window.partitionBy("_node").orderBy(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    again = left.join(side(twice), d == F.col("_twice"), "left_semi").withColumn("_row", F.row_number().over(by_row)).filter("_row = 1").drop("_row")
+    return left.join(side(twice), d == F.col("_twice"), "left_anti").unionByName(again).drop("_node")

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from brainweave.llm import near_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,3 +91,17 @@ def test_nulls_repeated_rows_empty_table_and_clashing_columns(spark):
     assert near_join.near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     kept = near_join.one_of_each_group(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.doc_id or 0, r.n) for r in kept) == [(0, 1), (0, 1), (0, 1), (5, 1)]
+
+
+def test_unlike_documents_under_one_id_are_documents_of_their_own(spark):
+    say = lambda name, *other: " ".join([f"{name}{i}" for i in range(40)] + list(other))
+    rows = [(1, say("a")), (1, say("b")), (2, say("b", "x")), (3, say("a", "x")), (4, say("c")), (4, say("c", "x")), (4, say("d")), (4, say("d")), (5, say("d", "x")), (6, None), (6, ""), (0, say("e")), (7, say("e")), (7, say("f"))]
+    schema, top = "doc_id long, text string", (1 << 63) - 1
+    for far in ([], [(top, say("g"))]):
+        df = spark.createDataFrame(rows + far, schema)
+        hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        one = lambda *texts: min(texts, key=hashes.get)  # noqa: E731, B023
+        want = {(1, say("a")), (1, say("b")), (4, one(say("c"), say("c", "x"))), (4, say("d")), (6, one(None, "")), (0, say("e")), (7, say("f")), *far}
+        for table in (df, df.repartition(5)):
+            got = [tuple(r) for r in near_join.one_of_each_group(table).collect()]
+            assert len(got) == len(want) and set(got) == want
