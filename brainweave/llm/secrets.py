@@ -10,7 +10,7 @@ for base64 and compressed pieces (of a run over several lines, to the whole line
 a run, so what is glued to a path or a word is found, and other bytes than text hide nothing but themselves. Spans are reported once each; base spans are never removed.
 
 Null and empty texts have no spans. Repeated rows are reported alike. Extra columns are not read. A decompressed piece
-of more than ``max_layer`` bytes (a compression bomb) is not entered; the raw text itself has no limit of any kind.
+of more than ``max_layer`` bytes (a compression bomb) is not entered, but for the gzip members that fit; the raw text itself has no limit of any kind.
 """
 
 from __future__ import annotations
@@ -111,10 +111,17 @@ def begins_stream(raw: bytes, at: int) -> bool:
     return (c, f) == (0x1F, 0x8B) or (c & 0x8F == 8 and (c * 256 + f) % 31 == 0 and not f & 32)
 
 
-def inflate(raw: bytes, at: int, max_layer: int, block: int = 1 << 14) -> tuple[bytes, int] | None:
-    """What the stream at a byte decompresses to, as far as it is whole, and its end; None if over max_layer bytes."""
+def inflate(raw: bytes, at: int, max_layer: int, block: int = 1 << 14) -> tuple[bytes, int, bool] | None:
+    """What the stream at a byte decompresses to, as far as it is whole, its end, and if it has one; None if over max_layer bytes.
+
+    Further members of a gzip stream belong to it (RFC 1952, 2.2), as many as fit; the end is then that of the last."""
     d, out, size = zlib.decompressobj(47), [], 0
-    while at < len(raw) and not d.eof:
+    gzip, whole = raw.startswith(b"\x1f\x8b", at), None
+    while at < len(raw):
+        if d.eof:
+            if not (gzip and raw.startswith(b"\x1f\x8b\x08", at)):
+                break
+            d, whole = zlib.decompressobj(31), (len(out), at)
         before, piece = d.copy(), raw[at : at + block]
         try:
             got = d.decompress(piece, max_layer - size + 1)
@@ -126,9 +133,9 @@ def inflate(raw: bytes, at: int, max_layer: int, block: int = 1 << 14) -> tuple[
         out.append(got)
         size += len(got)
         if size > max_layer:
-            return None
+            return whole and (b"".join(out[: whole[0]]), whole[1], True)
         at += len(piece) - len(d.unused_data)
-    return b"".join(out), at
+    return b"".join(out), at, d.eof
 
 
 def base64_bytes(chars: str, max_layer: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -145,11 +152,13 @@ def base64_bytes(chars: str, max_layer: int) -> Iterator[tuple[bytes, np.ndarray
         done = 0
         for m in STREAM.finditer(raw):
             at, known = m.start(), set()
-            if at < done or at % 3:
+            if at < done or (at % 3 and at != done):
                 continue
-            inner, end = raw, at
+            inner, end, ended = raw, at, False
             while begins_stream(inner, 0 if known else at) and (got := inflate(inner, 0 if known else at, max_layer)):
-                inner, end = got[0], end if known else got[1]
+                if not known:
+                    _, end, ended = got
+                inner = got[0]
                 digest = hashlib.blake2b(inner).digest()
                 if digest in known:
                     break
@@ -157,7 +166,7 @@ def base64_bytes(chars: str, max_layer: int) -> Iterator[tuple[bytes, np.ndarray
                 if STRETCH.search(inner):
                     place = skip + at * 4 // 3, skip + ((end - 1) * 8 + 7) // 6
                     yield inner, *(np.broadcast_to(x, len(inner)) for x in place)
-            done = end
+            done = end if ended else done
 
 
 def base64_layers(text: str, max_layer: int) -> Iterator[Layer]:

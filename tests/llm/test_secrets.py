@@ -80,6 +80,15 @@ def test_url_spans_are_exact():
     assert [s for s in spans(text)[1] if s[0] == "assign"] == [("assign", 5, 5 + len("%70assword%3Dhunter2hunter2"))]
 
 
+def test_all_members_of_a_gzip_stream_are_read():
+    parts = [b"first ", b"", b"then pass", b"word=hunter2hunter2", b" last"]
+    text = base64.b64encode(b"".join(map(gzip.compress, parts)) + b"rest").decode()
+    assert spans(text)[1] == [("assign", 0, len(text))]
+    odd = [gzip.compress(x) for x in (b"-" * 50_000, b"-" * 50_001, ASSIGN.encode())]
+    text = base64.b64encode(b"".join(odd)).decode()
+    assert secrets.find_secrets(text, max_layer=1 << 16)[1] == [("assign", 0, len(text))]
+
+
 def test_cycles_bombs_and_prose_end():
     loop = "%2525" * 50
     assert spans(loop) == ([], [])
