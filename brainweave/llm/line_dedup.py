@@ -16,6 +16,8 @@ longest level down: inside an interval, positions are grouped by the rank of wha
 group go down into the longer interval, the first goes there as a target and also stays. Where a position ends is
 its longest prefix that an earlier position has, too.
 
+Hot lines: keys that very many positions hold are broadcast and their rows stay spread over all tasks (``heavy``).
+
 Defined cases: null and empty texts have one empty line and stay as they are; rows that agree in doc_id and text are one document
 and get the same result; null doc_ids come first; a text that is deleted wholly becomes empty; other columns stay,
 and columns that start with ``_`` are free for use by the caller. Empty tables give empty results.
@@ -32,6 +34,8 @@ AT = ["d", "th", "i"]
 NO_ID = -(1 << 63)
 #: So many keys, or ranges, are broadcast; more are shuffled.
 BOUND = 1_000_000
+#: A key of more rows than this (a blank or boilerplate line) isn't shuffled to one task. There are rows / HEAVY of them at most.
+HEAVY = 200_000
 
 
 def _place(docs: DataFrame) -> DataFrame:
@@ -57,8 +61,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def joined(rows: DataFrame, few: DataFrame, keys: list[str], heavy: int) -> DataFrame:
+    """rows left-joined to few (keys, n, and what they bring; n: the rows of rows that a key has) without n.
+
+    Keys of more than ``heavy`` rows are broadcast, up to BOUND of them, and their rows spread over all tasks by their position.
+    """
+    large, light = few.filter(F.col("n") > heavy).drop("n"), few.drop("n")
+    brought = [c for c in light.columns if c not in keys]
+    count = large.count()
+    if not 0 < count <= BOUND:
+        return rows.join(light, keys, "left")
+    large = large.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*brought).alias("_brought"))
+    told = rows.join(F.broadcast(large), [rows[k].eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    last = keys[-1]
+    told = told.withColumn("_to", F.when(F.col("_brought").isNull(), F.col(last)).otherwise(F.xxhash64(*AT)))
+    light = light.join(F.broadcast(large), [light[k].eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+    light = light.select(*[F.col(k).alias(f"l_{k}") for k in keys], *[F.col(c).alias(f"l_{c}") for c in brought])
+    same = [F.col(k if k != last else "_to") == F.col(f"l_{k}") for k in keys]
+    got = told.join(light, [F.col("_brought").isNull() & same[0], *same[1:]], "left")
+    return got.select(*rows.columns, *[F.coalesce(f"_brought.{c}", f"l_{c}").alias(c) for c in brought])
+
+
 def ranks(keys: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
-    """keys (r, r2, n): with rank, the number of positions under smaller keys; and the table that this reads."""
+    """keys (r, r2, n) with rank, the number of positions under smaller keys; and the table that this reads."""
     spark = keys.sparkSession
     parts = common.parallelism(spark)
     dealt = common.materialise(
@@ -74,12 +99,12 @@ def ranks(keys: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     ranked = (
         dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(F.broadcast(shifts), "part")
-        .select("r", "r2", (F.col("shift") + F.col("inside")).alias("rank"))
+        .select("r", "r2", "n", (F.col("shift") + F.col("inside")).alias("rank"))
     )
     return ranked, dealt
 
 
-def levels(lines: DataFrame) -> list[DataFrame]:
+def levels(lines: DataFrame, heavy: int = HEAVY) -> list[DataFrame]:
     """Per level k: d, th, i, rank (and w, at level 0) of the positions whose next 2^k lines stand elsewhere, too."""
     spark = lines.sparkSession
     found, pairs, k, rows = [], lines, 0, lines.count()
@@ -88,7 +113,8 @@ def levels(lines: DataFrame) -> list[DataFrame]:
         keys = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         extra = ["w"] if not found else []
         ranked, dealt = ranks(keys, files)
-        level = common.materialise(pairs.join(ranked, ["r", "r2"]).select(*AT, "rank", *extra), f"level-{k}", files)
+        known = joined(pairs, ranked, ["r", "r2"], heavy).filter("rank IS NOT NULL")
+        level = common.materialise(known.select(*AT, "rank", *extra), f"level-{k}", files)
         common.remove(dealt)
         rows = level.count()
         if not rows:
@@ -99,7 +125,7 @@ def levels(lines: DataFrame) -> list[DataFrame]:
         k += 1
 
 
-def longest_repeats(ranked: list[DataFrame]) -> DataFrame:
+def longest_repeats(ranked: list[DataFrame], heavy: int = HEAVY) -> DataFrame:
     """d, th, i, len: the most lines that position shares with an earlier one, where that is at least one."""
     node = ["nd", "nt", "ni", "len"]
     spark, old = ranked[0].sparkSession, None
@@ -116,8 +142,8 @@ def longest_repeats(ranked: list[DataFrame]) -> DataFrame:
             .groupBy(*node, "rank")
             .agg(F.min(F.struct(*AT)).alias("f"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1")
-            .drop("n")
         )
+        groups = common.materialise(groups, f"groups-{k}", files)
         stay = F.struct(*node, "asks")
         down = lambda asks: F.struct(
             F.col("f.d").alias("nd"), F.col("f.th").alias("nt"), F.col("f.i").alias("ni"),
@@ -129,18 +155,18 @@ def longest_repeats(ranked: list[DataFrame]) -> DataFrame:
             .otherwise(F.array(down(F.col("asks"))))
         )
         roles = common.materialise(
-            here.join(groups, [*node, "rank"], "left").select(*AT, F.explode(moves).alias("to")).select(*AT, "to.*"),
+            joined(here, groups, [*node, "rank"], heavy).select(*AT, F.explode(moves).alias("to")).select(*AT, "to.*"),
             f"roles-{k}",
             files,
         )
-        if old is not None:
-            common.remove(old)
+        common.remove(groups, *([] if old is None else [old]))
         old = roles
     return roles.filter("asks AND len > 0").select(*AT, "len")
 
 
-def whole_copies(docs: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """d, th of all but the first of the documents of equal text; and of those that qualify the range of all lines.
+def whole_copies(docs: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """d, th of all but the first of the documents of equal text; of those that qualify the range of all lines; and d, th
+    of documents that several rows hold.
 
     A later copy holds nothing that its first one doesn't, so it is no one's earlier position: it needn't be ranked. It is one
     run as a whole, and where that is too short, so are all its parts.
@@ -150,22 +176,32 @@ def whole_copies(docs: DataFrame, min_lines: int, min_words: int) -> tuple[DataF
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"),
         (F.length("text") - F.length(F.translate("text", " \n", "")) + 1).alias("w"),
     )
+    size = size.groupBy("d", "th", "th2").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.count(F.lit(1)).alias("rows"))
+    size = common.materialise(size, "sizes")
+    twice = size.filter("rows > 1").select("d", "th").distinct()
     first = size.groupBy("th", "th2").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.first("n").alias("n"), F.first("w").alias("w"))
-    several = first.filter("first < last").drop("last")
-    rest = size.select("d", "th", "th2").join(several, ["th", "th2"]).filter("d != first").distinct()
+    several = common.materialise(first.filter("first < last").drop("last"), "several")
+    rest = size.select("d", "th", "th2").join(several, ["th", "th2"]).filter("d != first")
     rest = common.materialise(rest.select("d", "th", "n", "w"), "copies", common.files_for(docs.sparkSession, several.count(), 1_000_000, 1))
     long = rest.filter((F.col("n") >= min_lines) | (F.col("w") >= min_words))
-    return rest.select("d", "th"), long.select("d", "th", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").cast("int").alias("hi"))).alias("ranges"))
+    whole = long.select("d", "th", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").cast("int").alias("hi"))).alias("ranges"))
+    twice = common.materialise(twice.join(rest, ["d", "th"], "left_anti"), "twice", 1)
+    common.remove(size, several)
+    return rest.select("d", "th"), whole, twice
 
 
-def repeated_ranges(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
+def repeated_ranges(docs: DataFrame, min_lines: int = 3, min_words: int = 50, heavy: int = HEAVY) -> DataFrame:
     """d, th, ranges: per document with deletions, the sorted line ranges (lo, hi; hi exclusive) to delete."""
-    copies, whole = whole_copies(docs, min_lines, min_words)
+    copies, whole, twice = whole_copies(docs, min_lines, min_words)
+    side = lambda few: F.broadcast(few) if few.count() <= BOUND else few
     own = lines_of(docs)
-    own = own.join(F.broadcast(copies) if copies.count() <= BOUND else copies, ["d", "th"], "left_anti")
+    own = own.join(side(copies), ["d", "th"], "left_anti")
+    if not twice.isEmpty():  # a position counts once, however many rows hold it
+        again = own.join(side(twice), ["d", "th"], "left_semi").distinct()
+        own = own.join(side(twice), ["d", "th"], "left_anti").unionByName(again)
     lines = common.materialise(own, "lines")
-    ranked = levels(lines)
-    common.remove(lines)
+    ranked = levels(lines, heavy)
+    common.remove(lines, twice)
     if not ranked:
         return whole
     in_doc = Window.partitionBy("d", "th").orderBy("i")
@@ -173,7 +209,7 @@ def repeated_ranges(docs: DataFrame, min_lines: int = 3, min_words: int = 50) ->
     for k in range(1, min_lines - 1):
         words = words + F.when(F.col("len") > k, F.coalesce(F.lead("w", k).over(in_doc), F.lit(0))).otherwise(0)
     runs = (
-        ranked[0].join(longest_repeats(ranked), AT, "left")
+        ranked[0].join(longest_repeats(ranked, heavy), AT, "left")
         .withColumn("words", words)
         .filter((F.col("len") >= min_lines) | (F.col("words") >= min_words))
         .filter("len > 0")
@@ -191,9 +227,9 @@ def repeated_ranges(docs: DataFrame, min_lines: int = 3, min_words: int = 50) ->
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, heavy: int = HEAVY) -> DataFrame:
     """docs with text cleaned, and _ranges (null where nothing is deleted) and _n_lines."""
-    ranges = common.materialise(repeated_ranges(docs.select("doc_id", "text"), min_lines, min_words), "line-ranges")
+    ranges = common.materialise(repeated_ranges(docs.select("doc_id", "text"), min_lines, min_words, heavy), "line-ranges")
     ranges = ranges.select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("ranges").alias("_ranges"))
     held = ranges.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_ranges")), F.lit(0))).first()[0]
     # up to a bound (about 16 bytes each) they go to the texts, else the texts go to them

@@ -29,11 +29,11 @@ def brute(rows, min_lines, min_words):
     }
 
 
-def check(spark, rows, min_lines=3, min_words=50):
+def check(spark, rows, min_lines=3, min_words=50, **how):
     df = spark.createDataFrame([(d, t, "own") for d, t in rows], SCHEMA)
     hashes = [r[0] for r in df.select(F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
     want = brute([(d, t, h) for (d, t), h in zip(rows, hashes)], min_lines, min_words)
-    got = line_dedup.drop_repeated_lines(df.drop("_d"), min_lines, min_words).collect()
+    got = line_dedup.drop_repeated_lines(df.drop("_d"), min_lines, min_words, **how).collect()
     assert len(got) == len(rows)
     for r in got:
         gone = [i for lo, hi in (r["_ranges"] or []) for i in range(lo, hi)]
@@ -50,6 +50,28 @@ def test_random_texts_match_brute_force(spark):
     check(spark, rows)
 
 
+def test_lines_that_most_positions_hold_give_the_same(spark):
+    rnd = random.Random(6)
+    rows = [(d, "\n".join(rnd.choice(("", "", "", "a", "b")) for _ in range(rnd.randint(1, 16)))) for d in range(30)]
+    check(spark, rows, heavy=10)
+
+
+def test_long_texts_in_several_rows_count_once(spark):
+    lines = [f"line {i}" for i in range(40)]
+    rows = [(1, "\n".join(lines))] * 5 + [(2, "\n".join(["new", *lines[5:20]]))] * 3 + [(None, "\n".join(lines[30:]))] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.n_lines, r.deleted) for r in line_dedup.deletions(df).collect())
+    assert got == [(0, 10, "")] * 2 + [(1, 40, "30-40")] * 5 + [(2, 16, "1-16")] * 3
+
+
+def test_one_very_long_text_and_ties(spark):
+    long = "\n".join(f"{i % 700} {i // 700}" for i in range(20_000))
+    rows = [(1, long), (1, long + "\nend"), (2, "\n".join(long.split("\n")[100:200]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_lines, r.n_deleted) for r in line_dedup.deletions(df).collect()]
+    assert sorted(got) in ([(1, 20_000, 0), (1, 20_001, 20_000), (2, 100, 100)], [(1, 20_000, 20_000), (1, 20_001, 0), (2, 100, 100)])
+
+
 def test_long_single_lines_and_copies(spark):
     passage = " ".join(f"w{i}" for i in range(55))
     rows = [(1, f"one\n{passage}\ntwo"), (2, f"three\n{passage}"), (3, passage), (4, "short\nline"), (5, "short\nline"), (6, f"one\n{passage}\ntwo")]
