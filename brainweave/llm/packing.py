@@ -2,16 +2,19 @@
 
 Every document (null text: empty) becomes the ids of its text and one end id. A document of more than ``capacity`` ids
 is cut into pieces of ``capacity``; only its first piece may be shorter. Pieces of full length are sequences of their
-own; the others are packed best-fit, longest first.
+own; the others are packed best-fit.
 
-How: lengths lie in 1..capacity, so the range-sorted documents and the range-sorted gaps are both short lists of runs
-(value, count), at most ``capacity`` of each kind however large the corpus is. Documents are put into runs, counted and
-ranked inside their run by distributed aggregations over (length, salt). A round takes the longest run of documents
-that is not placed and sweeps the sorted gaps for its successor, the smallest gap that is long enough; as many documents as
-fit go to each sequence with that gap; the documents compete by rank, the lowest ranks win, the rest sweeps on to the next
-gap; what no gap can take opens sequences. Then the gaps are updated and the next round begins. A round thus places
-whole runs at once, and what it leaves is a list of rank ranges per length - the plan, whose size depends on the
-capacity and not on the corpus - with which one broadcast join puts every document in its place.
+How: pieces of one length are alike, so they are a run (length, ranks from-to), and sequences with one gap are runs, too: both
+tables have at most ``capacity`` values however large the corpus is. Pieces longer than half the capacity open a sequence each.
+Then rounds follow, each a job over both tables: they are dealt into ranges of values, and every range is swept
+in a task of its own, the longest pieces first: each run looks up its successor, the smallest gap that is long enough, and takes
+as many sequences of it as it needs. Pieces that compete for a gap are served by rank, the lowest first; who loses sweeps
+on to the next gap. Gaps are then updated, which may move them to another range, and the next round has fewer and wider
+ranges, down to one; what has no gap even then opens sequences. The narrow ranges of the first rounds match pieces and gaps
+of nearly the same size. What rounds leave is a list of rank ranges per length, with which one join puts every
+piece in its place; ranks are counted in parts, so no task sees a whole run.
+
+Ids come from the ``tokenizers`` library with its defaults, so the text of a special token is that token.
 
 Defined cases: an empty text has the end id alone; rows that repeat a doc_id are packed each, and their pieces are
 told apart by sequence and offset only; null doc_ids are packed too; an empty table gives an empty result; extra
@@ -20,65 +23,76 @@ columns are not read.
 
 from __future__ import annotations
 
-import base64
 import bisect
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brainweave.llm import common
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
-#: Entries of a worker's cache of words; it is emptied when full, so memory stays bounded.
-CACHE = 400_000
-
-
-class WordIds(dict):
-    """word -> little-endian ids of ' ' + word, filled on demand."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        got = np.asarray(self.encode(" " + word), dtype="<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = got
-        return got
-
-
-_CACHED: dict = {}
-
-
-def encoder(ranks_path: str, pattern: str):
-    """text -> little-endian unsigned 32-bit ids, for a byte-level BPE vocabulary.
-
-    The split pattern always starts a new token at a single blank between two other characters, so such texts are encoded word by
-    word through a cache; texts with a double blank are encoded whole.
+#: Words whose ids a task keeps; when there are more, it starts anew, so memory stays bounded.
+CACHE = 200_000
+#: Texts that are encoded at once.
+TEXTS = 64
+#: Ranges that documents and gaps are dealt into, round by round.
+RANGES = (64, 16, 4, 1)
+#: So many steps are broadcast; more are shuffled.
+BOUND = 1_000_000
+#: A blank before a visible character always begins a new token.
+WORD = re.compile(r" (?=\S)")
+
+_LOADED: dict = {}
+
+
+def tokenizer(path: str):
+    """(the tokenizer, bytes per id, its special tokens), loaded once per process."""
+    if path not in _LOADED:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        size = np.zeros(own.get_vocab_size(), dtype=np.int64)
+        for token, i in own.get_vocab().items():
+            size[i] = len(token)  # a byte-level vocabulary writes every byte as one character
+        _LOADED[path] = own, size, [t.content for t in own.get_added_tokens_decoder().values()]
+    return _LOADED[path]
+
+
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """texts -> little-endian unsigned 32-bit ids of each, for a byte-level BPE vocabulary.
+
+    Texts are encoded word by word, and a word once. New words are encoded together, as the text that they make, and
+    told apart by the bytes that each id stands for. Texts that hold a special token are encoded whole.
     """
-    if ranks_path in _CACHED:
-        return _CACHED[ranks_path]
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    words = WordIds(encode)
-
-    def ids(text: str) -> bytes:
-        if "  " in text:
-            return np.asarray(encode(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.asarray(encode(first), dtype="<u4").tobytes() + b"".join(map(words.__getitem__, rest))
-
-    _CACHED[ranks_path] = ids
-    return ids
+    own, size, special = tokenizer(path)
+    known: dict[str, bytes] = {}
+    ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = ids_of(["".join(f" {w}" for w in some)])[0]
+            last = np.cumsum([len(w.encode()) + 1 for w in some])
+            ends = (4 * (np.searchsorted(np.cumsum(size[ids]), last) + 1)).tolist()
+            data = ids.tobytes()
+            known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > CACHE:
+            known.clear()
+        whole = [any(t in x for t in special) for x in texts]
+        split = [[x] if w else WORD.split(x) for x, w in zip(texts, whole, strict=True)]
+        learn(list(set().union(*(s[1:] for s in split)).difference(known)))
+        firsts = ids_of([s[0] for s in split])
+        return [f.tobytes() + b"".join(map(known.__getitem__, s[1:])) for f, s in zip(firsts, split, strict=True)]
+
+    return encode
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -90,78 +104,124 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
         at, size = at + size, capacity
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
+    names = ["piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(ranks_path, pattern), np.array([END_ID], dtype="<u4").tobytes()
-        for pdf in batches:
-            rows = [
-                (d, k, *piece)
-                for d, t in zip(pdf["doc_id"].array, pdf["text"].array, strict=True)
-                for k, piece in enumerate(cut(encode(t or "") + end, capacity))
-            ]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(path), np.array([END_ID], dtype="<u4").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = [list(cut(ids + end, capacity)) for ids in encode(part.column(1).fill_null("").to_pylist())]
+                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                values = [(k, *piece) for f in found for k, piece in enumerate(f)]
+                columns = [pa.array(v, t) for v, t in zip(zip(*values, strict=True), kinds, strict=True)]
+                yield pa.record_batch([part.column(0).take(pa.array(row)), *columns], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.lean(run), PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Rounds of best-fit over runs. counts: documents per length.
+# ---- rounds over runs
 
-    Returns (length, first rank, last rank + 1, documents per sequence, first sequence, offset): the documents of that length
-    and rank range go, so many at a time, to consecutive sequences from the first one on, from that offset on.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, count)
+#: What a round leaves: pieces without a place (value: length, first: rank), gaps (value: gap, first: sequence), and steps: the
+#: pieces of that length (value) and of ranks first..first + n go, ``each`` at a time, to sequences from ``to`` on, from offset ``at`` on.
+RUNS = "kind string, value long, first long, n long, each long, to long, at long"
+
+
+def sweep(docs: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, fresh: int | None) -> list[tuple]:
+    """One range's sweep: rows of RUNS. fresh: the first free sequence, if pieces without a gap may open sequences."""
+    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, count)
     order: list[int] = []  # the gaps, sorted
-    found, fresh = [], 0
+    found = []
 
     def put(gap: int, first: int, n: int) -> None:
         if gap and n:
-            if gap not in gaps:
+            if gap not in runs:
                 bisect.insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
+                runs[gap] = []
+            runs[gap].append((first, n))
 
     def place(length: int, rank: int, left: int, gap: int, first: int, n: int) -> int:
-        """Places up to left documents into n sequences with this gap; returns how many."""
+        """Places up to left pieces into n sequences with this gap; returns how many."""
         each = gap // length
         took = min(left, each * n)
         full, some = divmod(took, each)
-        found.append((length, rank, rank + took, each, first, capacity - gap))
+        found.append(("step", length, rank, took, each, first, capacity - gap))
         put(gap - each * length, first, full)
         put(gap - some * length, first + full, 1 if some else 0)
         rest = n - full - (1 if some else 0)
         put(gap, first + n - rest, rest)
         return took
 
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
+    for gap, first, n in sorted(gaps):
+        put(gap, first, n)
+    for length, rank, left in sorted(docs, key=lambda r: (-r[0], r[1])):
         while left and (at := bisect.bisect_left(order, length)) < len(order):
             gap = order.pop(at)
-            runs = gaps.pop(gap)
-            for k, (first, n) in enumerate(runs):
+            same = runs.pop(gap)
+            for k, (first, n) in enumerate(same):
                 if not left:
-                    for run in runs[k:]:
+                    for run in same[k:]:
                         put(gap, *run)
                     break
                 took = place(length, rank, left, gap, first, n)
                 rank, left = rank + took, left - took
-        if left:
+        if left and fresh is not None:
             n = -(-left // (capacity // length))
             place(length, rank, left, capacity, fresh, n)
-            fresh += n
+            fresh, left = fresh + n, 0
+        if left:
+            found.append(("doc", length, rank, left, None, None, None))
+    found += [("gap", gap, first, n, None, None, None) for gap in order for first, n in runs[gap]]
     return found
 
 
+def one_round(state: DataFrame, ranges: int, capacity: int, fresh: int | None = None) -> DataFrame:
+    """Sweeps every range of values in a task of its own."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = list(zip(*(t[c].to_pylist() for c in ("kind", "value", "first", "n")), strict=True))
+        done = sweep([r[1:] for r in rows if r[0] == "doc"], [r[1:] for r in rows if r[0] == "gap"], capacity, fresh)
+        kinds = [pa.string()] + [pa.int64()] * 6
+        names = ["kind", "value", "first", "n", "each", "to", "at"]
+        return pa.table([pa.array(v, k) for v, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
+
+    dealt = state.withColumn("range", F.expr(f"(value - 1) * {ranges} div {capacity}"))
+    return dealt.groupBy("range").applyInArrow(run, RUNS)
+
+
+def plan(counts: DataFrame, capacity: int, ranges: tuple[int, ...] = RANGES) -> DataFrame:
+    """The steps that place the pieces of counts (length, count); at most ``capacity`` lengths."""
+    fill = [F.lit(None).cast("long").alias(c) for c in ("each", "to", "at")]
+    longest_first = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    long = counts.filter(F.col("length") * 2 > capacity)  # no two of them share a sequence
+    long = long.withColumn("to", F.coalesce(F.sum("count").over(longest_first), F.lit(0)))
+    zero = F.lit(0).cast("long")
+    opened = long.select(F.lit("step").alias("kind"), F.col("length").alias("value"), zero.alias("first"), F.col("count").alias("n"),
+                         F.lit(1).cast("long").alias("each"), "to", zero.alias("at"))
+    gaps = long.filter(F.col("length") < capacity).select(F.lit("gap").alias("kind"), (F.lit(capacity) - F.col("length")).alias("value"),
+                                                          F.col("to").alias("first"), F.col("count").alias("n"), *fill)
+    short = counts.filter(F.col("length") * 2 <= capacity).select(F.lit("doc").alias("kind"), F.col("length").alias("value"), zero.alias("first"), F.col("count").alias("n"), *fill)
+    state = common.materialise(opened.unionByName(gaps).unionByName(short), "packing-round", 1)
+    fresh = state.filter("kind = 'step'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    steps = [state.filter("kind = 'step'")]
+    for k in ranges:
+        left = state.filter("kind != 'step'")
+        state = common.materialise(one_round(left, k, capacity, fresh if k == 1 else None), "packing-round", 1)
+        steps.append(state.filter("kind = 'step'"))
+    every = steps[0]
+    for s in steps[1:]:
+        every = every.unionByName(s)
+    return every
+
+
 def ranked(short: DataFrame, salts: int) -> DataFrame:
     """short with rank: 0, 1, ... inside each length, in any order that a rerun repeats.
 
     Ranks are given inside (length, salt) and shifted by the counts of the salts before; no task sees a whole run.
     """
-    from pyspark.sql import Window
-
     salted = short.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,34 +235,33 @@ def ranked(short: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def best_fit(cut_pieces: DataFrame, capacity: int, rows_per_salt: int = 1_000_000) -> DataFrame:
+def best_fit(cut_pieces: DataFrame, capacity: int, rows_per_salt: int = 1_000_000, ranges: tuple[int, ...] = RANGES) -> DataFrame:
     """Adds sequence_id and offset to pieces (length 1..capacity).
 
     A length with many rows is ranked in parts of about rows_per_salt, and in 32 parts at least.
     """
     spark: SparkSession = cut_pieces.sparkSession
-    counts = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}  # <= capacity rows
-    steps = plan(counts, capacity)
-    schema = "length long, lo long, hi long, each long, first long, at long"
-    table = spark.createDataFrame(steps, schema).withColumnRenamed("length", "of")
-    rank = ranked(cut_pieces, 32 + sum(counts.values()) // rows_per_salt)
+    counts = common.materialise(cut_pieces.groupBy("length").count(), "lengths", 1)
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    steps = plan(counts, capacity, ranges)
+    steps = steps.select(F.col("value").alias("of"), F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"), "each", "to", "at")
+    steps = common.materialise(steps, "packing-steps", 1)
+    rank = ranked(cut_pieces, 32 + total // rows_per_salt)
     mine = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     return (
-        rank.join(F.broadcast(table), mine)  # its size depends on the capacity only
+        rank.join(F.broadcast(steps) if steps.count() <= BOUND else steps, mine)
         .withColumn("k", F.col("rank") - F.col("lo"))
         .select(
             *cut_pieces.columns,
-            F.expr("first + k div each").alias("sequence_id"),
+            F.expr("to + k div each").alias("sequence_id"),
             F.expr("at + (k % each) * length").alias("offset"),
         )
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     import public_tokenizers as vocabularies
 
-    cut_pieces = common.materialise(
-        pieces(docs, ranks_path or vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, capacity), "pieces"
-    )
+    cut_pieces = common.materialise(pieces(docs, path or vocabularies.path("byte_bpe_50k.json"), capacity), "pieces")
     return best_fit(cut_pieces, capacity)

@@ -10,13 +10,12 @@ from brainweave.llm import packing
 
 def reference_ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [packing.END_ID] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pieces_hold_the_documents_ids_and_sequences_hold_the_pieces(spark):
     r = random.Random(3)
-    texts = ["", None, "a", "two  blanks\n\nand lines", "<|endoftext|> é 日本 😀", "x" * 9000, *[" ".join(r.choices(["The", "word", "naïve", "12", "it's", "\n"], k=r.randint(1, 900))) for _ in range(60)]]
+    texts = ["", None, "a", "two  blanks\n\nand lines", "<|endoftext|> é 日本 😀", "in a text<|endoftext|>there", "a\n \n b \u3000 ", " ", "x" * 9000, *[" ".join(r.choices(["The", "word", "naïve", "12", "it's", "\n"], k=r.randint(1, 900))) for _ in range(60)]]
     rows = list(enumerate(texts))
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=256).collect()
     ids = {d: np.array(i, "<u4") for (d, _), i in zip(rows, reference_ids([t or "" for t in texts]), strict=True)}
@@ -49,20 +48,53 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
+def steps_of(counts, capacity, ranges=packing.RANGES):
+    """What packing.plan gives, without Spark: (length, lo, hi, each, first, at)."""
+    steps, state, fresh = [], [], 0
+    for n in sorted(counts, reverse=True):
+        if 2 * n > capacity:
+            steps.append((n, 0, counts[n], 1, fresh, 0))
+            state += [("gap", capacity - n, fresh, counts[n])] if n < capacity else []
+            fresh += counts[n]
+        else:
+            state.append(("doc", n, 0, counts[n]))
+    for k in ranges:
+        dealt = {}
+        for kind, *run in state:
+            dealt.setdefault((run[0] - 1) * k // capacity, {"doc": [], "gap": []})[kind].append(tuple(run))
+        done = [row for r in dealt.values() for row in packing.sweep(r["doc"], r["gap"], capacity, fresh if k == 1 else None)]
+        steps += [(n, lo, lo + c, each, to, at) for kind, n, lo, c, each, to, at in done if kind == "step"]
+        state = [r[:4] for r in done if r[0] != "step"]
+    return steps
+
+
+def check_steps(steps, lengths, capacity):
+    used = {}
+    for n, lo, hi, each, first, at in steps:
+        for k in range(hi - lo):
+            used.setdefault(first + k // each, []).append((at + k % each * n, n))
+    assert sorted(n for v in used.values() for _, n in v) == sorted(lengths)
+    for v in used.values():
+        v.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(v, v[1:])) and v[0][0] == 0 and sum(n for _, n in v) <= capacity
+    assert len(used) <= best_fit(lengths, capacity)
+
+
 def test_plan_takes_no_more_sequences_than_best_fit_one_at_a_time():
     r = random.Random(1)
     for _ in range(30):
         lengths = [r.choice((r.randint(1, 64), 5, 33)) for _ in range(r.randint(1, 300))]
+        check_steps(steps_of({n: lengths.count(n) for n in set(lengths)}, 64), lengths, 64)
+
+
+def test_rounds_on_spark_place_every_run_once(spark):
+    r = random.Random(7)
+    for most in (64, 20):
+        lengths = [r.choice((r.randint(1, most), 5, 3)) for _ in range(r.randint(100, 300))]
         counts = {n: lengths.count(n) for n in set(lengths)}
-        used = {}
-        for n, lo, hi, each, first, at in packing.plan(counts, 64):
-            for k in range(hi - lo):
-                used.setdefault(first + k // each, []).append((at + k % each * n, n))
-        assert sum(len(v) for v in used.values()) == len(lengths)
-        for v in used.values():
-            v.sort()
-            assert all(a + n == b for (a, n), (b, _) in zip(v, v[1:])) and v[0][0] == 0 and sum(n for _, n in v) <= 64
-        assert len(used) <= best_fit(lengths, 64)
+        steps = packing.plan(spark.createDataFrame(list(counts.items()), "length long, count long"), 64).collect()
+        check_steps([(s.value, s["first"], s["first"] + s.n, s["each"], s.to, s["at"]) for s in steps], lengths, 64)
+        assert sorted(tuple(s)[1:] for s in steps) == sorted((n, lo, hi - lo, *rest) for n, lo, hi, *rest in steps_of(counts, 64))
 
 
 def test_ties_repeated_rows_null_ids_empty_table_and_extra_columns(spark):
