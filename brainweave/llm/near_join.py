@@ -1,8 +1,9 @@
 """Operator 2, n-gram Jaccard join: a grouped prefix join over five-word shingles, at a similarity of 0.8 or more.
 
 Documents whose shingle sets have the same size and the same prefix are one group. Groups are paired through the shingles
-of their prefixes and filtered by size and by what the shared part of the prefixes leaves possible; only what is left is
-expanded to members, whose full sets are compared. Equal sets are collapsed before anything else.
+of their prefixes and filtered by their sizes, by the places of what they share (which must be early enough for sets of these two
+sizes) and by sketches; only what is left is expanded to members, whose full sets are compared. Equal sets are collapsed
+before anything else.
 
 Order of shingles: rare ones first, so that what many documents share seldom stands in a prefix. Document frequencies
 are counted over all shingles of all documents. Of the counts, the ``table`` largest (a fixed number, so the table
@@ -11,7 +12,8 @@ can be broadcast) decide the order; all other shingles are ordered by hash. Any
 Large groups of near copies: a list of documents that share a shingle is first joined only to its pivots (its smallest
 member of about that size, and each member's two neighbours), which takes as many pairs as the list has members. What that
 links is one component; afterwards only pairs of different components are still looked at, all of them. So no link
-between components is lost, and a group of copies costs pairs in proportion to its size.
+between components is lost, and a group of copies costs pairs in proportion to its size. Lists of more than ``hot`` documents
+are split for the first pass, and the pivots of their parts joined to the list's.
 
 Result: one row per row of the input, with n_shingles (0 for no words) and component_id, the smallest doc_id reachable
 by links, itself included. Null texts have no words. Repeated rows, and different texts under one doc_id, are one node
@@ -37,7 +39,9 @@ TABLE, FREQUENT = 1 << 20, 6
 SKETCH = 4
 SKETCHED = [f"k{i}" for i in range(SKETCH)]
 #: Shingles that a task counts before it hands them on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+#: A shingle in more documents than this has its list split, so that no task holds it whole.
+HOT = 200_000
 
 
 # ---- document frequencies
@@ -105,25 +109,30 @@ def frequencies(docs: DataFrame, bits: int, bucket_bits: int, least: int) -> Dat
         sums = np.add.reduceat(counts, at)
         keep = sums >= least
         keys = values[at][keep] + (np.uint64(t["bucket"][0].as_py()) << np.uint64(low))
+        del values, counts, order, got
+        common.give_back()
         return pa.table({"key": keys.astype(np.int64), "df": sums[keep].astype(np.int64)})
 
-    blobs = docs.select("text").mapInArrow(gather, "bucket int, data binary, more binary")
+    blobs = docs.select("text").mapInArrow(common.lean(gather), "bucket int, data binary, more binary")
     return blobs.groupBy("bucket").applyInArrow(total, "key long, df long")
 
 
-def order_table(docs: DataFrame, table: int, least: int):
-    """A broadcast of (bits, sorted keys, their classes, filter): the ``table`` most frequent shingles' order."""
+def order_table(docs: DataFrame, table: int, least: int, hot: int):
+    """A broadcast of (bits, sorted keys, their classes, filter): the ``table`` most frequent shingles' order.
+
+    Then, as rows (tok_key, salts), those of more than ``hot`` documents, and the bits in a key."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(60, max(32, math.ceil(math.log2(size + 1)) + 2))
-    bucket_bits = max(5, math.ceil(math.log2(size / (16 << 20) + 1)))
+    bucket_bits = max(5, math.ceil(math.log2(size / (8 << 20) + 1)))
     top = frequencies(docs, bits, bucket_bits, least).orderBy(F.desc("df"), "key").limit(table).toArrow()
     keys = top["key"].to_numpy().astype(np.uint64)
     order = np.argsort(keys)
     classes = np.minimum(63, np.log2(np.maximum(1, top["df"].to_numpy())) * 2).astype(np.uint8)[order]
     seen = np.zeros(1 << 22, dtype=bool)
     seen[(keys >> np.uint64(bits - 22)).astype(np.int64)] = True
-    return spark.sparkContext.broadcast((bits, keys[order], classes, seen))
+    many = [(int(k), -(-int(d) // hot)) for k, d in zip(keys, top["df"].to_numpy(), strict=True) if d > hot]
+    return spark.sparkContext.broadcast((bits, keys[order], classes, seen)), many, bits
 
 
 # ---- sets and prefixes
@@ -135,7 +144,7 @@ def needed(n: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, order, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n, two hashes of the set, two of its prefix, the place of the prefix's last shingle, the set's sketch, the prefix.
+    """Per row: doc_id, n, two hashes of the set, two of its prefix, the set's sketch, the prefix in its order.
 
     A sketch has a bit per 1 / 256 of all hashes: whether the set has an odd number of shingles there. Where two sketches
     differ, the sets differ in a shingle at least.
@@ -144,15 +153,14 @@ def prefixes(docs: DataFrame, order, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, keys, classes, seen = order.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7 + SKETCH)]
+            cols: list[list] = [[] for _ in range(6 + SKETCH)]
             for s in shingles.shingle_hashes(batch.column(1)):
-                n, last = len(s), 0
+                n = len(s)
                 h1 = int(s.sum(dtype=np.uint64))
                 h2 = int(shingles.mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64))
                 prefix = s[: n - needed(n, num, den) + 1] if n else s
                 if n:
                     maybe = np.flatnonzero(seen[(s >> np.uint64(42)).astype(np.int64)])
-                    cls = None
                     if len(maybe) and len(keys):
                         k = s[maybe] >> np.uint64(64 - bits)
                         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
@@ -160,14 +168,12 @@ def prefixes(docs: DataFrame, order, num: int, den: int) -> DataFrame:
                         if hit.any():
                             cls = np.zeros(n, dtype=np.uint8)
                             cls[maybe[hit]] = classes[at[hit]]
-                            by = np.argsort(cls, kind="stable")[: len(prefix)]
-                            prefix = s[by]
-                    last = (int(cls[by[-1]]) if cls is not None else 0) << 56 | int(prefix[-1]) >> 8
+                            prefix = s[np.argsort(cls, kind="stable")[: len(prefix)]]
                 p1 = int((prefix * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
                 p2 = int(shingles.mix(prefix).sum(dtype=np.uint64))
                 odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketch = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-                for c, v in zip(cols, (n, h1, h2, p1, p2, last, *sketch, prefix.view(np.int64)), strict=True):
+                for c, v in zip(cols, (n, h1, h2, p1, p2, *sketch, prefix.view(np.int64)), strict=True):
                     c.append(v)
             longs = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols[1:-1]]
             ends = np.cumsum([0, *map(len, cols[-1])])
@@ -179,11 +185,11 @@ def prefixes(docs: DataFrame, order, num: int, den: int) -> DataFrame:
                     *longs,
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                ["doc_id", "n", "h1", "h2", "p1", "p2", "last", *SKETCHED, "prefix"],
+                ["doc_id", "n", "h1", "h2", "p1", "p2", *SKETCHED, "prefix"],
             )
 
-    schema = ", ".join(f"{c} long" for c in ("doc_id", "n", "h1", "h2", "p1", "p2", "last", *SKETCHED)) + ", prefix array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "n", "h1", "h2", "p1", "p2", *SKETCHED)) + ", prefix array<long>"
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), schema)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "h1", "shingles"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, h1 long, shingles binary")
 
 
 def similar(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -215,7 +221,7 @@ def similar(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * shared >= num * (len(both) - shared))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(common.lean(run), "a long, b long")
 
 
 def sketches_allow(num: int, den: int):
@@ -244,6 +250,9 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, num: int, den:
     texts = docs.join(side, F.col("doc_id") == F.col("vid"), "left_semi")
     sets = full_sets(texts).join(ids, (F.col("doc_id") == F.col("vid")) & (F.col("h1") == F.col("_h1")))
     sets = common.materialise(sets.select("vid", "shingles"), "sets", 8 * files)
+    if sets.count() > ids.count():  # repeated rows: a set counts once
+        sets, every = common.materialise(sets.dropDuplicates(["vid"]), "sets", 8 * files), sets
+        common.remove(every)
     both = pairs.join(sets.select(F.col("vid").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("vid").alias("a"), F.col("shingles").alias("sa")), "a"
     )
@@ -255,51 +264,64 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, num: int, den:
 # ---- the join
 
 
-def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int = TABLE, least: int = FREQUENT, bound: int = 500_000) -> DataFrame:
+def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int = TABLE, least: int = FREQUENT, bound: int = 500_000, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs (doc_id, text). num / den: the least similarity.
 
-    bound: so many groups are broadcast to find their prefixes; more are shuffled.
+    bound: so many groups are broadcast to find their prefixes; more are shuffled. hot: the longest list that stays whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = order_table(docs, table, least)
-    rows = common.materialise(prefixes(docs, order, num, den), "prefixes")
+    order, many, bits = order_table(docs, table, least, hot)
+    rows = common.materialise(prefixes(docs, order, num, den).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+    order.destroy()
     files = common.files_for(docs.sparkSession, rows.count())
 
     # nodes: distinct sets; groups: nodes of one size and prefix
     key = ["n", "p1", "p2"]
-    sets = rows.filter("n > 0").groupBy(*key, "h1", "h2").agg(F.min("doc_id").alias("vid"), *[F.first(c).alias(c) for c in ("last", *SKETCHED)]).filter("vid IS NOT NULL")
+    sets = rows.filter("n > 0").groupBy(*key, "h1", "h2").agg(F.min("doc_id").alias("vid"), F.min_by("rid", "doc_id").alias("rid"), *[F.first(c).alias(c) for c in SKETCHED]).filter("vid IS NOT NULL")
     groups = sets.groupBy(*key).agg(F.min("vid").alias("gid"), F.count(F.lit(1)).alias("members"))
     nodes = common.materialise(sets.join(groups, key), "nodes", files)
     slim = common.materialise(rows.select("doc_id", "n", "h1", "h2"), "rows", files)
 
     ratio = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)  # noqa: E731  the sizes allow a link
     need = lambda n: F.ceil(n * num / den)
-    firsts = nodes.filter("vid = gid").select("gid", "h1", "h2")
+    firsts = nodes.filter("vid = gid").select("rid", "gid")
     few = firsts.count() <= bound  # then the prefixes needn't be shuffled to be found
     postings = (
-        rows.select(F.col("doc_id").alias("gid"), "n", "h1", "h2", "prefix")
-        .join(F.broadcast(firsts) if few else firsts, ["gid", "h1", "h2"])
-        .select("gid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
+        rows.select("rid", "n", "prefix")
+        .join(F.broadcast(firsts) if few else firsts, "rid")
+        .select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
         .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n")).cast("int"))
     )
-    in_list = Window.partitionBy("tok").orderBy("band", "n", "gid")
-    in_band = Window.partitionBy("tok", "band").orderBy("n", "gid")
+    part = F.lit(0)
+    if many:  # at most as many as the table has entries
+        salts = docs.sparkSession.createDataFrame(many, "tok_key long, salts int")
+        at = F.shiftrightunsigned("tok", 64 - bits)
+        postings = postings.join(F.broadcast(salts), at == F.col("tok_key"), "left")
+        part = F.coalesce(F.pmod(F.xxhash64("gid"), F.col("salts")), F.lit(0)).cast("int")
+    postings = postings.withColumn("part", part)
+    in_list = Window.partitionBy("tok", "part").orderBy("band", "n", "gid")
+    in_band = Window.partitionBy("tok", "part", "band").orderBy("n", "gid")
     me = F.struct("gid", "n")
     shared = (
         postings.withColumn("prev", F.lag(me).over(in_list))
         .withColumn("before", F.lag(me, 2).over(in_list))
         .withColumn("next", F.lead("gid").over(in_list))
-        .filter("prev IS NOT NULL OR next IS NOT NULL")
+        .filter("prev IS NOT NULL OR next IS NOT NULL" + (" OR salts IS NOT NULL" if many else ""))
         .withColumn("pivot", F.first(me).over(in_band))
-        .drop("next", "band")
     )
-    shared = common.materialise(shared, "shared-postings", 2 * files)
+    kept = ["tok", "gid", "n", "pos", "prev", "before", "pivot"]
+    shared = common.materialise(shared.select(*kept, *(["band"] if many else [])), "shared-postings", 2 * files)
     common.remove(rows)
 
     # 1: members to pivots, where some of the prefixes' shingles say so; members of a group to its first
+    others = F.array_distinct(F.array("prev", "before", "pivot"))
+    toward = shared.select("gid", "n", F.explode(others).alias("o"))
+    if many:  # the pivots of the parts of a list to the list's own
+        pivots = shared.filter(F.col("pivot.gid") == F.col("gid"))
+        own = pivots.groupBy("tok", "band").agg(F.min(F.struct("n", "gid")).alias("p"))
+        toward = toward.union(pivots.join(own, ["tok", "band"]).select("gid", "n", F.struct("p.gid", "p.n")))
     likely = (
-        shared.select("gid", "n", F.explode(F.array_distinct(F.array("prev", "before", "pivot"))).alias("o"))
-        .filter(F.col("o.gid").isNotNull() & (F.col("o.gid") != F.col("gid")) & ratio(F.col("n"), F.col("o.n")))
+        toward.filter(F.col("o.gid").isNotNull() & (F.col("o.gid") != F.col("gid")) & ratio(F.col("n"), F.col("o.n")))
         .groupBy(F.col("o.gid").alias("a"), F.col("gid").alias("b"), F.least("n", "o.n").alias("n"))
         .count()
         .filter(F.col("count") >= 0.02 * (F.col("n") - need(F.col("n")) + 1))
@@ -311,24 +333,22 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
 
     # 2: all pairs of groups that are not of one component
     state = nodes.join(found, F.col("vid") == F.col("id"), "left").select(
-        "vid", "gid", "n", "members", "last", *SKETCHED, F.coalesce("component", "vid").alias("comp")
+        "vid", "gid", "n", "members", *SKETCHED, F.coalesce("component", "vid").alias("comp")
     )
     state = common.materialise(state, "states", files)
     # a sketch for the groups of one member; others may hold anything
     only = lambda c: F.when(F.count(F.lit(1)) == 1, F.first(c)).alias(c)
     one = state.groupBy("gid").agg(
-        F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"), F.first("last").alias("last"), *map(only, SKETCHED)
-    )
-    every = Window.partitionBy("tok")
-    lists = (
-        shared.select("tok", "gid", "n")
-        .join(one, "gid")
-        .withColumn("open", (F.min("comp").over(every) != F.max("comp").over(every)) | F.max("mixed").over(every))
-        .filter("open")
-        .drop("open")
+        F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"), *map(only, SKETCHED)
     )
-    fields = ("gid", "n", "last", "comp", "mixed", *SKETCHED)
+    lists = shared.select("tok", "gid", "n", "pos").join(one, "gid")
+    still = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mix")).filter("lo != hi OR mix").select("tok")
+    lists = common.materialise(lists.join(still, "tok"), "open-lists", files)
+    common.remove(shared)
+    fields = ("gid", "n", "pos", "comp", "mixed", *SKETCHED)
     other = lists.select(*[F.col(c).alias(f"{c}_b") for c in ("tok", *fields)])
+    # sets of sizes n and n_b that link share so many; so the first of them stands this early in both
+    both = F.ceil((F.col("n") + F.col("n_b")) * num / (num + den))
     pairs = (
         lists.join(
             other,
@@ -336,17 +356,13 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
             & (F.col("gid") < F.col("gid_b"))
             & ratio(F.col("n"), F.col("n_b"))
             & (F.col("mixed") | F.col("mixed_b") | (F.col("comp") != F.col("comp_b")))
+            & (F.col("pos") <= F.col("n") - both)
+            & (F.col("pos_b") <= F.col("n_b") - both)
             & sketches_allow(num, den),
         )
-        .groupBy("gid", "gid_b", "n", "n_b", "last", "last_b")
-        .count()
+        .select("gid", "gid_b")
+        .distinct()
     )
-    # beyond the prefixes, the set whose prefix ends first can still share all of its rest
-    rest, rest_b = need(F.col("n")) - 1, need(F.col("n_b")) - 1
-    most = F.col("count") + F.when(F.col("last") < F.col("last_b"), rest).when(
-        F.col("last") > F.col("last_b"), rest_b
-    ).otherwise(F.greatest(rest, rest_b))
-    pairs = pairs.filter((num + den) * most >= num * (F.col("n") + F.col("n_b"))).select("gid", "gid_b")
     sides = [F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n"), *SKETCHED]
     sides_b = [F.col("vid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in SKETCHED]]
     left, right = state.select("gid", *sides), state.select(F.col("gid").alias("gid_b"), *sides_b)
@@ -356,6 +372,7 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
     within_a, within_b = mixed.select(F.col("gid").alias("g"), *sides), mixed.select(F.col("gid").alias("g_b"), *sides_b)
     within = within_a.join(within_b, (F.col("g") == F.col("g_b")) & (F.col("a") < F.col("b")) & apart).select("a", "b")
     more = verified(docs, across.union(within), nodes, num, den, files)
+    common.remove(lists, state)
     stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = graph.connected_components(stars.union(more))
 

@@ -66,6 +66,15 @@ def test_small_frequency_table_gives_the_same(spark):
     check(spark, texts(2, 90), table=8, least=2)
 
 
+def test_split_lists_give_the_same(spark):
+    check(spark, texts(3, 90), hot=6, least=2)
+
+
+def test_rows_that_repeat_many_times(spark):
+    rows = [row for row in texts(4, 24) for _ in range(4)]
+    check(spark, rows)
+
+
 def test_a_large_group_of_near_copies_and_copies(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
