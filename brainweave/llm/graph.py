@@ -20,7 +20,7 @@ def _are_stars(pairs: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).filter("ups > 1 OR (ups > 0 AND downs > 0)").isEmpty()
 
 
-def connected_components(edges: DataFrame, limit: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): for every node of edges (a, b), the smallest node that it reaches.
 
     Each round shuffles the edges four times and writes them to the shared folder; the number of rounds grows with
@@ -35,17 +35,13 @@ def connected_components(edges: DataFrame, limit: int = 50) -> DataFrame:
         "edges",
         files,
     )
-    for _ in range(limit):
-        if _are_stars(stars):
-            break
+    while not _are_stars(stars):
         both = stars.union(stars.select("v", "u"))
         large = _nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _nearest(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
         stars, old = common.materialise(small.filter("u != v").distinct(), "edges", files), stars
         common.remove(old)
-    else:
-        raise RuntimeError(f"components not settled after {limit} rounds")
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         stars.select("v", "v").distinct()
     )

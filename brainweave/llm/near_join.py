@@ -131,8 +131,12 @@ def order_table(docs: DataFrame, table: int, least: int, hot: int):
     classes = np.minimum(63, np.log2(np.maximum(1, top["df"].to_numpy())) * 2).astype(np.uint8)[order]
     seen = np.zeros(1 << 22, dtype=bool)
     seen[(keys >> np.uint64(bits - 22)).astype(np.int64)] = True
-    many = [(int(k), -(-int(d) // hot)) for k, d in zip(keys, top["df"].to_numpy(), strict=True) if d > hot]
-    return spark.sparkContext.broadcast((bits, keys[order], classes, seen)), many, bits
+    df = top["df"].to_numpy()
+    many = [(int(k), -(-int(d) // hot)) for k, d in zip(keys[df > hot], df[df > hot], strict=True)]
+    sent = spark.sparkContext.broadcast((bits, keys[order], classes, seen))
+    del top, df, seen, keys, order, classes
+    common.give_back()
+    return sent, many, bits
 
 
 # ---- sets and prefixes

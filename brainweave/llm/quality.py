@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brainweave.llm import shingles
+from brainweave.llm import common, shingles
 
 WORD_BITS, RANK, BINS = 14, 8, 12
 #: Words repeat at these distances in texts that go round in circles.
@@ -235,13 +235,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
                 )
                 row += n
 
-    got = rows.mapInArrow(run, "doc_id long, y int, idx binary, val binary, stats binary").toArrow()
+    got = rows.mapInArrow(common.lean(run), "doc_id long, y int, idx binary, val binary, stats binary").toArrow()
     got = got.sort_by("doc_id")
     each = [np.frombuffer(b, "<i4") for b in got["idx"].to_pylist()]
     at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     flat = lambda c, kind: np.frombuffer(b"".join(got[c].to_pylist()), kind)
     width = len(STATISTICS) + len(metadata)
-    return fit(flat("idx", "<i4"), flat("val", "<f4"), at, flat("stats", "<f8").reshape(-1, width), got["y"].to_numpy().astype(np.float64))
+    model = fit(flat("idx", "<i4"), flat("val", "<f4"), at, flat("stats", "<f8").reshape(-1, width), got["y"].to_numpy().astype(np.float64))
+    del got, each
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = (), into: str = "score") -> DataFrame:
