@@ -1,16 +1,20 @@
 """Operator 9, secret scans: a decoding worklist over every whole text, rescanning each layer.
 
-The raw text is scanned first (the base spans). Then a worklist unwraps, wherever they stand, URL escapes, Unicode
-escapes (of the whole layer at once, and of each run without white space alone), base64 runs and - inside base64 - zlib
-or gzip streams. Each decoded piece is a new layer that is scanned and
+The raw text is scanned first (the base spans). Then a worklist unwraps, wherever they stand and inside one another, URL
+escapes, Unicode escapes (of the whole layer at once, and of each run without white space alone), base64 runs, and zlib, gzip
+and raw deflate streams. Each decoded piece is a new layer that is scanned and
 searched for further pieces, until nothing new appears. A layer with a content and a place in the raw text that have been
 seen together is not entered again, so cycles end, and a piece that stands at several places is found at each. A secret found in a layer is mapped back to the span, in code points of the raw text,
 of the encoded piece's characters that it came from: exactly for URL and Unicode escapes, and to the whole encoded run
 for base64 and compressed pieces (of a run over several lines, to the whole lines). Base64 may begin at any character of
-a run, so what is glued to a path or a word is found, and other bytes than text hide nothing but themselves. Spans are reported once each; base spans are never removed.
+a run of 12 characters or more (fewer can't hold a secret), so what is glued to a path or a word is found, and other bytes than
+text hide nothing but themselves. A raw deflate stream has no mark of its own: it is looked for where a piece begins, and must
+be whole. Spans are reported once each; base spans are never removed.
 
-Null and empty texts have no spans. Repeated rows are reported alike. Extra columns are not read. A decompressed piece
-of more than ``max_layer`` bytes (a compression bomb) is not entered, but for the gzip members that fit; the raw text itself has no limit of any kind.
+A decompressed piece may have any size: it is read in windows of ``window`` bytes, each a layer that begins with the last
+``overlap`` bytes of the one before, so memory is bounded; only a secret longer than the overlap can be reported in part there.
+
+Null and empty texts have no spans. Repeated rows are reported alike. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,10 +39,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 KEYWORDS = ("passw", "secret", "token", "api")
 
-URL_RUN = re.compile(r"(?<![^\s%])[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"(?<![^\s\\])[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
-UNICODE_UNIT = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+URL_CODE = r"%(?:u[0-9A-Fa-f]{4}|[0-9A-Fa-f]{2})"
+UNICODE_CODE = r"\\(?:u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})"
+URL_RUN = re.compile(rf"(?<![^\s%])[^\s%]*(?:{URL_CODE}[^\s%]*)+")
+URL_UNIT = re.compile(rf"(?:{URL_CODE})+")
+UNICODE_RUN = re.compile(rf"(?<![^\s\\])[^\s\\]*(?:{UNICODE_CODE}[^\s\\]*)+")
+UNICODE_UNIT = re.compile(rf"(?:{UNICODE_CODE})+")
+URL_PART = re.compile(r"%u([0-9A-Fa-f]{4})|((?:%[0-9A-Fa-f]{2})+)")
+UNICODE_PART = re.compile(r"[uUx]\{?([0-9A-Fa-f]+)")
 #: Base64 over one or more lines; a run of one line has 12 characters at least.
 BASE64_RUN = re.compile(
     r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}+(?:\r?\n[A-Za-z0-9+/_-]+)*+"
@@ -46,12 +54,19 @@ BASE64_RUN = re.compile(
 )
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 URL_ALPHABET = str.maketrans("-_", "+/")
-#: In base64, runs that carry text or a compressed stream mix cases or hold digits; words of prose don't.
-MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
 #: Nothing shorter holds a secret (14 characters at least) or a further piece (12).
 STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
-#: First bytes of gzip and zlib streams.
-STREAM = re.compile(rb"[\x1f\x08\x18\x28\x38\x48\x58\x68\x78]")
+#: The first two bytes of gzip and zlib streams (RFC 1952; 1950: a multiple of 31, without a dictionary).
+STREAM = re.compile(
+    b"\x1f\x8b|"
+    + b"|".join(
+        re.escape(bytes([c])) + b"[" + b"".join(re.escape(bytes([f])) for f in range(256) if not (c * 256 + f) % 31 and not f & 32) + b"]"
+        for c in range(0x08, 0x80, 0x10)
+    )
+)
+WINDOW, OVERLAP = 1 << 24, 1 << 16
+Inflate = tuple[int, int]
+"""Most bytes of a layer, and how many of them the next one repeats."""
 
 
 
@@ -94,82 +109,109 @@ def unwrapped(text: str, unit: re.Pattern, run: re.Pattern, decode) -> Iterator[
 
 
 def url_units(s: str) -> str:
-    try:
-        return bytes.fromhex(s.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return bytes.fromhex(s.replace("%", "")).decode("latin-1")
+    out = []
+    for m in URL_PART.finditer(s):
+        if m[1]:
+            out.append(chr(int(m[1], 16)))
+            continue
+        raw = bytes.fromhex(m[2].replace("%", ""))
+        try:
+            out.append(raw.decode("utf-8"))
+        except UnicodeDecodeError:
+            out.append(raw.decode("latin-1"))
+    return paired("".join(out))
+
+
+def paired(s: str) -> str:
+    """s with surrogate pairs joined; what is no character is replaced."""
+    return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def unicode_units(s: str) -> str:
-    got = "".join(chr(int(x, 16)) for x in re.findall(r"[ux]([0-9A-Fa-f]+)", s))
-    return got.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return paired("".join(chr(min(int(x, 16), 0x10FFFF)) for x in UNICODE_PART.findall(s)))
 
 
-def begins_stream(raw: bytes, at: int) -> bool:
-    """Whether a gzip or zlib stream may begin at a byte (RFC 1952 and 1950)."""
-    c, f = raw[at : at + 2] if at + 2 <= len(raw) else (0, 0)
-    return (c, f) == (0x1F, 0x8B) or (c & 0x8F == 8 and (c * 256 + f) % 31 == 0 and not f & 32)
+def url_bytes(s: str) -> bytes:
+    """The bytes of a URL-escaped run; characters beyond Latin-1 are question marks."""
+    got = re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), s)
+    return got.encode("latin-1", "replace")
 
 
-def inflate(raw: bytes, at: int, max_layer: int, block: int = 1 << 14) -> tuple[bytes, int, bool] | None:
-    """What the stream at a byte decompresses to, as far as it is whole, its end, and if it has one; None if over max_layer bytes.
+def inflated(raw: bytes, at: int, bits: int, block: int = 1 << 14) -> Iterator[tuple[bytes, int, bool]]:
+    """What the stream at a byte decompresses to, bit by bit, as far as it is whole; where each bit ends, and whether the stream does.
 
-    Further members of a gzip stream belong to it (RFC 1952, 2.2), as many as fit; the end is then that of the last."""
-    d, out, size = zlib.decompressobj(47), [], 0
-    gzip, whole = raw.startswith(b"\x1f\x8b", at), None
-    while at < len(raw):
+    Further members of a gzip stream belong to it (RFC 1952, 2.2). No bit is longer than 1 MiB.
+    """
+    d = zlib.decompressobj(bits)
+    gzip = bits > 0 and raw.startswith(b"\x1f\x8b", at)
+    feed = b""
+    while at < len(raw) or feed:
         if d.eof:
             if not (gzip and raw.startswith(b"\x1f\x8b\x08", at)):
-                break
-            d, whole = zlib.decompressobj(31), (len(out), at)
-        before, piece = d.copy(), raw[at : at + block]
+                return
+            d = zlib.decompressobj(31)
+        before = d.copy()
+        feed = feed or raw[at : at + block]
         try:
-            got = d.decompress(piece, max_layer - size + 1)
+            got = d.decompress(feed, 1 << 20)
         except zlib.error:
             if block == 1:
-                break
-            d, block = before, 1
+                return
+            d, block, feed = before, 1, b""
             continue
-        out.append(got)
-        size += len(got)
-        if size > max_layer:
-            return whole and (b"".join(out[: whole[0]]), whole[1], True)
-        at += len(piece) - len(d.unused_data)
-    return b"".join(out), at, d.eof
+        at += len(feed) - len(d.unused_data) - len(d.unconsumed_tail)
+        feed = d.unconsumed_tail
+        if got or d.eof:
+            yield got, at, d.eof
+
+
+def streams(raw: bytes, limit: Inflate) -> Iterator[tuple[bytes, int, int]]:
+    """The windows of every compressed stream in raw, with the stream's first byte and its end."""
+    done = 0
+    starts = [(m.start(), 47) for m in STREAM.finditer(raw)]
+    if len(raw) > 8 and (not starts or starts[0][0]):
+        starts.insert(0, (0, -15))  # raw deflate: only from the beginning, and only if whole
+    for at, bits in starts:
+        if at < done:
+            continue
+        end, ended, some = at, False, 0
+        for got, end, ended in inflated(raw, at, bits):  # noqa: B007
+            some += len(got)
+        if not some or (bits < 0 and not ended):
+            continue
+        if ended and bits > 0:
+            done = end
+        held = b""
+        for got, _, _ in inflated(raw, at, bits):
+            held += got
+            if len(held) >= limit[0]:
+                yield held, at, end
+                held = held[-limit[1] :]
+        if held:
+            yield held, at, end
+
+
+def compressed_layers(raw: bytes, limit: Inflate) -> Iterator[Layer]:
+    """The layers of the streams in raw, placed at all of their bytes; those that can hold nothing are left out."""
+    for inner, at, end in streams(raw, limit):
+        if STRETCH.search(inner) or STREAM.match(inner):
+            yield inner.decode("latin-1"), *(np.broadcast_to(x, len(inner)) for x in (at, end))
 
 
-def base64_bytes(chars: str, max_layer: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """The bytes in base64 characters (either alphabet) that may begin at any of them, and what is compressed in them;
+def base64_bytes(chars: str) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """The bytes in base64 characters (either alphabet) that may begin at any of them;
 
     with, per byte, the first and last character it came from."""
     for skip in range(min(4, len(chars) - 1)):
         body = chars[skip:].translate(URL_ALPHABET)
         body = body[: len(body) - (len(body) % 4 == 1)]
         raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-        if STRETCH.search(raw):
+        if STRETCH.search(raw) or STREAM.search(raw) or next(inflated(raw, 0, -15), None):
             n = np.arange(len(raw))
             yield raw, skip + n * 4 // 3, skip + (n * 8 + 7) // 6
-        done = 0
-        for m in STREAM.finditer(raw):
-            at, known = m.start(), set()
-            if at < done or (at % 3 and at != done):
-                continue
-            inner, end, ended = raw, at, False
-            while begins_stream(inner, 0 if known else at) and (got := inflate(inner, 0 if known else at, max_layer)):
-                if not known:
-                    _, end, ended = got
-                inner = got[0]
-                digest = hashlib.blake2b(inner).digest()
-                if digest in known:
-                    break
-                known.add(digest)
-                if STRETCH.search(inner):
-                    place = skip + at * 4 // 3, skip + ((end - 1) * 8 + 7) // 6
-                    yield inner, *(np.broadcast_to(x, len(inner)) for x in place)
-            done = end if ended else done
-
-
-def base64_layers(text: str, max_layer: int) -> Iterator[Layer]:
+
+
+def base64_layers(text: str) -> Iterator[Layer]:
     """The layers of base64 runs, joined over line breaks and line by line, each byte placed at its whole lines.
 
     Bytes stand as Latin-1 characters: the patterns are ASCII, and no other byte hides what stands around it."""
@@ -177,11 +219,11 @@ def base64_layers(text: str, max_layer: int) -> Iterator[Layer]:
         lines = [m.span() for m in BASE64_LINE.finditer(text, *run.span())]
         for part in [lines, *([x] for x in lines if len(lines) > 1 and x[1] - x[0] >= 12)]:
             chars = "".join(text[a:b].rstrip("=") for a, b in part)
-            if len(chars) < 12 or not MIXED.search(text, part[0][0], part[-1][1]):
+            if len(chars) < 12:
                 continue
             first, last = np.array(part).T
             till = np.cumsum(last - first)
-            for raw, a, b in base64_bytes(chars, max_layer):
+            for raw, a, b in base64_bytes(chars):
                 if len(part) == 1:
                     yield raw.decode("latin-1"), *(np.broadcast_to(x, len(raw)) for x in part[0])
                 else:
@@ -189,13 +231,17 @@ def base64_layers(text: str, max_layer: int) -> Iterator[Layer]:
                     yield raw.decode("latin-1"), starts, ends
 
 
-def layers(text: str, max_layer: int) -> Iterator[Layer]:
+def layers(text: str, limit: Inflate) -> Iterator[Layer]:
     """What can be unwrapped from a text in one step."""
     if "%" in text:
         yield from unwrapped(text, URL_UNIT, URL_RUN, url_units)
-    if "\\u" in text or "\\x" in text:
+        for run in URL_RUN.finditer(text):
+            for inner, starts, _ in compressed_layers(url_bytes(run[0]), limit):
+                yield inner, *(np.broadcast_to(x, len(starts)) for x in run.span())
+    if "\\" in text:
         yield from unwrapped(text, UNICODE_UNIT, UNICODE_RUN, unicode_units)
-    yield from base64_layers(text, max_layer)
+    yield from compressed_layers(text.encode("latin-1", "replace"), limit)
+    yield from base64_layers(text)
 
 
 def mapped(spans: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -211,7 +257,7 @@ def key_of(layer: Layer) -> bytes:
     return key.digest()
 
 
-def find_secrets(text: str | None, max_layer: int = 1 << 26) -> tuple[list, list]:
+def find_secrets(text: str | None, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[list, list]:
     """(base spans, all spans), each sorted by start, then kind."""
     text = text or ""
     base = scan(text)
@@ -219,7 +265,7 @@ def find_secrets(text: str | None, max_layer: int = 1 << 26) -> tuple[list, list
     work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
     while work:
         layer, first, last = work.pop()
-        for decoded, starts, ends in layers(layer, max_layer):
+        for decoded, starts, ends in layers(layer, (window, overlap)):
             if first is not None:
                 starts, ends = mapped(first, starts), mapped(last, ends - 1)
             key = key_of((decoded, starts, ends))
@@ -233,14 +279,14 @@ def find_secrets(text: str | None, max_layer: int = 1 << 26) -> tuple[list, list
     return sorted(base, key=key), sorted(found, key=key)
 
 
-def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_layer: int = 1 << 26) -> DataFrame:
+def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """Per row: doc_id, base_spans and spans, both array<struct<kind, start, end>> in code points."""
     one = "array<struct<kind:string,start:int,end:int>>"
 
     @F.pandas_udf(f"base_spans {one}, spans {one}")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            got = [find_secrets(t, max_layer) for t in texts]
+            got = [find_secrets(t, window, overlap) for t in texts]
             yield pd.DataFrame(
                 {
                     c: [[{"kind": k, "start": a, "end": b} for k, a, b in g[i]] for g in got]

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -86,14 +87,47 @@ def test_all_members_of_a_gzip_stream_are_read():
     assert spans(text)[1] == [("assign", 0, len(text))]
     odd = [gzip.compress(x) for x in (b"-" * 50_000, b"-" * 50_001, ASSIGN.encode())]
     text = base64.b64encode(b"".join(odd)).decode()
-    assert secrets.find_secrets(text, max_layer=1 << 16)[1] == [("assign", 0, len(text))]
+    assert secrets.find_secrets(text, window=1 << 16)[1] == [("assign", 0, len(text))]
+
+
+def test_pieces_of_any_size_are_read_in_windows():
+    noise = b"".join(hashlib.sha256(b"%d" % i).digest().hex().encode()[:20] + b" - " for i in range(40_000))
+    for place in (0, 131_060, 500_000):
+        text = base64.b64encode(gzip.compress(noise[:place] + b" " + ASSIGN.encode() + b" " + noise[place:])).decode()
+        assert [s for s in secrets.find_secrets(text, window=1 << 17, overlap=1 << 10)[1] if s[0] == "assign"] == [("assign", 0, len(text))], place
+
+
+def test_three_places_in_a_long_text_without_blanks_in_all_wrappings():
+    b64 = lambda s: base64.b64encode(s).decode()
+    quote = lambda s: "".join(f"%{x:02x}" for x in s)
+    secret = ASSIGN.encode()
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    deflated = raw.compress(secret) + raw.flush()
+    every = [b64(secret), b64(b64(secret).encode()), b64(zlib.compress(secret)), b64(gzip.compress(secret)), b64(deflated), quote(secret), quote(zlib.compress(secret)), quote(deflated), "".join(f"%u{x:04x}" for x in secret),
+             "".join(f"\\u{{{x:x}}}" for x in secret), "".join(f"\\U{x:08x}" for x in secret), "".join(f"\\x{x:02x}" for x in secret), "".join(f"\\x{x:02x}" for x in zlib.compress(secret)), b64(quote(gzip.compress(secret)).encode()), quote(b64(zlib.compress(zlib.compress(secret))).encode())]
+    for piece in every:
+        text = f"{piece} {piece}\n{piece}"
+        at = [m.start() for m in re.finditer(re.escape(piece), text)]
+        found = sorted({s for s in spans(text)[1] if s[0] == "assign"})
+        assert all(any(a <= s[1] < s[2] <= a + len(piece) for s in found) for a in at), (piece, found)
+    filler = "x.y!" * 170_000
+    for piece in every[:3] + every[8:11]:
+        text = f"{filler}({piece}){filler}({piece}){filler}({piece})%"
+        assert len({s[1] for s in spans(text)[1] if s[0] == "assign"}) == 3 and len(text) > 2_000_000, piece
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 2_000_000 + "%", "a" * 2_000_000 + "\\u", "%a" * 500_000, "%" * 1_000_000, "x\x9c" * 20_000, "aB3" * 500_000, "Zm9v\n" * 100_000):
+        began = time.process_time()
+        spans(text)
+        assert time.process_time() - began < 20, text[:20]
 
 
 def test_cycles_bombs_and_prose_end():
     loop = "%2525" * 50
     assert spans(loop) == ([], [])
     bomb = base64.b64encode(zlib.compress(b"0" * (1 << 22))).decode()
-    assert secrets.find_secrets(bomb, max_layer=1 << 16)[1] == []
+    assert secrets.find_secrets(bomb, window=1 << 17)[1] == [("hex", 0, len(bomb))]
     assert spans("Perfectly ordinary prose, with internationalisation and words.") == ([], [])
 
 
