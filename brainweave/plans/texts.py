@@ -19,7 +19,7 @@ def normalized_pages(spark: SparkSession, sf: str) -> DataFrame:
 def document_measures(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf, "documents").select(
-        "doc_id", text.estimate_tokens(t).alias("tokens"), text.word_count(t).alias("words"), text.slugify(F.substring(t, 1, 200)).alias("slug"),
+        "doc_id", text.estimate_tokens(t).alias("tokens"), text.word_count(t).alias("words"), text.slugify(t).alias("slug"),
         text.truncate(t, 200).alias("short"), F.substring(t, 1, 400).alias("preview"),
     )
 
@@ -121,7 +121,7 @@ QUERIES = {
     "document_measures": (
         document_measures,
         r"""SELECT doc_id, ceil(length(text) / 4.0)::INT AS tokens, len(regexp_extract_all(text, '\S+'))::INT AS words,
-              left(regexp_replace(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 120) AS slug,
+              left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 120) AS slug,
               CASE WHEN length(text) > 200 THEN left(text, 199) || '…' ELSE text END AS short, left(text, 400) AS preview FROM documents""",
     ),
     "document_keywords": (

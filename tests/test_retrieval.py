@@ -68,7 +68,8 @@ def test_events_and_tasks(spark):
         [(1, "Paint garden", "needsAction"), (2, "Trip plan", "needsAction"), (3, "plan plan", "needsAction"), (4, "plan it", "needsAction"), (5, "Paint garden", "completed"), (6, "trip", "needsAction")],
         "task_id int, title string, status string",
     )
-    assert sorted((r.source_id, r.target_id) for r in linker.task_links(e, tasks).collect()) == [(1, 1), (1, 2), (1, 3)]
+    for bound in (100, 0):
+        assert sorted((r.source_id, r.target_id) for r in linker.task_links(e, tasks, bound).collect()) == [(1, 1), (1, 2), (1, 3)]
 
 
 def test_links_of_entry_drops_missing_confidence_and_shows_targets_once(spark):
