@@ -32,7 +32,7 @@ BLOCK = set(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object audio video canvas".split())
+RAW = set("script style textarea title template iframe noembed noframes xmp svg annotation annotation-xml".split())
 #: What an opening tag closes: an open element of these names, not looking past the barriers.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),

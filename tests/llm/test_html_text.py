@@ -85,3 +85,8 @@ def test_nulls_long_pages_repeated_rows_and_clashing_columns(spark):
     assert [r.page_id for r in got] == [1, 2, 3, 4, 4] and [r.text for r in got[:2]] == ["", ""] and got[3] == got[4]
     assert got[2].text.count("\n") == 19_999
     assert html_text.extract_text(df.limit(0)).columns == ["page_id", "text", "n_chars"]
+
+
+def test_what_stands_inside_embedded_elements_is_text():
+    page = "<p>Energy <math><mi>E</mi></math> mass <noscript>one</noscript> <object>two</object> <video>three</video> <audio>four</audio> <canvas>five</canvas> end</p><script>no</script><textarea>no</textarea>"
+    assert [b.text for b in html_text.blocks(page)] == ["Energy E mass one two three four five end"]
