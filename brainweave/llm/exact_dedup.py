@@ -3,12 +3,13 @@
 Two texts are equal when they are identical after lower-casing A-Z only (null counts as empty). Of equal texts the row
 with the largest doc_id stays.
 
-How: each row becomes a fingerprint - digest, doc_id, content locator - in a table that a stream then reads. The
+How: each row becomes a fingerprint - digest, doc_id, content locator (the file that holds it) - in a table that a stream then reads. The
 stream's state (RocksDB, one entry per digest, never expired) keeps the largest doc_id, its locator and the number of
 rows. It is an aggregation, so each task combines its rows before the shuffle and a group of a third of all rows sends one row
 per task. Its updates go to a table keyed by micro-batch, so a repeated batch overwrites itself. Rows whose digest has been seen
-more than once are hits: their full text is compared with that of the row that stays, found by its locator; a group of
-any size is split over salts for this. Digests whose texts turn out to differ are regrouped by the full text.
+more than once are hits: their full text, found by locator and id, is compared with that of the row that stays, found the same
+way; a group of any size is split over salts for this. That is done once, when the stream has caught up: the row that stays is
+known then, and the texts are read once however many micro-batches there were. Digests whose texts turn out to differ are regrouped by the full text.
 
 Defined cases: rows with null doc_id belong to their group, stay only if no row of it has an id, and all of them then;
 a doc_id that occurs on several equal rows stays on each of them; an empty table gives an empty result; columns other
@@ -31,6 +32,8 @@ STATE = T.StructType(
         T.StructField("group_size", T.LongType()),
     ]
 )
+#: So many large groups are broadcast; more are shuffled.
+BOUND = 1_000_000
 #: State on disk. Without preallocation a store of few keys takes what it holds, not some 4 MB for its manifest.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -82,28 +85,29 @@ def stream_state(prints: DataFrame, checkpoint: str, updates: str) -> DataFrame:
     )
 
 
-def near_rows(docs: DataFrame, ids: DataFrame, bound: int = 2_000_000) -> DataFrame:
-    """Rows of docs whose doc_id is in ids: by broadcast up to bound ids (16 bytes each), else by a shuffle."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    side = F.broadcast(ids) if ids.count() <= bound else ids
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def at_locators(docs: DataFrame, hits: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """Rows of docs (doc_id, text, locator) at the locators and ids of hits: by broadcast up to bound of them, else by a shuffle."""
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("locator").alias("_at")).distinct()
+    side = F.broadcast(hits) if hits.count() <= bound else hits
+    return docs.join(side, (F.col("locator") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
-def exact_dedup(docs: DataFrame, digest=digest_of, salts: int = 64, batch_bytes: int = 8 << 30) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest=digest_of, salts: int = 64, batch_bytes: int = 8 << 30, heavy: int = 200_000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs.
 
     digest: the key of the state; a weak one still gives right results (bytes are compared), only more slowly.
     salts: parts that a large group's comparisons are split into. batch_bytes: fingerprints per micro-batch.
+    heavy: groups of more rows than this are broadcast to their rows at the end (there are rows / heavy of them at most).
     """
     spark = docs.sparkSession
     path = common.scratch(spark, "fingerprints")
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    normal = lambda df: df.select("doc_id", common.lower_ascii(F.coalesce("text", F.lit(""))).alias("_t"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.input_file_name().alias("locator"))
+    normal = lambda df: df.select("doc_id", "locator", common.lower_ascii(F.coalesce("text", F.lit(""))).alias("_t"))
     schema = "digest string, doc_id long, locator string, text_sha256 string"
     normal(raw).select(
         digest(F.col("_t")).alias("digest"),
         "doc_id",
-        F.input_file_name().alias("locator"),
+        "locator",
         F.sha2("_t", 256).alias("text_sha256"),
     ).write.parquet(path)
     prints = spark.read.schema(schema).parquet(path)
@@ -117,11 +121,9 @@ def exact_dedup(docs: DataFrame, digest=digest_of, salts: int = 64, batch_bytes:
     )
 
     # hits: fetch the content of every row of a repeated digest, and compare all bytes with those of the row that stays
-    repeated = state.filter("group_size > 1").drop("locator")
-    hit_ids = prints.join(repeated.select("digest"), "digest", "left_semi").select("doc_id").distinct()
-    texts = (
-        normal(near_rows(raw, hit_ids)).withColumn("digest", digest(F.col("_t"))).join(repeated, "digest")
-    )
+    repeated = state.filter("group_size > 1").withColumnRenamed("locator", "keep_at")
+    hits = prints.join(repeated.select("digest"), "digest", "left_semi").select("doc_id", "locator")
+    texts = normal(at_locators(raw, hits)).withColumn("digest", digest(F.col("_t"))).join(repeated, "digest")
     large = F.col("group_size") > 4 * salts
     members = texts.select(
         "digest",
@@ -130,7 +132,7 @@ def exact_dedup(docs: DataFrame, digest=digest_of, salts: int = 64, batch_bytes:
     )
     parts = F.when(large, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     kept = (
-        texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_at")))
         .dropDuplicates(["digest"])
         .select("digest", F.col("_t").alias("keep_t"), F.explode(parts).alias("salt"))
     )
@@ -138,7 +140,13 @@ def exact_dedup(docs: DataFrame, digest=digest_of, salts: int = 64, batch_bytes:
         members.join(kept, ["digest", "salt"]).filter("_t != keep_t").select("digest").distinct(), "digest-clashes"
     )
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")]
-    rows = prints.join(state.drop("locator"), "digest")
+    of = state.drop("locator")
+    large = of.filter(F.col("group_size") > heavy)
+    if 0 < large.count() <= BOUND:
+        rows = prints.join(F.broadcast(large.select("digest")), "digest", "left_anti").join(of, "digest")
+        rows = rows.unionByName(prints.join(F.broadcast(large), "digest").select(*rows.columns))
+    else:
+        rows = prints.join(of, "digest")
     if differ.isEmpty():
         return rows.select(*columns, "text_sha256")
     # several texts under one digest: group these rows by the text itself

@@ -43,6 +43,25 @@ def test_weak_digests_are_caught_by_comparing_bytes(spark):
     assert pick(exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=weak)) == brute(rows)
 
 
+def test_several_micro_batches_and_files_share_one_state(spark, tmp_path):
+    rows = rows_of(3)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    ran = []
+
+    def counted(prints, checkpoint, updates, own=exact_dedup.stream_state):
+        out = own(prints, checkpoint, updates)
+        ran.append(len({f.split("batch=")[1].split("/")[0] for f in spark.read.parquet(updates).inputFiles()} - {"-1"}))
+        return out
+
+    exact_dedup.stream_state, own = counted, exact_dedup.stream_state
+    try:
+        assert pick(exact_dedup.exact_dedup(docs, batch_bytes=1, heavy=100)) == brute(rows)
+    finally:
+        exact_dedup.stream_state = own
+    assert ran[0] > 1
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a", "k", 3), (2, "A", "k", 3)], "doc_id long, text string, digest string, keep_id int")
