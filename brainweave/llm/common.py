@@ -72,6 +72,20 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return wrapped
 
 
+#: Settings of Spark for Arrow batches: its default, and ours for whole texts.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, where the session hasn't set its own: they lie outside the JVM's heap, several per task."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -274,6 +274,7 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, table: int =
     bound: so many groups are broadcast to find their prefixes; more are shuffled. hot: the longest list that stays whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common.small_batches(docs.sparkSession)
     order, many, bits = order_table(docs, table, least, hot)
     rows = common.materialise(prefixes(docs, order, num, den).withColumn("rid", F.monotonically_increasing_id()), "prefixes")
     order.destroy()

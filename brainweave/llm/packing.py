@@ -263,5 +263,6 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = Non
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     import public_tokenizers as vocabularies
 
+    common.small_batches(docs.sparkSession)
     cut_pieces = common.materialise(pieces(docs, path or vocabularies.path("byte_bpe_50k.json"), capacity), "pieces")
     return best_fit(cut_pieces, capacity)

@@ -198,6 +198,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: tuple[str, ...] = (), max_rows: int = 12_000) -> Model:
     """A model of labels (doc_id, label 0 or 1) on at most ``max_rows`` of the documents labelled."""
+    common.small_batches(docs.sparkSession)
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .filter("doc_id IS NOT NULL AND y IN (0, 1)")
@@ -249,6 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
 
 def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = (), into: str = "score") -> DataFrame:
     """docs with a column ``into``, the probability of label 1; a column of that name is replaced."""
+    common.small_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)  # about 0.7 MB, whatever the data
 
     @F.arrow_udf("double")

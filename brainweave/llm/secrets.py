@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brainweave.llm import common
+
 #: The base patterns. A match of fewer characters than stated is dropped after matching.
 ASSIGN = re.compile(
     r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII
@@ -281,6 +283,7 @@ def find_secrets(text: str | None, window: int = WINDOW, overlap: int = OVERLAP)
 
 def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """Per row: doc_id, base_spans and spans, both array<struct<kind, start, end>> in code points."""
+    common.small_batches(df.sparkSession)
     one = "array<struct<kind:string,start:int,end:int>>"
 
     @F.pandas_udf(f"base_spans {one}, spans {one}")
