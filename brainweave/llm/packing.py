@@ -37,16 +37,17 @@ from brainweave.llm import common
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
-#: Words whose ids a task keeps; when there are more, it starts anew, so memory stays bounded.
-CACHE = 200_000
-#: Texts that are encoded at once.
-TEXTS = 64
+#: Words whose ids a task keeps, twice: when there are more, those that were kept but not met again go.
+CACHE = 100_000
+#: Texts that are encoded at once (Arrow batches have a few MB).
+TEXTS = 1024
 #: Ranges that documents and gaps are dealt into, round by round.
 RANGES = (64, 16, 4, 1)
 #: So many steps are broadcast; more are shuffled.
 BOUND = 1_000_000
 #: A blank before a visible character always begins a new token.
 WORD = re.compile(r" (?=\S)")
+OTHER_BLANK = re.compile(r" (?!\S)")
 
 _LOADED: dict = {}
 
@@ -72,6 +73,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """
     own, size, special = tokenizer(path)
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
     ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(words: list[str]) -> None:
@@ -84,11 +86,19 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal known, older
         if len(known) > CACHE:
-            known.clear()
-        whole = [any(t in x for t in special) for x in texts]
-        split = [[x] if w else WORD.split(x) for x, w in zip(texts, whole, strict=True)]
-        learn(list(set().union(*(s[1:] for s in split)).difference(known)))
+            known, older = {}, known
+        split = []
+        for x in texts:
+            if any(t in x for t in special):
+                split.append([x])
+            else:
+                split.append(WORD.split(x) if OTHER_BLANK.search(x) else x.split(" "))
+        new = set().union(*(s[1:] for s in split)).difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        learn(list(new - again))
         firsts = ids_of([s[0] for s in split])
         return [f.tobytes() + b"".join(map(known.__getitem__, s[1:])) for f, s in zip(firsts, split, strict=True)]
 
