@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
 #: Words whose ids a task keeps, twice: when there are more, those that were kept but not met again go.
 CACHE = 100_000
-#: Texts that are encoded at once (Arrow batches have a few MB).
-TEXTS = 1024
+#: Characters of texts that are encoded at once (and one text at least): as words they take some twenty times that.
+CHARS = 1 << 19
 #: Ranges that documents and gaps are dealt into, round by round.
 RANGES = (64, 16, 4, 1)
 #: So many steps are broadcast; more are shuffled.
@@ -62,6 +63,7 @@ def tokenizer(path: str):
         for token, i in own.get_vocab().items():
             size[i] = len(token)  # a byte-level vocabulary writes every byte as one character
         _LOADED[path] = own, size, [t.content for t in own.get_added_tokens_decoder().values()]
+        common.give_back()
     return _LOADED[path]
 
 
@@ -122,8 +124,11 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, CHARS + (size[at - 1] if at else 0), side="right")))
+                part, at = batch.slice(at, to - at), to
                 found = [list(cut(ids + end, capacity)) for ids in encode(part.column(1).fill_null("").to_pylist())]
                 row = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 values = [(k, *piece) for f in found for k, piece in enumerate(f)]
