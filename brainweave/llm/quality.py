@@ -264,6 +264,7 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = (), into: s
                 out.append(logistic(m.margin(idx, val, at, m.binned(stats))))
                 row += n
             yield pa.array(np.concatenate(out), pa.float64())
+        common.give_back()
 
     return docs.withColumn(into, scores(F.col("text").cast("string"), *_scaled(metadata)))
 
