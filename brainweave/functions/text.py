@@ -169,3 +169,9 @@ def split_message(text: Column, size: int = 3900) -> Column:
     half = size // 2
     part = rf"(?s)\G\n?(.{{1,{size}}}\z|.{{{half},{size}}}(?=\n)|.{{1,{size}}})"
     return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(part), F.lit(1)))
+
+
+def threshold(value: Column, default: float = 0.6) -> Column:
+    """The finite number that a setting begins with, else the default."""
+    number = F.regexp_extract(value, r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1).try_cast("double")
+    return F.coalesce(F.when(F.abs(number) < float("inf"), number), F.lit(default))

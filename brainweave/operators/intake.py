@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brainweave.functions import text
+from brainweave.operators import upsert
 
 
 def new_id(*parts: str) -> Column:
@@ -60,3 +61,10 @@ def reply_text(answer: Column, sources: Column, most: int = 4000) -> Column:
     listed = F.when(F.size(sources) > 0, F.concat(F.lit("\n\nSources:\n"), F.array_join(F.transform(sources, lambda s: F.concat(F.lit("- "), s)), "\n")))
     whole = F.concat(answer, F.coalesce(listed, F.lit("")))
     return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most - 15), F.lit("…"))).otherwise(whole)
+
+
+def link_episodes(picks: DataFrame, links: DataFrame) -> DataFrame:
+    """Editorial picks (pick_id, ..., episode_url, episode_linked_at) after links (pick_id, ts, episode_url): the last of each pick stays."""
+    last = upsert.last_per_key(links.select("pick_id", "ts", "episode_url"), ["pick_id"], ["ts", "episode_url"])
+    new = last.select("pick_id", "episode_url", F.col("ts").alias("episode_linked_at"))
+    return upsert.update_from(picks, new, "pick_id", ["episode_url", "episode_linked_at"])

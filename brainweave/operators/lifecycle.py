@@ -130,3 +130,21 @@ def claim(queue: DataFrame, key: str, k: int = 1) -> DataFrame:
 def latest_draft(entries: DataFrame) -> DataFrame:
     """The draft of each user and chat that was touched last."""
     return graph.first_per(entries.filter("status = 'drafting'"), ["user_id", "chat_id"], [F.desc("updated_at"), F.col("entry_id")])
+
+
+def claimed(queue: DataFrame, key: str, as_of: Column, k: int = 1) -> DataFrame:
+    """The queue after one batch has claimed its oldest pending rows: they are in processing, and no later batch sees them."""
+    heads = claim(queue, key, k).select(key, F.lit("processing").alias("status"), as_of.alias("updated_at"))
+    return upsert.update_from(queue, heads, key, ["status", "updated_at"], F.col("status") == "pending")
+
+
+def mark_errors(rows: DataFrame, errors: DataFrame, key: str) -> DataFrame:
+    """errors: key, ts, message. Rows that failed are in error, with the last message of each."""
+    last = upsert.last_per_key(errors.select(key, "ts", "message"), [key], ["ts", "message"])
+    return upsert.update_from(rows, last.select(key, F.lit("error").alias("status"), F.col("message").alias("last_error")), key, ["status", "last_error"])
+
+
+def daily_runs(ticks: DataFrame, schedules: list[tuple[str, str, str]]) -> DataFrame:
+    """(label, day, ts): of ticks (ts) the first in the minute of each schedule (label, HH:mm, zone), once per local date."""
+    each = [F.struct(F.lit(label).alias("label"), (time.local_minute(F.col("ts"), zone) == at).alias("due"), time.local_day(F.col("ts"), zone).alias("day")) for label, at, zone in schedules]
+    return ticks.select("ts", F.inline(F.array(*each))).filter("due").groupBy("label", "day").agg(F.min("ts").alias("ts"))

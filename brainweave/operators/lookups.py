@@ -44,3 +44,14 @@ def search_artifacts(hits: DataFrame, k: int = 10, over: int = 3) -> DataFrame:
     """Of the k * over best chunks (artifact, chunk, similarity) the best one of each artifact, k at most."""
     pool = hits.orderBy(F.desc("similarity"), "chunk").limit(k * over)
     return graph.first_per(pool, ["artifact"], [F.desc("similarity"), F.col("chunk")]).orderBy(F.desc("similarity"), "artifact").limit(k)
+
+
+def by_ids(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """A row for every wanted key (key), with the columns of df and ``found``; without a row of df they are null. Keys of df are unique."""
+    return wanted.select(key).distinct().join(df.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def lists_named(lists: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (name) with list_id, that of the list (list_id, title) of this name whatever its case, the smallest of several; null for none."""
+    ids = lists.groupBy(F.lower("title").alias("_name")).agg(F.min("list_id").alias("list_id"))
+    return wanted.join(ids, F.lower("name") == F.col("_name"), "left").drop("_name")

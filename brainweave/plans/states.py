@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brainweave.functions import time
-from brainweave.operators import governance, lifecycle, stats, upsert, validate
+from brainweave.functions import text, time
+from brainweave.operators import governance, intake, lifecycle, lookups, stats, upsert, validate
 from brainweave.plans import roles
 from brainweave.sources.tables import table
 
@@ -198,6 +198,50 @@ def due_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return roles.tasks(spark, sf).groupBy(label.alias("due")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def claimed_queue(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.claimed(roles.drafts(spark, sf), "entry_id", roles.as_of(), 5).select("entry_id", "status", "updated_at")
+
+
+def marked_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's first entry fails with each of their errors; the last message stays."""
+    d = roles.drafts(spark, sf).withColumn("last_error", F.lit(None).cast("string"))
+    first = d.groupBy("user_id").agg(F.min("entry_id").alias("entry_id"))
+    said = table(spark, sf, "events").filter("event_type = 'error'").select("user_id", "ts", F.concat(F.lit("failed "), "event_id").alias("message"))
+    return lifecycle.mark_errors(d, said.join(first, "user_id"), "entry_id").select("entry_id", "status", "last_error")
+
+
+def daily_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = lifecycle.daily_runs(table(spark, sf, "events").select("ts"), [("personal", "06:00", "UTC"), ("family", "06:30", "Asia/Hong_Kong")])
+    return found.select("label", "day", "ts")
+
+
+def linked_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases as picks; their user's views link the first of them to an episode."""
+    e = table(spark, sf, "events")
+    none = F.lit(None)
+    picks = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("pick_id"), "user_id", none.cast("string").alias("episode_url"), none.cast("timestamp_ntz").alias("episode_linked_at"))
+    first = picks.groupBy("user_id").agg(F.min("pick_id").alias("pick_id"))
+    views = e.filter("event_type = 'view'").select("user_id", "ts", F.concat(F.lit("https://example.org/"), "event_id").alias("episode_url"))
+    return intake.link_episodes(picks, views.join(first, "user_id")).select("pick_id", "episode_url", "episode_linked_at")
+
+
+def looked_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers by id, half of which there are not."""
+    wanted = table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"))
+    return lookups.by_ids(table(spark, sf, "customer").select("c_custkey", "c_name"), wanted, "c_custkey").select("c_custkey", "c_name", "found")
+
+
+def lists_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    wanted = n.filter("n_regionkey IN (1, 2)").select(F.lower("n_name").alias("name")).union(r.select(F.lower("r_name")))
+    return lookups.lists_named(n.select(F.col("n_nationkey").alias("list_id"), F.col("n_name").alias("title")), wanted).select("name", "list_id")
+
+
+def thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    raw = "CASE o_orderkey % 4 WHEN 0 THEN concat('0.', o_orderkey % 100) WHEN 1 THEN 'x' WHEN 2 THEN '' ELSE ' .5 high' END"
+    return table(spark, sf, "orders").select("o_orderkey", text.threshold(F.expr(raw)).alias("threshold"))
+
+
 _DRAFTS = """d AS (SELECT event_id AS entry_id, user_id, ts AS created_at, ts + to_microseconds((round(value) * 1000000)::BIGINT) AS updated_at, ts AS window_end,
   CASE event_type WHEN 'click' THEN 'drafting' WHEN 'view' THEN 'pending' WHEN 'error' THEN 'error' ELSE 'processed' END AS status, value FROM events)"""
 _SUG = f"""{_DRAFTS}, s AS (SELECT entry_id AS suggestion_id, user_id, created_at, CASE WHEN value > 20 THEN updated_at END AS posted_at,
@@ -340,4 +384,40 @@ QUERIES = {
         f"""WITH t AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate::DATE END AS d FROM orders)
         SELECT CASE WHEN d IS NULL THEN 'no date' WHEN d < DATE '{roles.ORDERS_AS_OF[:10]}' THEN 'OVERDUE' WHEN d = DATE '{roles.ORDERS_AS_OF[:10]}' THEN 'TODAY' ELSE strftime(d, '%Y-%m-%d') END AS due, count(*) AS n FROM t GROUP BY 1""",
     ),
+    "claimed_queue": (
+        claimed_queue,
+        f"""WITH {_DRAFTS}, h AS (SELECT entry_id AS head FROM d WHERE status = 'pending' ORDER BY created_at, entry_id LIMIT 5)
+        SELECT entry_id, CASE WHEN head IS NULL THEN status ELSE 'processing' END AS status, CASE WHEN head IS NULL THEN updated_at ELSE {_NOW} END AS updated_at
+        FROM d LEFT JOIN h ON entry_id = head""",
+    ),
+    "marked_errors": (
+        marked_errors,
+        f"""WITH {_DRAFTS}, f AS (SELECT user_id, min(entry_id) AS hit FROM d GROUP BY user_id),
+        m AS (SELECT hit, 'failed ' || event_id AS message, row_number() OVER (PARTITION BY hit ORDER BY ts DESC, 'failed ' || event_id DESC) AS n FROM events JOIN f USING (user_id) WHERE event_type = 'error')
+        SELECT entry_id, CASE WHEN hit IS NULL THEN status ELSE 'error' END AS status, message AS last_error FROM d LEFT JOIN m ON entry_id = hit AND n = 1""",
+    ),
+    "daily_runs": (
+        daily_runs,
+        """WITH t AS (SELECT 'personal' AS label, ts, ts AS own FROM events WHERE strftime(ts, '%H:%M') = '06:00'
+          UNION ALL SELECT 'family', ts, ts + INTERVAL 8 HOUR FROM events WHERE strftime(ts + INTERVAL 8 HOUR, '%H:%M') = '06:30')
+        SELECT label, own::DATE AS day, min(ts) AS ts FROM t GROUP BY 1, 2""",
+    ),
+    "linked_picks": (
+        linked_picks,
+        """WITH p AS (SELECT event_id AS pick_id, user_id FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, min(pick_id) AS hit FROM p GROUP BY user_id),
+        v AS (SELECT hit, ts, 'https://example.org/' || event_id AS url, row_number() OVER (PARTITION BY hit ORDER BY ts DESC, 'https://example.org/' || event_id DESC) AS n
+          FROM events JOIN f USING (user_id) WHERE event_type = 'view')
+        SELECT pick_id, url AS episode_url, ts AS episode_linked_at FROM p LEFT JOIN v ON pick_id = hit AND n = 1""",
+    ),
+    "looked_up": (looked_up, "SELECT w.k AS c_custkey, c_name, c_name IS NOT NULL AS found FROM (SELECT DISTINCT o_custkey * 2 AS k FROM orders) w LEFT JOIN customer ON c_custkey = w.k"),
+    "lists_by_name": (
+        lists_by_name,
+        """WITH w AS (SELECT lower(n_name) AS name FROM nation WHERE n_regionkey IN (1, 2) UNION ALL SELECT lower(r_name) FROM region)
+        SELECT name, min(n_nationkey) AS list_id FROM w LEFT JOIN nation ON lower(n_name) = name GROUP BY name""",
+    ),
+    "thresholds": (
+        thresholds,
+        """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '0.' || (o_orderkey % 100) WHEN 1 THEN 'x' WHEN 2 THEN '' ELSE ' .5 high' END AS raw FROM orders)
+        SELECT o_orderkey, coalesce(try_cast(regexp_extract(raw, '^ *([0-9]*[.][0-9]+)', 1) AS DOUBLE), 0.6::DOUBLE) AS threshold FROM o""",
+    ),
 }

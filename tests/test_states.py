@@ -2,7 +2,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from brainweave.operators import governance, lifecycle, upsert, validate
+from brainweave.functions import text
+from brainweave.operators import governance, intake, lifecycle, lookups, upsert, validate
 
 T = dt.datetime(2024, 1, 1)
 
@@ -124,3 +125,42 @@ def test_tri_state_and_rules(spark):
     assert rows(validate.broken(m, {"merged": validate.merged_rule()}), "k") == [(1,), (3,)]
     d = spark.createDataFrame([(1, None), (1, None), (1, 2), (1, 2)], "a int, b int")
     assert rows(validate.duplicates(d, ["a", "b"]), "a", "b", "n") == [(1, 2, 2)]
+
+
+def test_claims_are_seen_once(spark):
+    q = spark.createDataFrame([(1, "pending", at(5), at(5)), (2, "pending", at(1), at(1)), (3, "done", at(0), at(0))], "k int, status string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    one = lifecycle.claimed(q, "k", F.lit(at(9)).cast("timestamp_ntz"))
+    assert rows(one, "k", "status", "updated_at") == [(1, "pending", at(5)), (2, "processing", at(9)), (3, "done", at(0))]
+    assert rows(lifecycle.claim(one, "k", 5), "k") == [(1,)]
+
+
+def test_last_error_stays(spark):
+    r = spark.createDataFrame([(1, "pending", None), (2, "pending", None)], "k int, status string, last_error string")
+    e = spark.createDataFrame([(1, at(2), "late"), (1, at(1), "early"), (9, at(1), "unknown")], "k int, ts timestamp_ntz, message string")
+    assert rows(lifecycle.mark_errors(r, e, "k"), "k", "status", "last_error") == [(1, "error", "late"), (2, "pending", None)]
+
+
+def test_daily_runs_once_per_local_date(spark):
+    ticks = [dt.datetime(2024, 1, 1, 22, 30, 5), dt.datetime(2024, 1, 1, 22, 30, 50), dt.datetime(2024, 1, 1, 22, 31), dt.datetime(2024, 1, 2, 22, 30)]
+    found = lifecycle.daily_runs(spark.createDataFrame([(t,) for t in ticks], "ts timestamp_ntz"), [("family", "06:30", "Asia/Hong_Kong"), ("own", "06:00", "UTC")])
+    assert rows(found, "label", "day", "ts") == [("family", dt.date(2024, 1, 2), ticks[0]), ("family", dt.date(2024, 1, 3), ticks[3])]
+
+
+def test_lookups_tell_what_is_missing(spark):
+    d = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    assert rows(lookups.by_ids(d, spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int"), "k"), "k", "v", "found") == [(1, "a", True), (2, None, True), (3, None, False)]
+    lists = spark.createDataFrame([(7, "Do"), (5, "DO"), (6, "Family")], "list_id int, title string")
+    got = lookups.lists_named(lists, spark.createDataFrame([("do",), ("family",), ("none",)], "name string"))
+    assert rows(got, "name", "list_id") == [("do", 5), ("family", 6), ("none", None)]
+
+
+def test_thresholds(spark):
+    given = {"0.7": 0.7, " .5 high": 0.5, "": 0.6, "x": 0.6, "NaN": 0.6, "Infinity": 0.6, "1e999": 0.6, "-1": -1.0, "2.": 2.0, None: 0.6}
+    df = spark.createDataFrame([(k,) for k in given], "v string")
+    assert {r.v: r.t for r in df.select("v", text.threshold(F.col("v")).alias("t")).collect()} == given
+
+
+def test_last_episode_stays(spark):
+    p = spark.createDataFrame([(1, None, None), (2, "old", at(0))], "pick_id int, episode_url string, episode_linked_at timestamp_ntz")
+    n = spark.createDataFrame([(1, at(1), "a"), (1, at(2), "b"), (3, at(1), "c")], "pick_id int, ts timestamp_ntz, episode_url string")
+    assert rows(intake.link_episodes(p, n), "pick_id", "episode_url", "episode_linked_at") == [(1, "b", at(2)), (2, "old", at(0))]
