@@ -12,9 +12,11 @@ from brainweave.functions import text
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share: that of spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A fresh path in the folder all executors share: that of spark.checkpoint.dir, or a temporary one where it is unset and Spark has one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brainweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/brainweave/{name}-{uuid.uuid4().hex}"
