@@ -13,7 +13,9 @@ partition returns its best per query. Only the winners are joined with the origi
 
 The codebooks are fitted on at most about ``fit_rows`` rows (a documented parameter); every row is encoded.
 
-Defined cases: vectors that are null, zero, of another than the most frequent size, or that hold null or non-finite components
+Vectors of different sizes have no cosine: each size has codebooks, an index and searches of its own.
+
+Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components
 take no part, neither as candidate nor as query; null ids take none either. Rows that repeat an id count once, with
 their best score. Ties go to the smaller id. With fewer candidates than k, all are returned. An empty table gives an empty
 result. Columns other than the id and the vector are not read.
@@ -149,9 +151,10 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 3) ->
     return Quantiser(_refit(x, quantiser.encode(x), quantiser.books))
 
 
-def most_frequent_size(vectors: DataFrame) -> int:
-    top = vectors.filter("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return top["d"] if top else 0
+def sizes(vectors: DataFrame) -> list[tuple[int, int]]:
+    """(size, rows) of the vectors' sizes, the smallest first: one row per size comes to the driver."""
+    found = vectors.filter("size(v) > 0").groupBy(F.size("v").alias("d")).count().collect()
+    return sorted((r["d"], r["count"]) for r in found)
 
 
 def build_index(vectors: DataFrame, quantiser: Quantiser, dim: int) -> DataFrame:
@@ -240,29 +243,18 @@ def cosine_udf(dim: int):
     return cosine
 
 
-def nearest(
-    embeddings: DataFrame,
-    is_query: Column | str,
-    k: int = 5,
-    shortlist: int = 128,
-    fit_rows: int = 16_384,
-    vec_id: str = "vec_id",
-    vector: str = "embedding",
-    query_bytes: int = QUERY_BYTES,
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row for which is_query (of ``id``) holds."""
-    spark = embeddings.sparkSession
-    vectors = embeddings.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    dim = most_frequent_size(vectors)
-    if not dim:
-        return spark.createDataFrame([], RESULT)
-    n = vectors.count()
+def candidates(vectors: DataFrame, dim: int, n: int, is_query: Column | str, k: int, shortlist: int, fit_rows: int, query_bytes: int) -> DataFrame | None:
+    """query_id, vec_id, score: each query's shortlist among the n vectors (id, v), all of size dim, scored exactly.
+
+    None if no vector is valid.
+    """
+    spark = vectors.sparkSession
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, fit_rows / n))
     _, sample = matrix(vectors.filter(share).select("v").limit(2 * fit_rows).toArrow()["v"].combine_chunks(), dim)
     if not len(sample):  # no valid row was drawn: take valid ones wherever they are
         _, sample = matrix(vectors.filter(F.exists("v", lambda x: x != 0)).select("v").limit(fit_rows).toArrow()["v"].combine_chunks(), dim)
     if not len(sample):
-        return spark.createDataFrame([], RESULT)
+        return None
     quantiser = fit(unit(sample))
     index = common.materialise(collapse(build_index(vectors, quantiser, dim), k + 1), "codes")
     rows = index.count()
@@ -291,17 +283,38 @@ def nearest(
         .filter("id != query_id")
     )
     score = cosine_udf(dim)
-    scored = (
+    return (
         short.join(vectors, "id")
         .join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
         .select("query_id", F.col("id").alias("vec_id"), score("v", "w").alias("score"))
         .filter("score IS NOT NULL")
-        .groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
     )
+
+
+def nearest(
+    embeddings: DataFrame,
+    is_query: Column | str,
+    k: int = 5,
+    shortlist: int = 128,
+    fit_rows: int = 16_384,
+    vec_id: str = "vec_id",
+    vector: str = "embedding",
+    query_bytes: int = QUERY_BYTES,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row for which is_query (of ``id``) holds."""
+    spark = embeddings.sparkSession
+    vectors = embeddings.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    found = None
+    for dim, n in sizes(vectors):
+        scored = candidates(vectors.filter(F.size("v") == dim), dim, n, is_query, k, shortlist, fit_rows, query_bytes)
+        if scored is not None:
+            found = scored if found is None else found.unionByName(scored)
+    if found is None:
+        return spark.createDataFrame([], RESULT)
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        scored.withColumn("rank", F.row_number().over(order))
+        once.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     )

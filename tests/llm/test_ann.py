@@ -61,6 +61,27 @@ def test_odd_vectors_few_candidates_repeated_ids_and_empty_table(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0], 1)], SCHEMA), IS_QUERY).count() == 0
 
 
+def test_every_size_is_searched_on_its_own(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=2 if i % 10 else 3).astype(np.float32)], 0) for i in range(400)]
+    rows += [(4000, [1.0], 0), (4001, [0.0, 0.0, 0.0, 0.0], 0), (4050, [], 0)]  # alone, not valid, empty
+    rows += [(4100, [1.0, 0.0], 0), (4100, [1.0, 0.0, 0.0], 0)]  # one id, two sizes
+    by_size = {}
+    for i, v, _ in rows:
+        by_size.setdefault(len(v), []).append((i, v))
+    want = {}
+    for same in by_size.values():
+        for q, found in brute(same).items():
+            want[q] = sorted(want.get(q, []) + found, key=lambda f: (-f[1], f[0]))[:5]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), IS_QUERY, shortlist=500).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {q for q, found in want.items() if found} == {*range(0, 400, 50), 4100}
+    for q, found in got.items():
+        assert [i for i, _ in found] == [i for i, _ in want[q]]
+        assert np.allclose([s for _, s in found], [s for _, s in want[q]], atol=1e-12)
+
+
 def test_encoding_is_no_worse_with_a_wider_beam():
     x = ann.unit(np.random.default_rng(1).normal(size=(600, 16)))
     q = ann.fit(x, books=4, words=16)
