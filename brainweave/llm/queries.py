@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brainweave.llm import ann, common, exact_dedup, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
+from brainweave.llm import ann, common, exact_dedup, fill_middle, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def _weights_sql(level: str) -> str:
     cases = " ".join(f"WHEN '{v}' THEN {w}" for v, w in mixing.WEIGHTS.get(level, {}).items())
     return f"(CASE {level} {cases} ELSE 1.0 END)::DOUBLE" if cases else "1.0::DOUBLE"
@@ -82,7 +86,8 @@ WITH d AS (
     CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) <> ''
          THEN 'domain' || (regexp_extract(source, '([0-9]+)$', 1)::BIGINT % 4)::VARCHAR ELSE 'none' END AS domain,
     coalesce(len(regexp_extract_all(text, '[^ 	
-]+')), 0)::BIGINT AS n_tokens
+
+]+')), 0)::BIGINT AS n_tokens
   FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM d GROUP BY ALL),
 b0 AS (SELECT floor(sum(supply)::BIGINT * 0.6::DOUBLE) AS b FROM leaf),{",".join(map(_level_sql, range(3)))},
@@ -122,6 +127,29 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
+OP12_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, l, len(l) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2,
+         ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM u),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT doc_id, t, n, form, CASE WHEN lo = 0 THEN '' ELSE array_to_string(l[1:lo], '') END AS a,
+         CASE WHEN lo = hi THEN '' ELSE array_to_string(l[lo + 1:hi], '') END AS b,
+         CASE WHEN hi = n THEN '' ELSE array_to_string(l[hi + 1:n], '') END AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -136,8 +164,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_url_filter": op10_url_filter,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op6_source_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
