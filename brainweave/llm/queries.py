@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brainweave.llm import ann, common, exact_dedup, fill_middle, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
+from brainweave.llm import ann, common, conversation_repair, exact_dedup, fill_middle, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(common.table(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -127,6 +131,77 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
+def _way(state: str, cost: str, edit: str, line: str = "''", when: str = "TRUE") -> str:
+    """A way {c: cost, a: audit, r: lines, each after a newline} of OP11_SQL that goes on from one in a column; null if it can't."""
+    return (
+        f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {state}.r || {line}}} END"
+    )
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_USER, _ASSISTANT, _NOW = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+#: After a run of inserts: t0 to t3, from the states s0 (start), s1 (after s), s2 (after u), s3 (after a).
+_RUNS = f"""
+  s0 AS t0, s1 AS t1,
+  {_least("s2", _way("s0", "5", "I", _USER), _way("s1", "5", "I", _USER), _way("s3", "5", "I", _USER))} AS t2,
+  {_least("s3", _way("s2", "5", "I", _ASSISTANT), *[_way(s, "10", "II", f"{_USER} || {_ASSISTANT}") for s in ("s0", "s1")])} AS t3"""
+_KEPT = "solid AND NOT duplicate AND i0 = '{}'"
+_EDITS = f"""
+  {_way("t0", "2", "D")} AS s0,
+  {_least(_way("t1", "2", "D"), _way("t0", "more", "K", _NOW, _KEPT.format("s")))} AS s1,
+  {_least(_way("t2", "2", "D"), *[_way(t, "more", "K", _NOW, _KEPT.format("u")) for t in ("t0", "t1", "t3")],
+          *[_way(t, "1 + more", "R", f"{_USER} || text", "solid AND NOT duplicate") for t in ("t0", "t1", "t3")])} AS s2,
+  {_least(_way("t3", "2", "D"), _way("t2", "more", "K", _NOW, _KEPT.format("a")),
+          _way("t2", "1 + more", "R", f"{_ASSISTANT} || text", "solid AND NOT duplicate"))} AS s3"""
+
+OP11_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: unicode(key[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS kind
+  FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM crc WHERE kind <> 0),
+sorted AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+         regexp_matches(text, '[^\x20\x09-\x0D]') AS solid, role[1] AS i0
+  FROM damaged),
+f AS (
+  SELECT *, seen AND solid AS duplicate,
+         solid AND NOT seen AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+         lag(i0) OVER (PARTITION BY conv_id ORDER BY i) || i0 AS met
+  FROM sorted),
+turns AS (SELECT *, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM f),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0,
+         {", ".join("CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS s" + str(k) for k in (1, 2, 3))}
+  FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, i, {_EDITS}
+  FROM (SELECT r.conv_id, r.i, role, text, i0, solid, duplicate, more, {_RUNS}
+        FROM ways w JOIN turns r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(NOT solid) AS blank,
+         count_if(duplicate) AS duplicate, count_if(cut) AS truncated, count_if(met NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM turns GROUP BY conv_id),
+best AS (
+  SELECT c.*, {_least("t0", "t3")} AS b
+  FROM counts c JOIN (SELECT conv_id, i, {_RUNS} FROM ways) w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(b.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN best x ON g.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
 OP12_SQL = r"""
 WITH u AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
@@ -164,9 +239,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_url_filter": op10_url_filter,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op6_source_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
