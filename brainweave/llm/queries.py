@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brainweave.llm import ann, common, conversation_repair, exact_dedup, fill_middle, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
+from brainweave.llm import ann, cap_filters, common, conversation_repair, exact_dedup, fill_middle, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 def _weights_sql(level: str) -> str:
     cases = " ".join(f"WHEN '{v}' THEN {w}" for v, w in mixing.WEIGHTS.get(level, {}).items())
     return f"(CASE {level} {cases} ELSE 1.0 END)::DOUBLE" if cases else "1.0::DOUBLE"
@@ -241,6 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": op10_url_filter,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_near_vectors": op13_near_vectors,
     }
 
 
