@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brainweave.functions import text
+from brainweave.functions import stemming, text
 
 K1, B = 1.2, 0.75
 
@@ -20,13 +20,24 @@ def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
     return tokens.select(key, "size", F.explode("t").alias("term")).groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, body: str, query: str, k: int = 30, where: Column | None = None, digits: int = 6) -> DataFrame:
+def score_of(tf: list[Column], df: list[Column], docs: Column, size: Column, mean: Column, digits: int) -> Column:
+    """Okapi BM25 of a document that holds terms tf times, each held by df of all documents."""
+    score = F.lit(0.0)
+    for f, d in zip(tf, df):
+        idf = F.log(1 + (docs - d + 0.5) / (d + 0.5))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
+    return F.round(score, digits)
+
+
+def bm25(docs: DataFrame, key: str, body: str, query: str, k: int = 30, where: Column | None = None, digits: int = 6, english: bool = False) -> DataFrame:
     """The k best documents that hold all terms, with score and rank; none if the query has no terms.
 
-    Statistics are those of all documents; ``where`` filters what is returned.
+    Statistics are those of all documents; ``where`` filters what is returned. english: words are compared by their stems, without
+    stop words, as English full-text search does.
     """
-    terms = text.search_terms(query)
-    tokens = docs.withColumn("_t", text.words(F.coalesce(F.col(body), F.lit(""))))
+    terms = stemming.search_terms(query) if english else text.search_terms(query)
+    whole = F.coalesce(F.col(body), F.lit(""))
+    tokens = docs.withColumn("_t", stemming.lexemes(whole) if english else text.words(whole))
     times = lambda term: F.size(F.filter("_t", lambda x: x == F.lit(term)))
     counts = [times(t).alias(f"_tf{i}") for i, t in enumerate(terms)]
     rows = tokens.select(*[F.col(f"`{c}`") for c in docs.columns], F.size("_t").alias("_n"), *counts)
@@ -40,14 +51,11 @@ def bm25(docs: DataFrame, key: str, body: str, query: str, k: int = 30, where: C
     hits = rows.filter(" AND ".join(f"_tf{i} > 0" for i in range(len(terms))))
     if where is not None:
         hits = hits.filter(where)
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"_tf{i}").cast("double"), F.col(f"_df{i}")
-        idf = F.log(1 + (F.col("_docs") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.col("_avg")))
+    each = range(len(terms))
+    tf, df = [F.col(f"_tf{i}").cast("double") for i in each], [F.col(f"_df{i}") for i in each]
     best = (
         hits.crossJoin(F.broadcast(stats))  # one row
-        .withColumn("score", F.round(score, digits))
+        .withColumn("score", score_of(tf, df, F.col("_docs"), F.col("_n"), F.col("_avg"), digits))
         .select(*[F.col(f"`{c}`") for c in docs.columns], "score")
         .orderBy(F.desc("score"), key)
         .limit(k)

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "hybrid_search"
-MODULES = ("searching", "texts", "linking", "capturing", "states", "reviewing", "looking")
+MODULES = ("searching", "indexing", "texts", "linking", "capturing", "states", "reviewing", "looking")
 
 
 def queries() -> dict[str, Callable]:
