@@ -20,19 +20,63 @@ BLOCK = 4096
 
 
 def knn(items: DataFrame, key: str, embedding: str, query: list[float], k: int, where: Column | None = None, digits: int = 6) -> DataFrame:
-    """The k items nearest to one query, with similarity and rank. Items without a vector of the query's size are left out."""
+    """The k items nearest to one query, with similarity and rank. Items without a finite vector of the query's size are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
     near = items if where is None else items.filter(where)
-    near = near.withColumn("similarity", vector.similarity(F.col(embedding), q, digits)).filter("similarity IS NOT NULL")
+    near = near.withColumn("similarity", vector.similarity(F.col(embedding), q, digits)).filter("similarity IS NOT NULL AND NOT isnan(similarity)")
     best = near.orderBy(F.desc("similarity"), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))
 
 
+class Best:
+    """The k best items of each query among those added so far: similarity (rounded) first, then the smaller id."""
+
+    def __init__(self, k: int, digits: int) -> None:
+        self.k, self.digits, self.rows = k, digits, None
+        self.edge: dict = {}
+
+    def add(self, queries: pa.Array, items: pa.Array, similarity: np.ndarray) -> None:
+        """similarity: a row per query and a column per item."""
+        top = min(self.k, len(items))
+        least = np.partition(similarity, len(items) - top, axis=1)[:, len(items) - top]
+        seen = np.array([self.edge.get(q, -2.0) for q in queries.to_pylist()])
+        row, col = np.nonzero(similarity >= np.maximum(least, seen)[:, None] - 10.0**-self.digits)  # what rounding may tie stays in
+        rounded = np.floor(similarity[row, col] * 10.0**self.digits + 0.5) / 10.0**self.digits
+        new = pa.table({"q": queries.take(pa.array(row)), "i": items.take(pa.array(col)), "similarity": pa.array(rounded)})
+        every = new if self.rows is None else pa.concat_tables([self.rows, new])
+        every = every.sort_by([("q", "ascending"), ("similarity", "descending"), ("i", "ascending")])
+        names = every["q"].combine_chunks().dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.diff(names, prepend=-1))
+        place = np.arange(len(names)) - np.repeat(first, np.diff(np.append(first, len(names))))
+        self.rows = every.filter(pa.array(place < self.k))
+        last = every.filter(pa.array(place == self.k - 1))
+        self.edge.update(zip(last["q"].to_pylist(), last["similarity"].to_pylist()))
+
+    def table(self, query_type: pa.DataType, item_type: pa.DataType) -> pa.Table:
+        if self.rows is not None:
+            return self.rows
+        return pa.table({"q": pa.array([], query_type), "i": pa.array([], item_type), "similarity": pa.array([], pa.float64())})
+
+
+def _by_size(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """size: (rows, their unit vectors); vectors that are zero or hold nulls or non-finite numbers are left out."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    found = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), size)
+        good = np.isfinite(x).all(1) & (x != 0).any(1)
+        if good.any():
+            found[size] = at[good], x[good] / np.linalg.norm(x[good], axis=1, keepdims=True)
+    return found
+
+
 def knn_join(items: DataFrame, key: str, embedding: str, queries: DataFrame, query_key: str, query_embedding: str, k: int, digits: int = 6, exclude_self: bool = False) -> DataFrame:
     """(query_key, key, similarity, rank): the k items nearest to every query row.
 
     Queries go in blocks of BLOCK rows; each block is one broadcast and one pass over the items, in which every task multiplies
-    matrices and keeps its k best per query. Vectors that are null, zero or of another size than the query's take no part.
+    matrices and keeps its k best per query, batch by batch, so no more than k rows per query leave a task. Vectors that are null, zero, or
+    of another size than the query's take no part. For many queries over many items, use a stored index (``cells``).
     """
     spark = items.sparkSession
     asked = queries.select(F.col(query_key).alias("q"), F.col(query_embedding).cast("array<double>").alias("v")).filter("q IS NOT NULL AND v IS NOT NULL")
@@ -46,33 +90,16 @@ def knn_join(items: DataFrame, key: str, embedding: str, queries: DataFrame, que
         kept = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
-            table = kept.value
-            ids = table["q"].to_pylist()
-            vectors = [np.asarray(v, float) for v in table["v"].to_pylist()]
+            ids = kept.value["q"].combine_chunks()
+            asked_by_size = _by_size(kept.value["v"].combine_chunks())
+            best = Best(k + exclude_self, digits)
             for batch in batches:
-                item_vectors = batch.column("v").to_pylist()
-                out: list[pa.RecordBatch] = []
-                for size in {len(v) for v in vectors}:
-                    mine = [j for j, v in enumerate(vectors) if len(v) == size and np.any(v)]
-                    at = [j for j, v in enumerate(item_vectors) if len(v) == size and None not in v and any(v)]
-                    if not mine or not at:
-                        continue
-                    x, y = np.array([item_vectors[j] for j in at], float), np.array([vectors[j] for j in mine])
-                    s = (y @ x.T) / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(x, axis=1)
-                    top = min(k + 1 + 8, len(at))  # some more than asked for, so that rounding can't hide a tie
-                    edge = np.partition(s, len(at) - top, axis=1)[:, len(at) - top]
-                    row, col = np.nonzero(s >= edge[:, None] - 0.5 * 10.0**-digits)
-                    out.append(
-                        pa.record_batch(
-                            [
-                                pa.array([ids[mine[r]] for r in row], table["q"].type),
-                                batch.column("i").take(pa.array(np.array(at)[col])),
-                                pa.array(s[row, col]),
-                            ],
-                            ["q", "i", "similarity"],
-                        )
-                    )
-                yield from out
+                for size, (at, x) in _by_size(batch.column("v")).items():
+                    if size in asked_by_size:
+                        mine, y = asked_by_size[size]
+                        best.add(ids.take(pa.array(mine)), batch.column("i").take(pa.array(at)), y @ x.T)
+            if best.rows is not None:
+                yield from best.rows.to_batches()
 
         got = rows.mapInArrow(run, f"q {q_type}, i {i_type}, similarity double")
         found = got if found is None else found.unionByName(got)

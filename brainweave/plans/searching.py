@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brainweave.functions import vector
-from brainweave.operators import fulltext, graph, knn, search
+from brainweave.operators import cells, fulltext, graph, knn, search
 from brainweave.plans import roles
+from brainweave.sources import sinks
 from brainweave.sources.tables import table
 
 
@@ -40,6 +41,26 @@ def similar_items(spark: SparkSession, sf: str) -> DataFrame:
     return knn.knn_join(v, "vec_id", "embedding", asked, "query_id", "q", 5, exclude_self=True)
 
 
+def _cells(spark: SparkSession, sf: str) -> cells.Index:
+    """A stored index of the first items, to which the others were added."""
+    v = roles.vectors(spark, sf)
+    index = cells.build(v.filter("vec_id % 3 != 0"), "vec_id", "embedding", sinks.scratch(spark, "cells"), dim=64)
+    return cells.update(index, v.filter("vec_id % 3 = 0"), "vec_id", "embedding")
+
+
+def stored_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest by the stored index, probing until no cell left can hold a nearer one."""
+    found = cells.search(spark, _cells(spark, sf), _query_vector(spark, sf), 10, exact=True)
+    return found.select(F.col("key").alias("vec_id"), "similarity", "rank")
+
+
+def stored_knn_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest to every item of label 0 by the stored index, itself included, with all cells probed."""
+    asked = roles.vectors(spark, sf).filter("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = cells.search_join(_cells(spark, sf), asked, "query_id", "q", 3, probes=cells.CELLS)
+    return found.select("query_id", F.col("key").alias("vec_id"), "similarity", "rank")
+
+
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding")
     return roles.vectors(spark, sf).select(
@@ -153,6 +174,13 @@ QUERIES = {
              FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label <> 0)
            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 3""",
     ),
+    "stored_knn": (stored_knn, _knn_sql("vec_id, similarity, rank")),
+    "stored_knn_join": (
+        stored_knn_join,
+        """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS similarity
+             FROM embeddings a, embeddings b WHERE a.label = 0)
+           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 3""",
+    ),
     "similar_items": (
         similar_items,
         """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS similarity
