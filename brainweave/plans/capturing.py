@@ -9,7 +9,7 @@ from brainweave.operators import stitch
 from brainweave.plans import roles
 from brainweave.sources import sinks
 from brainweave.sources.tables import table
-from brainweave.streaming import capture
+from brainweave.streaming import capture, late
 
 
 def _stitched(spark: SparkSession, sf: str, gap: int, feedback: bool = False) -> DataFrame:
@@ -66,6 +66,20 @@ def stitch_stream(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "messages")
 
 
+def stitch_late(spark: SparkSession, sf: str) -> DataFrame:
+    """stitch_6_hours from a stream in which messages arrive out of order, in four micro-batches by a hash of their ids."""
+    work = sinks.scratch(spark, "late")
+    part = F.pmod(F.xxhash64("message_id"), F.lit(4)).cast("int")
+    arriving = roles.captures(spark, sf).select("*", part.alias("part"), (F.timestamp_seconds(1_800_000_000 + part * 3600)).alias("arrived"))
+    schema = arriving.drop("part").schema
+    arriving.repartition(4, "part").write.partitionBy("part").parquet(f"{work}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in/part=*")
+    with late.rocksdb(spark):
+        found = _drained(spark, late.stitch_versions(stream, 21_600), late.OUT)
+    ends = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
+    return late.latest(found).select("user_id", *ends, "messages")
+
+
 def hourly_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of an hour that the watermark has passed when the stream has been read."""
     counted = capture.hourly_counts(_events_stream(spark, sf)).select(F.col("window.start").alias("hour"), "event_type", "n")
@@ -105,6 +119,7 @@ QUERIES = {
 SELECT user_id, window_start, window_end, messages FROM e WHERE entry_no < last OR window_end + INTERVAL 21600 SECOND < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
         ),
     ),
+    "stitch_late": (stitch_late, _sql(21_600, "SELECT user_id, min(ts) AS window_start, max(ts) AS window_end, count(*) AS messages FROM n GROUP BY user_id, entry_no")),
     "hourly_stream": (
         hourly_stream,
         """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events

@@ -16,9 +16,10 @@ Defined cases: rows without a user, channel or time are left out; a message that
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -182,6 +183,18 @@ class Sessions(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Keyed state on disk while a stream is started and run; afterwards the session has its own provider again."""
+    key, ours = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ours)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stitch_versions(messages: DataFrame, gap_seconds: int = 600, delay: str = "0 seconds") -> DataFrame:
     """messages (user_id, channel, ts, is_command, is_feedback, message_id, arrived) as a stream of versions of entries.
 

@@ -19,10 +19,8 @@ def message(r, n, seconds):
 
 @pytest.fixture
 def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset(key)
+    with late.rocksdb(spark):
+        yield
 
 
 def streamed(spark, tmp_path, batches, gap=600, schema=SCHEMA):
