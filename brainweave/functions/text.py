@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Phrases that open a new note, and the prefix that marks feedback messages.
 NEW_NOTE_COMMANDS = ("new note", "another note", "separate note", "different note", "different thought")
@@ -131,16 +135,41 @@ def mail_scope(labels: Column, sender: Column, receivers: Column, domains: list[
     return F.when(family | F.coalesce(by_receiver, F.lit(False)), "family").otherwise("personal")
 
 
+@F.arrow_udf(T.StringType())
+def _outside(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, spans in batches:
+        out = []
+        for text, cuts in zip(texts.to_pylist(), spans.to_pylist()):
+            if text is not None:
+                units = text.encode("utf-16-le", "surrogatepass")
+                for cut in sorted((c for c in cuts or [] if c["size"] > 0), key=lambda c: -c["start"]):
+                    units = units[: 2 * cut["start"]] + units[2 * (cut["start"] + cut["size"]) :]
+                text = units.decode("utf-16-le", "ignore")
+            out.append(text)
+        yield pa.array(out, pa.string())
+
+
 def without_spans(text: Column, spans: Column) -> Column:
-    """text without the spans (array of structs start, size; in characters): kept characters are those in no span."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    outside = F.filter(at, lambda i: ~F.exists(spans, lambda s: (i > s["start"]) & (i <= s["start"] + s["size"])))
-    return strip(F.array_join(F.transform(outside, lambda i: F.substring(text, i, F.lit(1))), ""))
+    """text without the spans (array of structs start, size; in UTF-16 units, as chats count), runs of white space as one blank, trimmed.
+
+    Where spans is null the text stays as it is. Half a character that a span leaves goes too.
+    """
+    rest = F.regexp_replace(_outside(text, spans), r"(?U)[\s\x{FEFF}]+", " ")
+    return F.when(spans.isNull(), text).otherwise(F.trim(rest))
+
+
+def is_signal(text: Column, phrases: list[str], closing: bool = True) -> Column:
+    """Whether a message is one of the phrases, with at most one closing mark if that is allowed."""
+    said = F.lower(strip(text))
+    return (F.regexp_replace(said, r"[.!?]\z", "") if closing else said).isin(*phrases)
+
+
+def is_done(text: Column) -> Column:
+    return is_signal(text, ["done", "/done"])
 
 
-def is_signal(text: Column, phrases: list[str]) -> Column:
-    """Whether a message is one of the phrases, with at most one closing mark."""
-    return F.regexp_replace(F.lower(strip(text)), "[.!?]$", "").isin(*phrases)
+def is_cancel(text: Column) -> Column:
+    return is_signal(text, ["cancel", "/cancel"], closing=False)
 
 
 def escape_xml(text: Column) -> Column:
@@ -158,10 +187,10 @@ def session_text(title: Column, summary: Column, labels: Column) -> Column:
 
 
 def suggested_title(actions: Column, summary: Column, text: Column) -> Column:
-    """The reason of the first task among actions, else the summary, else the text; 200 characters at most."""
-    task = F.get(F.filter(actions, lambda a: a["kind"] == "task"), F.lit(0))["reason"]
+    """The first reason that a task among actions has, else the summary, else the text: trimmed, 200 characters at most; may be empty."""
+    task = F.get(F.filter(actions, lambda a: (a["kind"] == "task") & (strip(a["reason"]) != "")), F.lit(0))["reason"]
     some = lambda c: F.when(strip(c) != "", strip(c))
-    return truncate(F.coalesce(some(task), some(summary), text))
+    return truncate(F.coalesce(some(task), some(summary), strip(text)))
 
 
 def split_message(text: Column, size: int = 3900) -> Column:

@@ -39,7 +39,7 @@ def family_messages(messages: DataFrame, members: DataFrame, trigger: str) -> Da
     known = messages.join(F.broadcast(members.select("user_id").distinct()), "user_id", "left_semi")  # a household's members
     own = F.col("chat_id") == F.col("user_id").cast("string")
     meant = own | F.lower(F.ltrim("raw_text")).startswith(trigger.lower())
-    return known.filter(meant).withColumn("raw_text", text.without_spans(F.col("raw_text"), F.coalesce("spans", F.array().cast("array<struct<start:int,size:int>>"))))
+    return known.filter(meant).withColumn("raw_text", text.without_spans(F.col("raw_text"), F.col("spans")))
 
 
 def reader_scopes(messages: DataFrame, owner) -> DataFrame:

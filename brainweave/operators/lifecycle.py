@@ -55,20 +55,25 @@ def next_to_post(suggestions: DataFrame, k: int = 10) -> DataFrame:
     return suggestions.filter("status = 'pending' AND posted_at IS NULL").orderBy("created_at", "suggestion_id").limit(k)
 
 
+#: Fixed value: the classifier's type of entries that may be tasks.
+TASK = "task_candidate"
+
+
 def suggest_tasks(entries: DataFrame, captures: DataFrame, lists: dict[str, str], threshold: float = 0.6) -> DataFrame:
-    """Suggestions for processed entries of type task whose confidence reaches the threshold: one per entry.
+    """Suggestions for processed entries that may be tasks, whose confidence reaches the threshold: one per entry, none without a title.
 
-    captures: entry_id, chat_id, received_at; the latest chat of an entry is where its suggestion goes.
+    captures: entry_id, chat_id, received_at; a suggestion goes to its entry's own chat, else to the latest that it was captured in.
     """
-    sure = entries.filter((F.col("primary_type") == "task") & (F.col("primary_type_confidence") >= threshold))
+    confidence = F.coalesce("primary_type_confidence", F.lit(0.0))
+    sure = entries.filter((F.col("primary_type") == TASK) & (confidence >= threshold))
     chats = captures.filter("chat_id IS NOT NULL").groupBy("entry_id").agg(F.max_by("chat_id", F.struct("received_at", "chat_id")).alias("chat"))
     name = F.lit(None).cast("string")
     for scope, title in lists.items():
         name = F.when(F.col("scope") == scope, title).otherwise(name)
     return sure.join(chats, "entry_id", "left").select(
-        "entry_id", "scope", text.suggested_title(F.col("suggested_actions"), F.col("summary"), F.col("full_text")).alias("suggested_title"),
-        name.alias("list_name"), F.coalesce("chat", "chat_id").alias("chat_id"), F.lit("pending").alias("status"),
-    )
+        "entry_id", "scope", text.suggested_title(F.col("suggested_actions"), F.col("summary"), F.col("clean_text")).alias("suggested_title"),
+        name.alias("list_name"), F.coalesce("chat_id", "chat").alias("chat_id"), F.lit("pending").alias("status"),
+    ).filter("suggested_title != ''")
 
 
 def cooled_down(df: DataFrame, as_of: Column) -> DataFrame:

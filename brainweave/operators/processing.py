@@ -122,7 +122,7 @@ def process_artifacts(artifacts: DataFrame, analyse: Model, embedder: Model, ext
         }
     ).drop("_a")
     parts = chunking.chunk_documents(clean, "artifact", "clean_text")
-    said = entities_of(clean.select("artifact", "clean_text"), "clean_text", extract)
+    said = entities_of(clean.select("artifact", *[c for c in ("user_id",) if c in clean.columns], "clean_text"), "clean_text", extract)
     return {
         "artifacts": embed(done, "summary", embedder, dim),
         "chunks": embed(parts, "chunk_text", embedder, dim),
@@ -131,18 +131,26 @@ def process_artifacts(artifacts: DataFrame, analyse: Model, embedder: Model, ext
 
 
 def mention_rows(said: DataFrame, key: str) -> DataFrame:
-    """(key, entity_no, entity, entity_type, display_name, aliases, salience): a row per entity, named by type and lower-cased name."""
-    rows = said.select(key, F.posexplode("entities").alias("entity_no", "e"))
-    entity = F.concat_ws(":", "e.entity_type", F.lower(text.strip(F.col("e.display_name"))))
-    return rows.select(key, "entity_no", entity.alias("entity"), "e.*")
+    """(key, user_id, entity_no, entity, entity_type, display_name, aliases, salience): a row per entity, named by user, type and lower-cased name.
+
+    Without a column user_id all are one user's.
+    """
+    user = [c for c in ("user_id",) if c in said.columns]
+    rows = said.select(key, *user, F.posexplode("entities").alias("entity_no", "e"))
+    entity = F.concat_ws(":", *user, "e.entity_type", F.lower(text.strip(F.col("e.display_name"))))
+    return rows.select(key, *user, "entity_no", entity.alias("entity"), "e.*")
 
 
 def upsert_entities(current: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Entities by type and lower-cased trimmed name; the last mention's display name and aliases overwrite."""
+    """Entities by user, type and lower-cased trimmed name; the last mention's display name and aliases overwrite.
+
+    Where current has no column user_id, all are one user's.
+    """
     name = F.lower(text.strip(F.col("display_name")))
-    new = mentions.select("entity_type", name.alias("normalized_name"), "display_name", "aliases", "seq")
-    last = upsert.last_per_key(new, ["entity_type", "normalized_name"], ["seq"])
-    return upsert.upsert(current, last, ["entity_type", "normalized_name"], ["display_name", "aliases", "seq"])
+    keys = [*(c for c in ("user_id",) if c in current.columns), "entity_type", "normalized_name"]
+    new = mentions.withColumn("normalized_name", name).select(*keys, "display_name", "aliases", "seq")
+    last = upsert.last_per_key(new, keys, ["seq"])
+    return upsert.upsert(current, last, keys, ["display_name", "aliases", "seq"])
 
 
 def cross_links(mentions: DataFrame, least: int = 2) -> DataFrame:

@@ -6,8 +6,15 @@ declared fields only, and files can be read as batches or as streams with the sa
 
 from __future__ import annotations
 
+import base64
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brainweave.functions import text
 
@@ -19,13 +26,16 @@ EVENTS = (
     "attendees array<struct<email:string,displayName:string,responseStatus:string>>"
 )
 MAILS = (
-    "id string, threadId string, labelIds array<string>, snippet string, internalDate string, "
-    "payload struct<mimeType:string,headers:array<struct<name:string,value:string>>,body:struct<data:string>,"
-    "parts:array<struct<mimeType:string,body:struct<data:string>,parts:array<struct<mimeType:string,body:struct<data:string>>>>>>"
+    "id string, threadId string, labelIds array<string>, snippet string, internalDate string, payload string"
 )
-VIDEOS = "video_id string, title string, transcript string, keywords string, caption_kind string, published_at string, url string"
+HEADERS = "headers array<struct<name:string,value:string>>"
+VIDEOS = "video_id string, title string, transcript string, keywords string, has_manual_transcript boolean, published_at string, summary string"
 MESSAGES = "message_id string, user_id string, channel string, chat_id string, text string, date long"
 
+#: Fixed value: the address of a video by its id. Letters of plain base64 and those of its form for URLs.
+VIDEO_URL = "https://youtube.com/watch?v="
+URL_LETTERS = str.maketrans("+/", "-_")
+
 
 def read_json(spark: SparkSession, path: str, schema: str, streaming: bool = False) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
@@ -70,24 +80,42 @@ def events(raw: DataFrame, family_calendars: list[str]) -> DataFrame:
     )
 
 
-def decode_body(data: Column) -> Column:
-    """base64 in the alphabet for URLs, padding optional, as text."""
-    plain = F.translate(data, "-_", "+/")
-    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
-    return F.decode(F.unbase64(padded), "UTF-8")
-
-
-def plain_body(payload: Column) -> Column:
-    """The first text/plain body of a message, depth first, down to parts of parts."""
-    own = lambda p: F.when((p["mimeType"] == "text/plain") & p["body"]["data"].isNotNull(), p["body"]["data"])
-    first = lambda parts, f: F.get(F.array_compact(F.transform(F.coalesce(parts, F.array()), f)), F.lit(0))
-    inner = lambda p: F.coalesce(own(p), F.get(F.array_compact(F.transform(p["parts"], own)), F.lit(0)))
-    del first
-    return decode_body(F.coalesce(own(payload), F.get(F.array_compact(F.transform(payload["parts"], inner)), F.lit(0))))
+def _plain(part: object) -> str | None:
+    """The first text/plain body of a message part, depth first, that isn't empty."""
+    open_ = [part]
+    while open_:
+        now = open_.pop()
+        if not isinstance(now, dict):
+            continue
+        body = now.get("body")
+        data = body.get("data") if isinstance(body, dict) else None
+        if now.get("mimeType") == "text/plain" and isinstance(data, str):
+            letters = re.sub("[^A-Za-z0-9_-]", "", data.translate(URL_LETTERS).split("=")[0])
+            text_ = base64.urlsafe_b64decode(letters[: len(letters) - (len(letters) % 4 == 1)] + "==").decode("utf-8", "replace")
+            if text_:
+                return text_
+        parts = now.get("parts")
+        open_.extend(reversed(parts if isinstance(parts, list) else []))
+    return None
+
+
+@F.arrow_udf(T.StringType())
+def plain_body(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The text of a message's payload (JSON, parts nested to any depth); null where there is none, or no JSON."""
+    for payloads in batches:
+        out = []
+        for payload in payloads.to_pylist():
+            try:
+                out.append(_plain(json.loads(payload or "null")))
+            except (ValueError, RecursionError):
+                out.append(None)
+        yield pa.array(out, pa.string())
 
 
 def header(payload: Column, name: str) -> Column:
-    return F.get(F.filter(payload["headers"], lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
+    """A header of a message's payload, whatever the name's case; the first if there are several."""
+    headers = F.from_json(payload, HEADERS)["headers"]
+    return F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
 def mails(raw: DataFrame, label_names: dict[str, str], family_domains: list[str]) -> DataFrame:
@@ -116,11 +144,12 @@ def new_mails(stored: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def videos(raw: DataFrame) -> DataFrame:
     """Transcripts as artifacts; without id, title or transcript a row is dropped, a bad date is null."""
-    kind = F.when(F.col("caption_kind") == "asr", "transcript:auto").otherwise("transcript:manual")
+    kind = F.when(F.col("has_manual_transcript"), "manual-transcript").when(~F.col("has_manual_transcript"), "auto-transcript")
+    tags = F.array_compact(F.array_append(text.parse_list(F.coalesce("keywords", F.lit(""))), kind))
     return raw.filter("video_id IS NOT NULL AND trim(title) != '' AND trim(transcript) != ''").select(
         F.lit("youtube").alias("source_system"), F.col("video_id").alias("source_external_id"), "title", text.slugify(F.col("title")).alias("slug"),
-        F.col("transcript").alias("raw_source"), F.array_append(text.parse_list(F.coalesce("keywords", F.lit(""))), kind).alias("tags"),
-        F.try_to_timestamp("published_at").alias("published_at"), F.col("url").alias("canonical_url"),
+        F.lit("transcript").alias("type"), F.col("transcript").alias("raw_source"), F.when(F.size(tags) > 0, tags).alias("tags"),
+        F.try_to_timestamp("published_at").alias("published_at"), F.concat(F.lit(VIDEO_URL), "video_id").alias("canonical_url"), F.col("summary").alias("source_summary"),
     )
 
 

@@ -34,20 +34,24 @@ def test_mails(spark, tmp_path):
     head = [{"name": "from", "value": "Ann <a@b.example>"}, {"name": "To", "value": "x@y.example, me@fam.example"}, {"name": "Subject", "value": "Hi"}]
     rows = [
         {"id": "1", "labelIds": ["STARRED", "L1", "L9"], "internalDate": "1704067200000", "payload": {"mimeType": "multipart/mixed", "headers": head, "parts": [part("text/html", "<p>"), {"mimeType": "multipart/alternative", "parts": [part("text/plain", "déep?>")]}, part("text/plain", "later")]}},
+        {"id": "3", "payload": {"mimeType": "multipart/mixed", "parts": [{"mimeType": "multipart/related", "parts": [{"mimeType": "multipart/alternative", "parts": [{"mimeType": "x", "parts": [part("text/plain", ""), part("text/plain", "at depth 4")]}, part("text/html", "h")]}]}, part("text/plain", "attached")]}},
+        {"id": "4", "payload": {"mimeType": "text/html", "body": {"data": b64("<p>")}}},
         {"id": "2", "payload": {"mimeType": "text/plain", "body": {"data": b64("own")}}},
     ]
     raw = land(spark, tmp_path, rows, feeds.MAILS)
     got = feeds.mails(raw, {"L1": "Work"}, ["fam.example"]).orderBy("external_id").collect()
     assert [(r.subject, r.from_address, r.body_text, r.label_names, r.is_starred, r.scope) for r in got][0] == ("Hi", "a@b.example", "déep?>", ["Work"], True, "family")
+    assert [got[2].body_text, got[3].body_text] == ["at depth 4", None]
     assert (got[1].body_text, got[1].scope, got[1].is_starred) == ("own", "personal", False)
     stored = spark.createDataFrame([("1",)], "external_id string")
-    assert [r.external_id for r in feeds.new_mails(stored, feeds.mails(raw, {}, [])).collect()] == ["2"]
+    assert [r.external_id for r in feeds.new_mails(stored, feeds.mails(raw, {}, [])).orderBy("external_id").collect()] == ["2", "3", "4"]
 
 
 def test_videos_and_messages(spark, tmp_path):
-    rows = [{"video_id": "v", "title": "A Title!", "transcript": "t", "keywords": "A;b", "caption_kind": "asr", "published_at": "nope"}, {"video_id": "w", "title": " ", "transcript": "t"}]
-    got = feeds.videos(land(spark, tmp_path, rows, feeds.VIDEOS)).collect()
-    assert [(r.source_external_id, r.slug, r.tags, r.published_at) for r in got] == [("v", "a-title", ["a", "b", "transcript:auto"], None)]
+    rows = [{"video_id": "v", "title": "A Title!", "transcript": "t", "keywords": "A;b", "has_manual_transcript": False, "published_at": "nope", "summary": "s"}, {"video_id": "w", "title": " ", "transcript": "t"}, {"video_id": "x", "title": "X", "transcript": "t"}, {"video_id": "y", "title": "Y", "transcript": "t", "has_manual_transcript": True}]
+    got = feeds.videos(land(spark, tmp_path, rows, feeds.VIDEOS)).orderBy("source_external_id").collect()
+    assert [(r.source_external_id, r.slug, r.tags, r.published_at) for r in got] == [("v", "a-title", ["a", "b", "auto-transcript"], None), ("x", "x", None, None), ("y", "y", ["manual-transcript"], None)]
+    assert (got[0].type, got[0].canonical_url, got[0].source_summary) == ("transcript", "https://youtube.com/watch?v=v", "s")
     rows = [{"message_id": "1", "user_id": "u", "channel": "c", "text": "New note", "date": 1704067200}, {"message_id": "2", "user_id": "u", "channel": "c", "date": 5}]
     assert [(r.message_id, r.is_command, r.is_feedback) for r in feeds.messages(land(spark, tmp_path, rows, feeds.MESSAGES)).collect()] == [("1", True, False)]
 

@@ -58,6 +58,16 @@ def test_artifacts_and_cross_links(spark):
     assert sorted((r.normalized_name, r.display_name, r.created) for r in known.collect()) == [("blue", " blue ", True), ("fox", " fox ", True), ("red", " red ", False), ("runs", " runs ", True)]
 
 
+def test_entities_of_two_users_stay_apart(spark):
+    schema = "user_id string, entity_type string, normalized_name string, display_name string, aliases array<string>, seq int"
+    now = spark.createDataFrame([("u", "work", "red", "Red", ["r"], 0)], schema)
+    new = spark.createDataFrame([("u", "work", " RED", [], 2), ("u", "work", "ReD ", ["x"], 3), ("v", "work", "Red", [], 1)], "user_id string, entity_type string, display_name string, aliases array<string>, seq int")
+    known = processing.upsert_entities(now, new)
+    assert sorted((r.user_id, r.normalized_name, r.display_name, r.aliases, r.created) for r in known.collect()) == [("u", "red", "ReD ", ["x"], False), ("v", "red", "Red", [], True)]
+    said = new.withColumn("entities", F.array(F.struct("entity_type", "display_name", "aliases", F.lit(0.5).alias("salience"))))
+    assert {r.entity for r in processing.mention_rows(said, "seq").collect()} == {"u:work:red", "v:work:red"}
+
+
 def test_relink_keeps_other_types(spark):
     schema = "source_id string, target_type string, target_id string, link_type string, confidence double, explanation string"
     old = spark.createDataFrame([("1", "p", "2", "mentions_person", 0.5, "old"), ("1", "p", "2", "made_by_hand", 0.5, "kept")], schema)

@@ -87,12 +87,16 @@ def test_drafts_settle_and_take_messages_only_while_open(spark):
 def test_task_suggestions(spark):
     action = "array<struct<kind:string,reason:string,confidence:double>>"
     e = spark.createDataFrame(
-        [(1, "task", 0.6, "family", "c0", "sum", "text", [("note", "n", 0.1), ("task", " Buy ", 0.9)]), (2, "task", 0.59, "personal", None, "s", "t", []), (3, "task", 0.9, "personal", "c9", " ", "text", None)],
-        f"entry_id int, primary_type string, primary_type_confidence double, scope string, chat_id string, summary string, full_text string, suggested_actions {action}",
+        [
+            (1, "task_candidate", 0.6, "family", None, "sum", "text", [("note", "n", 0.1), ("task", "  ", 0.9), ("task", " Buy ", 0.9)]), (2, "task_candidate", 0.59, "personal", None, "s", "t", []),
+            (3, "task_candidate", 0.9, "personal", "c9", " ", " text ", None), (4, "task", 0.9, "personal", "c9", "s", "t", None), (5, "task_candidate", None, "personal", "c9", "s", "t", None),
+            (6, "task_candidate", 0.9, "personal", "c9", "", " ", None), (7, "task_candidate", 0.9, "family", "own", "s", "t", []),
+        ],
+        f"entry_id int, primary_type string, primary_type_confidence double, scope string, chat_id string, summary string, clean_text string, suggested_actions {action}",
     )
-    chats = spark.createDataFrame([(1, "c1", at(1)), (1, "c2", at(2)), (1, None, at(3))], "entry_id int, chat_id string, received_at timestamp_ntz")
+    chats = spark.createDataFrame([(1, "c1", at(1)), (1, "c2", at(2)), (1, None, at(3)), (7, "c7", at(1))], "entry_id int, chat_id string, received_at timestamp_ntz")
     got = lifecycle.suggest_tasks(e, chats, {"family": "Home", "personal": "Mine"})
-    assert rows(got, "entry_id", "suggested_title", "list_name", "chat_id") == [(1, "Buy", "Home", "c2"), (3, "text", "Mine", "c9")]
+    assert rows(got, "entry_id", "suggested_title", "list_name", "chat_id") == [(1, "Buy", "Home", "c2"), (3, "text", "Mine", "c9"), (7, "s", "Home", "own")]
 
 
 def test_proposals_and_commits(spark):

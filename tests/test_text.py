@@ -62,6 +62,23 @@ def test_addresses_and_scope(spark):
 def test_spans_are_cut_out(spark):
     spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("size")), F.struct(F.lit(9).alias("start"), F.lit(2).alias("size")))
     assert one(spark, text.without_spans(F.lit("@bot hi 12xx there"), spans)) == "hi 1x there"
+    cut = lambda t, *s: one(spark, text.without_spans(F.lit(t), F.array(*[F.struct(F.lit(a).alias("start"), F.lit(n).alias("size")) for a, n in s])))
+    assert cut("hi @bot  there\nyou", (3, 4)) == "hi there you"
+    assert cut("😀 @bot é😀x", (3, 4), (9, 2)) == "😀 éx"  # offsets count UTF-16 units
+    assert one(spark, text.without_spans(F.lit(" as  it is "), F.lit(None).cast("array<struct<start:int,size:int>>"))) == " as  it is "
+
+
+def test_signals(spark):
+    assert one(spark, text.is_done(F.lit(" /Done. "))) and not one(spark, text.is_done(F.lit("done it")))
+    assert one(spark, text.is_cancel(F.lit("Cancel "))) and not one(spark, text.is_cancel(F.lit("cancel!")))
+
+
+def test_titles_of_suggestions(spark):
+    actions = lambda *rows: F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r).cast("string").alias("reason")) for k, r in rows])
+    title = lambda a, s, t: one(spark, text.suggested_title(a, F.lit(s).cast("string"), F.lit(t)))
+    assert title(actions(("task", " "), ("task", None), ("note", "n"), ("task", " Call ")), "s", "t") == "Call"
+    assert title(actions(("note", "n")), None, " text ") == "text"
+    assert title(actions(("task", "")), " sum ", "t") == "sum"
 
 
 def test_messages_are_split_before_newlines(spark):
