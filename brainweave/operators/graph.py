@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brainweave.operators import filters
+from brainweave.operators import filters, similar_sets
 
 
 def shared_entities(mentions: DataFrame, artifact, least: int = 2, k: int = 20, min_salience: float = 0.5) -> DataFrame:
@@ -27,17 +27,12 @@ def shared_entities(mentions: DataFrame, artifact, least: int = 2, k: int = 20,
 
 
 def shared_entity_pairs(mentions: DataFrame, least: int = 2, min_salience: float = 0.5) -> DataFrame:
-    """(artifact, other, shared) for all artifacts. Mentions are counted per (artifact, entity) before they are joined."""
+    """(artifact, other, shared) for all artifacts, each pair both ways. Mentions are counted per (artifact, entity) before they are joined."""
     strong = mentions.filter(filters.at_least_or_null(F.col("salience"), min_salience))
-    counts = strong.groupBy("artifact", "entity").agg(F.count(F.lit(1)).alias("n"))
-    other = counts.select("entity", F.col("artifact").alias("other"), F.col("n").alias("m"))
-    return (
-        counts.join(other, "entity")
-        .filter("artifact != other")
-        .groupBy("artifact", "other")
-        .agg(F.sum(F.col("n") * F.col("m")).cast("long").alias("shared"))
-        .filter(F.col("shared") >= least)
-    )
+    counts = strong.filter("artifact IS NOT NULL AND entity IS NOT NULL").groupBy(F.col("artifact").alias("id"), F.col("entity").alias("token"))
+    found = similar_sets.overlaps(counts.agg(F.count(F.lit(1)).alias("n")), least)
+    ways = F.explode(F.array(F.struct(F.col("a").alias("artifact"), F.col("b").alias("other")), F.struct(F.col("b").alias("artifact"), F.col("a").alias("other"))))
+    return found.select(ways.alias("p"), "shared").select("p.artifact", "p.other", "shared")
 
 
 def artifacts_by_entities(mentions: DataFrame, entities: DataFrame, k: int = 30) -> DataFrame:

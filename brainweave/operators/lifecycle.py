@@ -87,10 +87,15 @@ def cooled_down(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def founding(amendments: DataFrame, first: int = 5) -> DataFrame:
-    """amendments with bypass: whether fewer than five of kind new were committed before, per user and in time order."""
-    before = Window.partitionBy("user_id").orderBy("committed_at", "amendment_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.count_if(F.col("kind") == "new").over(before), F.lit(0))
-    return amendments.withColumn("bypass", (F.col("kind") == "new") & (earlier < first))
+    """amendments with bypass: whether fewer than five of kind new were committed before, per user and in time order.
+
+    Each task keeps the first five of a user before anything is shuffled (a limit pushed into the window), and these five meet the amendments by id:
+    a user with a third of all rows is spread over tasks throughout. Ids are unique.
+    """
+    order = Window.partitionBy("user_id").orderBy("committed_at", "amendment_id")
+    new = amendments.filter("kind = 'new'").select("amendment_id", "user_id", "committed_at")
+    early = new.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= first).select("amendment_id", F.lit(True).alias("_early"))
+    return amendments.join(early, "amendment_id", "left").select(*amendments.columns, F.coalesce("_early", F.lit(False)).alias("bypass"))
 
 
 def over_cap(goals: DataFrame, cap: int = 3) -> DataFrame:
