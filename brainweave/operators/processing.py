@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from brainweave.functions import text
 from brainweave.operators import chunking, graph, upsert
+from brainweave.operators.memo import Memo
 
 Model = Callable[[list[str]], list[Any]]
 
@@ -90,20 +91,27 @@ def entities_of(df: DataFrame, column: str, model: Model, into: str = "entities"
     return asked.withColumn(into, F.col("_e.entities")).drop("_e")
 
 
-def process_entries(entries: DataFrame, classify: Model, embedder: Model, dim: int) -> DataFrame:
+def process_entries(entries: DataFrame, classify: Model, embedder: Model, dim: int, memo: Memo | None = None) -> DataFrame:
     """Pending entries (entry_id, full_text, status) with the classifier's fields, a vector, and status processed.
 
-    Feedback isn't shown to the classifier: it is archived as it is.
+    Feedback isn't shown to the classifier: it is archived as it is. With a memo no text is sent twice, and entries whose texts failed are
+    left out: they are ``memo.failed(..., "classify")`` and ``"embed"``.
     """
     pending = entries.filter("status = 'pending'")
     fb = text.is_feedback(F.col("full_text"))
-    asked = ask(pending, F.when(~fb, F.col("full_text")), classify, CLASSES, "_c")
+    shown = F.when(~fb, F.col("full_text"))
+    if memo is None:
+        asked = ask(pending, shown, classify, CLASSES, "_c")
+    else:
+        asked = memo.ask(pending, shown, classify, CLASSES, "_c", "classify").filter(fb | F.col("_c").isNotNull())
     fixed = {"clean_text": F.col("full_text"), "language": F.lit("en"), "primary_type": F.lit("archive_only"), "primary_type_confidence": F.lit(1.0)}
     empty = F.array().cast("array<struct<kind:string,reason:string,confidence:double>>")
     fixed |= {"suggested_actions": empty, "tags": text.first_line_hashtags(F.col("full_text"))}
     values = {n: F.when(fb, fixed.get(n)).otherwise(F.col(f"_c.{n}")) if n in fixed else F.col(f"_c.{n}") for n in (f.split()[0] for f in _fields(CLASSES))}
     done = asked.withColumns(values).drop("_c").withColumns({"status": F.lit("processed"), "last_error": F.lit(None).cast("string")})
-    return embed(done, "clean_text", embedder, dim)
+    if memo is None:
+        return embed(done, "clean_text", embedder, dim)
+    return memo.embed(done, "clean_text", embedder, dim, "embedding", "embed").filter("embedding IS NOT NULL")
 
 
 def process_artifacts(artifacts: DataFrame, analyse: Model, embedder: Model, extract: Model, dim: int, most: int = 12_000) -> dict[str, DataFrame]:
