@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from brainweave.llm import ann, cap_filters, common, conversation_repair, exact_dedup, fill_middle, html_text, line_dedup, mixing, near_join, packing, quality, secrets, url_filter
 
 
@@ -232,7 +231,6 @@ FROM p
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_best_fit_packing": op3_best_fit_packing,
