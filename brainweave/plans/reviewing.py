@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brainweave.operators import graph, review, search
+from brainweave.operators import briefing, graph, review, search
 from brainweave.plans import roles
 from brainweave.sources import sinks
 from brainweave.sources.tables import table
@@ -66,6 +68,55 @@ def rss_feed(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.rss(r.filter("scope = 'personal'"), "Review & notes", "https://feed.example")
 
 
+def digests(texts: list[str]) -> list[dict]:
+    """A stand-in for a model: what it says is the MD5 of what it is shown."""
+    return [{"content": d, "answer": d} for d in (hashlib.md5(t.encode()).hexdigest() for t in texts)]
+
+
+def morning_review(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as entries and tasks, events, suppliers as mails, customers as links: five limited reads under a budget of 400 tokens."""
+    none = F.lit(None).cast("array<struct<kind:string>>")
+    o = table(spark, sf, "orders")
+    entries = o.filter(F.col("o_orderdate") <= roles.as_of(PRESENT)).orderBy(F.desc("o_orderdate"), "o_orderkey").limit(12)
+    entries = entries.select(
+        "o_orderkey", F.col("o_orderdate").alias("created_at"), F.lit("chat").alias("channel"), F.col("o_orderpriority").alias("summary"), F.array("o_orderstatus").alias("tags"),
+        F.lit("idea").alias("primary_type"), F.lit(0.8).alias("primary_type_confidence"), none.alias("suggested_actions"), F.col("o_orderpriority").alias("full_text"),
+    )
+    tasks = o.filter("o_orderstatus = 'O'").orderBy("o_orderkey").limit(8).select(
+        "o_orderkey", F.col("o_orderdate").alias("due_at"), F.concat(F.lit("order "), "o_orderkey").alias("title"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).alias("parent_title"),
+        F.when(F.col("o_custkey") % 2 == 0, "Do").alias("list_name"), F.when(F.col("o_custkey") % 2 == 0, "do").alias("list_type"), F.when(F.col("o_custkey") % 5 == 0, "a\nb").alias("notes"),
+    )
+    people = F.array(F.struct(F.lit("x@y.example").alias("email"), F.col("event_type").alias("name")))
+    events = table(spark, sf, "events").orderBy("event_id").limit(5).select(
+        "event_id", F.col("ts").cast("timestamp").alias("start_at"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).cast("timestamp").alias("end_at"), F.col("event_type").alias("title"),
+        F.when(F.col("event_id") % 2 == 0, "here").alias("location"), people.alias("attendees"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("description"),
+    )
+    mails = table(spark, sf, "supplier").orderBy("s_suppkey").limit(6).select(
+        "s_suppkey", F.when(F.col("s_suppkey") % 3 > 0, F.lit("1998-06-14 01:00:00").cast("timestamp_ntz")).alias("sent_at"), F.col("s_name").alias("from_address"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("nation "), "s_nationkey")).alias("subject"), F.when(F.col("s_suppkey") % 4 > 0, "seen").alias("snippet"),
+    )
+    links = table(spark, sf, "customer").orderBy("c_custkey").limit(6).select(
+        "c_custkey", F.lit("1998-06-13 00:00:00").cast("timestamp_ntz").alias("entry_at"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("entry_summary"), F.lit("person").alias("target_type"),
+        F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).alias("target_title"), F.when(F.col("c_custkey") % 4 == 0, F.lit("1998-01-02").cast("date")).alias("target_date"), F.lit("mentions_person").alias("link_type"),
+        F.when(F.col("c_custkey") % 5 > 0, F.lit(0.75)).alias("confidence"), F.col("c_mktsegment").alias("explanation"),
+    )
+    reads = {
+        "entries": (entries, [F.desc("created_at"), F.col("o_orderkey")]), "tasks": (tasks, [F.col("o_orderkey")]), "events": (events, [F.col("event_id")]), "mails": (mails, [F.col("s_suppkey")]),
+        "links": (links, [F.col("c_custkey")]),
+    }
+    return briefing.morning_review(reads, digests, roles.as_of(PRESENT), "family", tokens=400)
+
+
+def ask_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """The five longest documents as what a search found, and the answer from their excerpts."""
+    d = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5)
+    found = d.select(F.col("source").alias("artifact"), F.col("doc_id").alias("chunk"), F.col("n_chars").cast("double").alias("score"))
+    day = F.when(F.col("doc_id") % 2 == 0, F.lit("2024-03-01").cast("date"))
+    chunks = d.select(F.col("source").alias("artifact"), F.col("doc_id").alias("chunk"), F.col("text").alias("body"), F.upper("source").alias("title"), F.lit("").alias("summary"), day.alias("published_at"))
+    answer = briefing.ask_archive(found, chunks, "What is here?", digests)
+    return answer.select("answer", F.array_join(F.transform("sources", lambda s: s["title"]), ",").alias("sources"), F.length("prompt").alias("n_chars"))
+
+
 def answer_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Excerpts of two retrievers over documents and one over parts, numbered."""
     d = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5)
@@ -92,7 +143,39 @@ old AS (SELECT * FROM r WHERE content = 'F' QUALIFY row_number() OVER (PARTITION
 new AS (SELECT * FROM r WHERE content <> 'F' QUALIFY row_number() OVER (PARTITION BY review_date, scope ORDER BY created_at DESC) = 1),
 saved AS (SELECT * FROM new UNION ALL SELECT * FROM old ANTI JOIN new USING (review_date, scope))"""
 
+_BRIEF = f"""WITH e AS (SELECT 'JOURNAL ENTRIES' AS h, 5 AS turn, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place,
+  '=== Entry [' || strftime(o_orderdate, '%Y-%m-%dT%H:%M') || '] (chat) ===' || chr(10) || 'Summary: ' || o_orderpriority || chr(10) || 'Tags: ' || o_orderstatus || chr(10) || 'Type: idea (confidence: 0.8)' || chr(10)
+    || CASE WHEN o_orderdate > TIMESTAMP '{PRESENT}' - INTERVAL 1 DAY THEN 'Full text:' || chr(10) || o_orderpriority || chr(10) ELSE '' END AS line
+  FROM orders WHERE o_orderdate <= TIMESTAMP '{PRESENT}' QUALIFY place <= 12),
+t AS (SELECT 'OPEN TASKS' AS h, 2 AS turn, row_number() OVER (ORDER BY o_orderkey) AS place,
+  CASE WHEN o_orderdate::DATE < DATE '{_DAY}' THEN '- [OVERDUE]' WHEN o_orderdate::DATE = DATE '{_DAY}' THEN '- [TODAY]' ELSE '- [due ' || strftime(o_orderdate, '%Y-%m-%d') || ']' END || ' order ' || o_orderkey
+    || CASE WHEN o_custkey % 3 = 0 THEN ' (subtask of "' || o_orderpriority || '")' ELSE '' END || ' — list: ' || CASE WHEN o_custkey % 2 = 0 THEN 'Do · do' ELSE '(unfiled)' END
+    || CASE WHEN o_custkey % 5 = 0 THEN chr(10) || '  Notes: a b' ELSE '' END AS line FROM orders WHERE o_orderstatus = 'O' QUALIFY place <= 8),
+v AS (SELECT 'CALENDAR OF TODAY' AS h, 1 AS turn, row_number() OVER (ORDER BY event_id) AS place,
+  '- ' || strftime(ts, '%H:%M') || '–' || strftime(ts + INTERVAL 30 MINUTE, '%H:%M') || ' ' || event_type || CASE WHEN event_id % 2 = 0 THEN ' (at here)' ELSE '' END || ' — with ' || event_type
+    || CASE WHEN event_id % 3 = 0 AND props <> '' THEN chr(10) || '  Description: ' || replace(left(props, 200), chr(10), ' ') ELSE '' END AS line FROM events QUALIFY place <= 5),
+m AS (SELECT 'STARRED MAILS' AS h, 3 AS turn, row_number() OVER (ORDER BY s_suppkey) AS place,
+  '- [' || CASE WHEN s_suppkey % 3 > 0 THEN '1998-06-14' ELSE '?' END || '] From ' || s_name || ': "' || CASE WHEN s_suppkey % 2 = 0 THEN 'nation ' || s_nationkey ELSE '(no subject)' END || '"'
+    || CASE WHEN s_suppkey % 4 > 0 THEN chr(10) || '  seen' ELSE '' END AS line FROM supplier QUALIFY place <= 6),
+k AS (SELECT 'CONNECTIONS OF RECENT ENTRIES' AS h, 4 AS turn, row_number() OVER (ORDER BY c_custkey) AS place,
+  '- [1998-06-13] Journal: "' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '(no summary)' END || '" → person' || CASE WHEN c_custkey % 3 > 0 THEN ' "' || c_name || '"' || CASE WHEN c_custkey % 4 = 0 THEN ' (1998-01-02)' ELSE '' END ELSE '' END
+    || ' (mentions_person)' || CASE WHEN c_custkey % 5 > 0 THEN ' [confidence 0.75]' ELSE '' END || chr(10) || '  ' || c_mktsegment AS line FROM customer QUALIFY place <= 6),
+every AS (SELECT * FROM e UNION ALL SELECT * FROM t UNION ALL SELECT * FROM v UNION ALL SELECT * FROM m UNION ALL SELECT * FROM k),
+kept AS (SELECT *, sum(ceil(length(line) / 4)) OVER (ORDER BY place, turn) AS upto FROM every QUALIFY upto <= 400),
+s AS (SELECT turn, '=== ' || h || ' ===' || chr(10) || CASE WHEN turn = 5 THEN array_to_string(list(line ORDER BY place), chr(10) || '---' || chr(10) || chr(10)) ELSE array_to_string(list(line ORDER BY place), chr(10)) END AS body FROM kept GROUP BY turn, h),
+p AS (SELECT 'Today is {_DAY} (timezone: UTC).' || chr(10) || chr(10) || array_to_string(list(body ORDER BY turn), chr(10) || chr(10)) AS prompt FROM s)
+SELECT '{_DAY}' AS review_date, 'family' AS scope, prompt, md5(prompt) AS content, (SELECT count(*) FROM e) AS entry_count FROM p"""
+
 QUERIES = {
+    "morning_review": (morning_review, _BRIEF),
+    "ask_answer": (
+        ask_answer,
+        """WITH d AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, source, doc_id) AS place FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)),
+        p AS (SELECT 'Question: What is here?' || chr(10) || chr(10) || 'Excerpts from the archive:' || chr(10) || chr(10) || array_to_string(list('[' || place || '] "' || upper(source) || '" ('
+          || CASE WHEN doc_id % 2 = 0 THEN '2024-03-01' ELSE 'undated' END || ')' || chr(10) || left(text, 1200) ORDER BY place), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS prompt FROM d),
+        f AS (SELECT source, min(place) AS place FROM d GROUP BY source)
+        SELECT md5(prompt) AS answer, (SELECT string_agg(upper(source), ',' ORDER BY place) FROM f) AS sources, length(prompt)::INT AS n_chars FROM p""",
+    ),
     "review_entries": (
         review_entries,
         f"""SELECT o_orderkey AS entry_id, o_orderdate AS created_at, CASE WHEN o_orderpriority = '1-URGENT' THEN 'family' ELSE 'personal' END AS scope FROM orders

@@ -80,3 +80,21 @@ def test_links_of_entry_drops_missing_confidence_and_shows_targets_once(spark):
     targets = spark.createDataFrame([("task", 5, "t5", "family"), ("task", 6, "t6", "family"), ("person", 7, "p7", None)], "target_type string, target_id int, target_title string, target_scope string")
     seen = lambda reader: sorted((r.target_id, r.link_type) for r in graph.links_of_entry(links, 1, targets, reader).collect())
     assert seen("personal") == [(5, "b"), (7, "a")] and seen("family") == [(5, "b")]
+
+
+def test_links_are_written_strictly_or_as_far_as_they_go(spark, tmp_path):
+    schema = "source_id int, target_type string, target_id int, link_type string, confidence double, explanation string"
+    good = lambda: spark.createDataFrame([(1, "person", 2, "mentions_person", 0.5, "why")], schema)
+
+    def bad():
+        raise RuntimeError("the model is away")
+
+    path = f"file://{tmp_path}/links"
+    assert linker.write_links({"a": good, "b": bad, "c": good}, path, strict=False) == {"a": None, "b": "the model is away", "c": None}
+    assert sorted((r.matcher, r.source_id, r.target_id) for r in spark.read.parquet(path).collect()) == [("a", "1", "2"), ("c", "1", "2")]
+    try:
+        linker.write_links({"b": bad}, path)
+    except RuntimeError as failure:
+        assert str(failure) == "the model is away"
+    else:
+        raise AssertionError("a strict run goes on")
