@@ -7,9 +7,11 @@ searched for further pieces, until nothing new appears. A layer with a content a
 seen together is not entered again, so cycles end, and a piece that stands at several places is found at each. A secret found in a layer is mapped back to the span, in code points of the raw text,
 of the encoded piece's characters that it came from: exactly for URL and Unicode escapes, and to the whole encoded run
 for base64 and compressed pieces (of a run over several lines, to the whole lines). Base64 may begin at any character of
-a run of 12 characters or more (fewer can't hold a secret), so what is glued to a path or a word is found, and other bytes than
-text hide nothing but themselves. A raw deflate stream has no mark of its own: it is looked for where a piece begins, and must
-be whole. Spans are reported once each; base spans are never removed.
+a run of 12 characters or more, so what is glued to a path or a word is found, and other bytes than
+text hide nothing but themselves; text in UTF-16 among the bytes is read, too. Runs go on over line breaks, indented or not, and over
+blanks between pieces of one length, of 12 characters or more. A shorter run can hold a secret only compressed, and is taken for a raw deflate stream
+if it is a whole one. A raw deflate stream has no mark of its own: it is looked for where a piece begins, and must be whole.
+Spans are reported once each; base spans are never removed.
 
 A decompressed piece may have any size: it is read in windows of ``window`` bytes, each a layer that begins with the last
 ``overlap`` bytes of the one before, so memory is bounded; only a secret longer than the overlap can be reported in part there.
@@ -49,15 +51,23 @@ UNICODE_RUN = re.compile(rf"(?<![^\s\\])[^\s\\]*(?:{UNICODE_CODE}[^\s\\]*)+")
 UNICODE_UNIT = re.compile(rf"(?:{UNICODE_CODE})+")
 URL_PART = re.compile(r"%u([0-9A-Fa-f]{4})|((?:%[0-9A-Fa-f]{2})+)")
 UNICODE_PART = re.compile(r"[uUx]\{?([0-9A-Fa-f]+)")
-#: Base64 over one or more lines; a run of one line has 12 characters at least.
+#: Base64 over one or more lines, indented or not, and in pieces of 12 characters or more between blanks (the last may be shorter).
+_B64, _BREAK = "[A-Za-z0-9+/_-]", r"[ \t]*+\r?\n[ \t]*+"
 BASE64_RUN = re.compile(
-    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}+(?:\r?\n[A-Za-z0-9+/_-]+)*+"
-    r"|[A-Za-z0-9+/_-]{1,11}+(?:\r?\n[A-Za-z0-9+/_-]+)++)={0,2}"
+    rf"(?<!{_B64})(?:{_B64}{{12,}}+(?:{_BREAK}{_B64}++|[ \t]++{_B64}{{12,}}+(?:[ \t]++{_B64}{{1,11}}+(?!{_B64}))?+)*+"
+    rf"|{_B64}{{1,11}}+(?:{_BREAK}{_B64}++)++)={{0,2}}"
 )
-BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+BASE64_LINE = re.compile(rf"{_B64}+={{0,2}}")
+#: Shorter runs hold only what is compressed: a raw deflate stream of one fixed block. The three bits of its header leave 32 first characters
+#: and 16 second ones, so few words of a text are tried.
+SHORT_RUN = re.compile(rf"(?<!{_B64})[ACEGIKMOQSUWYacegikmoqsuwy02468+-][w-z0-9+/_-]{_B64}{{2,9}}+={{0,2}}(?!{_B64})")
 URL_ALPHABET = str.maketrans("-_", "+/")
 #: Nothing shorter holds a secret (14 characters at least) or a further piece (12).
 STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
+STRETCHES = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+PRINTABLE = np.isin(np.arange(256), [9, 10, 13, *range(32, 127)])
+#: The same in UTF-16, of either byte order.
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12}|(?:\0[\t\n\r\x20-\x7e]){12}")
 #: The first two bytes of gzip and zlib streams (RFC 1952; 1950: a multiple of 31, without a dictionary).
 STREAM = re.compile(
     b"\x1f\x8b|"
@@ -167,11 +177,17 @@ def inflated(raw: bytes, at: int, bits: int, block: int = 1 << 14) -> Iterator[t
             yield got, at, d.eof
 
 
+def may_inflate(raw: bytes) -> bool:
+    """Whether bytes may begin with a raw deflate stream, by its first block's header (RFC 1951, 3.2.3 and 3.2.4)."""
+    kind = raw[0] >> 1 & 3 if raw else 3
+    return kind in (1, 2) or kind == 0 and len(raw) > 4 and raw[1] ^ raw[3] == raw[2] ^ raw[4] == 255
+
+
 def streams(raw: bytes, limit: Inflate) -> Iterator[tuple[bytes, int, int]]:
     """The windows of every compressed stream in raw, with the stream's first byte and its end."""
     done = 0
     starts = [(m.start(), 47) for m in STREAM.finditer(raw)]
-    if len(raw) > 8 and (not starts or starts[0][0]):
+    if len(raw) > 8 and (not starts or starts[0][0]) and may_inflate(raw):
         starts.insert(0, (0, -15))  # raw deflate: only from the beginning, and only if whole
     for at, bits in starts:
         if at < done:
@@ -193,11 +209,22 @@ def streams(raw: bytes, limit: Inflate) -> Iterator[tuple[bytes, int, int]]:
             yield held, at, end
 
 
+def narrow(raw: bytes) -> tuple[bytes, np.ndarray] | None:
+    """raw without its zero bytes, and where the others stood, if it holds text in UTF-16."""
+    if b"\0" not in raw or not WIDE.search(raw):
+        return None
+    at = np.flatnonzero(np.frombuffer(raw, np.uint8))
+    return raw.replace(b"\0", b""), at
+
+
 def compressed_layers(raw: bytes, limit: Inflate) -> Iterator[Layer]:
     """The layers of the streams in raw, placed at all of their bytes; those that can hold nothing are left out."""
     for inner, at, end in streams(raw, limit):
-        if STRETCH.search(inner) or STREAM.match(inner):
-            yield inner.decode("latin-1"), *(np.broadcast_to(x, len(inner)) for x in (at, end))
+        found = [inner] if STRETCH.search(inner) or STREAM.match(inner) else []
+        if (wide := narrow(inner)) is not None:
+            found.append(wide[0])
+        for text in found:
+            yield text.decode("latin-1"), *(np.broadcast_to(x, len(text)) for x in (at, end))
 
 
 def base64_bytes(chars: str) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -208,17 +235,49 @@ def base64_bytes(chars: str) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
         body = chars[skip:].translate(URL_ALPHABET)
         body = body[: len(body) - (len(body) % 4 == 1)]
         raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-        if STRETCH.search(raw) or STREAM.search(raw) or next(inflated(raw, 0, -15), None):
+        if STRETCH.search(raw) or STREAM.search(raw) or may_inflate(raw) and next(inflated(raw, 0, -15), None):
             n = np.arange(len(raw))
             yield raw, skip + n * 4 // 3, skip + (n * 8 + 7) // 6
+        if (wide := narrow(raw)) is not None:
+            yield wide[0], skip + wide[1] * 4 // 3, skip + (wide[1] * 8 + 7) // 6
+
+
+def pieces_of(text: str, run: re.Match) -> list[list[tuple[int, int]]]:
+    """The spans of a run's pieces that belong together: lines always, pieces between blanks if all but the last are of one length.
+
+    A last piece of fewer than 12 characters belongs to two others at least: else it is the next word of a text.
+    """
+    lines = [m.span() for m in BASE64_LINE.finditer(text, *run.span())]
+    blank = [i for i in range(1, len(lines)) if "\n" not in text[lines[i - 1][1] : lines[i][0]]]
+    sizes = [b - a for a, b in lines]
+    if not blank or len(set(sizes[:-1])) == 1 and sizes[-1] <= sizes[0] and (sizes[-1] >= 12 or len(sizes) > 2):
+        return [lines]
+    return [lines[i:j] for i, j in zip([0, *blank], [*blank, len(lines)])]
+
+
+def within(raw: bytes, limit: Inflate) -> Iterator[Layer]:
+    """Layers of bytes: all of them if most are text; of others what is compressed, and the stretches of text, which no pattern goes beyond."""
+    if len(raw) < 4096 or PRINTABLE[np.frombuffer(raw, np.uint8)].mean() > 0.75:
+        n = np.arange(len(raw))
+        yield raw.decode("latin-1"), n, n + 1
+        return
+    yield from compressed_layers(raw, limit)
+    for m in STRETCHES.finditer(raw):
+        n = np.arange(*m.span())
+        yield m[0].decode("latin-1"), n, n + 1
 
 
-def base64_layers(text: str) -> Iterator[Layer]:
+def base64_layers(text: str, limit: Inflate) -> Iterator[Layer]:
     """The layers of base64 runs, joined over line breaks and line by line, each byte placed at its whole lines.
 
     Bytes stand as Latin-1 characters: the patterns are ASCII, and no other byte hides what stands around it."""
-    for run in BASE64_RUN.finditer(text):
-        lines = [m.span() for m in BASE64_LINE.finditer(text, *run.span())]
+    for run in SHORT_RUN.finditer(text):
+        body = run[0].rstrip("=").translate(URL_ALPHABET)
+        raw = binascii.a2b_base64(body[: len(body) - (len(body) % 4 == 1)] + "==")
+        inner = b"".join(x for x, _, _ in inflated(raw, 0, -15))
+        if STRETCH.search(inner) and any(ended for _, _, ended in inflated(raw, 0, -15)):
+            yield inner.decode("latin-1"), *(np.broadcast_to(x, len(inner)) for x in run.span())
+    for lines in (own for run in BASE64_RUN.finditer(text) for own in pieces_of(text, run)):
         for part in [lines, *([x] for x in lines if len(lines) > 1 and x[1] - x[0] >= 12)]:
             chars = "".join(text[a:b].rstrip("=") for a, b in part)
             if len(chars) < 12:
@@ -226,11 +285,12 @@ def base64_layers(text: str) -> Iterator[Layer]:
             first, last = np.array(part).T
             till = np.cumsum(last - first)
             for raw, a, b in base64_bytes(chars):
-                if len(part) == 1:
-                    yield raw.decode("latin-1"), *(np.broadcast_to(x, len(raw)) for x in part[0])
-                else:
-                    starts, ends = mapped(first, till.searchsorted(a, "right")), mapped(last, till.searchsorted(b, "right"))
-                    yield raw.decode("latin-1"), starts, ends
+                for inner, i, j in within(raw, limit):
+                    if len(part) == 1:
+                        yield inner, *(np.broadcast_to(x, len(inner)) for x in part[0])
+                    else:
+                        starts = mapped(first, till.searchsorted(mapped(a, i), "right"))
+                        yield inner, starts, mapped(last, till.searchsorted(mapped(b, j - 1), "right"))
 
 
 def layers(text: str, limit: Inflate) -> Iterator[Layer]:
@@ -243,7 +303,7 @@ def layers(text: str, limit: Inflate) -> Iterator[Layer]:
     if "\\" in text:
         yield from unwrapped(text, UNICODE_UNIT, UNICODE_RUN, unicode_units)
     yield from compressed_layers(text.encode("latin-1", "replace"), limit)
-    yield from base64_layers(text)
+    yield from base64_layers(text, limit)
 
 
 def mapped(spans: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -68,6 +68,35 @@ def test_base64_that_is_glued_wrapped_or_not_all_text():
     assert [s for s in spans(wrapped[6])[1] if s[0] == "assign"] == [("assign", 0, 64 + 1 + 64)]
 
 
+def test_base64_that_is_indented_or_split_by_blanks_or_wide():
+    b64 = lambda s: base64.b64encode(s).decode()
+    whole = b64(b"  " + ASSIGN.encode() + b" and more of it, and more") + "=" * 0
+    cut = lambda n, gap: gap.join(whole[i : i + n] for i in range(0, len(whole), n))
+    for gap in ("\n  ", "\r\n\t", "  \n", " \n      "):
+        piece = cut(20, gap)
+        for text in (f"key: |\n  {piece}\nnext: one", f"{piece} {piece}", f"a\n\n{piece}\n\n{piece}\n\n{piece}\n"):
+            at = [m.start() for m in re.finditer(re.escape(piece), text)]
+            found = [s for s in spans(text)[1] if s[0] == "assign"]
+            assert all(any(a <= x < y <= a + len(piece) for _, x, y in found) for a in at), text
+    for n in (12, 16, 20, 64):
+        text = f"see {cut(n, ' ')} there"
+        assert any(k == "assign" and 4 <= a < b <= len(text) for k, a, b in spans(text)[1]), n
+    for codec in ("utf-16-le", "utf-16-be", "utf-16"):
+        for raw in (ASSIGN.encode(codec), zlib.compress(ASSIGN.encode(codec)), b"\x01" + ASSIGN.encode(codec)):
+            text = f"x {b64(raw)} y"
+            assert [s for s in spans(text)[1] if s[0] == "assign"] == [("assign", 2, len(text) - 2)], (codec, raw)
+
+
+def test_short_runs_of_compressed_bytes():
+    for inner in (b"a" * 32, b"0" * 64, b"ab" * 20, b"5" * 500):
+        raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+        piece = base64.b64encode(raw.compress(inner) + raw.flush()).decode()
+        for form in (piece, piece.rstrip("="), piece.translate(str.maketrans("+/", "-_"))):
+            text = f"see {form} end"
+            assert len(piece) <= 12 and spans(text)[1] == [("hex", 4, 4 + len(form))], (inner, form)
+    assert spans("myth exam type 2x4y a0b0 gym-x0 system eyes")[1] == []
+
+
 def test_escapes_keep_what_stands_around_them():
     every = [("password: %68unter2hunter2", 0), ("see password%3D hunter2hunter2 there", 4), ("%70assword : hunter2hunter2", 0), ('"password": "\\u0068unter2hunter2"', 1), ("password = \\x68unter2hunter2", 0), ("%5Cu0070assword%3A hunter2hunter2", 0)]
     for text, a in every:
@@ -117,7 +146,7 @@ def test_three_places_in_a_long_text_without_blanks_in_all_wrappings():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("a" * 2_000_000 + "%", "a" * 2_000_000 + "\\u", "%a" * 500_000, "%" * 1_000_000, "x\x9c" * 20_000, "aB3" * 500_000, "Zm9v\n" * 100_000):
+    for text in ("a" * 2_000_000 + "%", "a" * 2_000_000 + "\\u", "%a" * 500_000, "%" * 1_000_000, "x\x9c" * 20_000, "aB3" * 500_000, "Zm9v\n" * 100_000, "Zm9vYmFyZm9vYmFy \t" * 50_000, ("a" * 12 + " " * 1000) * 500, "Kx0a " * 100_000):
         began = time.process_time()
         spans(text)
         assert time.process_time() - began < 20, text[:20]
