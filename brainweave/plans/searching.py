@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brainweave.functions import vector
-from brainweave.operators import cells, fulltext, graph, knn, search
+from brainweave.operators import cells, fulltext, graph, knn, search, topics
 from brainweave.plans import roles
 from brainweave.sources import sinks
 from brainweave.sources.tables import table
@@ -61,6 +61,27 @@ def stored_knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", F.col("key").alias("vec_id"), "similarity", "rank")
 
 
+def _topics(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Items as topics, seen day after day, and the five nearest of each."""
+    v = roles.vectors(spark, sf)
+    day = F.make_timestamp_ntz(F.lit(2024), F.lit(1), (F.col("vec_id") % 28 + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    rows = v.select(F.col("vec_id").alias("topic"), day.alias("seen_at"), ((F.col("vec_id") % 10) / 10).alias("relevance"), F.col("label").alias("cluster"))
+    near = knn.knn_join(v, "vec_id", "embedding", v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("w")), "q", "w", 5, exclude_self=True)
+    return rows, near.select(F.col("q").alias("topic"), F.col("vec_id").alias("other"), "similarity")
+
+
+def topic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of topics, given clusters (labels)."""
+    rows, near = _topics(spark, sf)
+    return topics.scores(rows, rows.select("topic", "cluster"), near, roles.as_of())
+
+
+def topic_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters by label propagation; no SQL, tested against propagation over all links."""
+    rows, near = _topics(spark, sf)
+    return topics.clusters(rows, topics.mutual(near, 0.3))
+
+
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding")
     return roles.vectors(spark, sf).select(
@@ -187,6 +208,17 @@ QUERIES = {
              FROM embeddings a, embeddings b WHERE a.vec_id = (SELECT min(vec_id) FROM embeddings) AND b.vec_id <> a.vec_id)
            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 5""",
     ),
+    "topic_clusters": (topic_clusters, None),
+    "topic_scores": (
+        topic_scores,
+        f"""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, label AS cluster, TIMESTAMP '2024-01-01' + to_days((vec_id % 28)::INT) AS seen, (vec_id % 10) / 10 AS relevance FROM embeddings),
+        s AS (SELECT a.vec_id, a.cluster, a.seen, b.vec_id AS other, b.cluster AS oc, b.seen AS os, round(list_cosine_similarity(a.e, b.e), 6) + 0.0 AS sim FROM t a, t b WHERE a.vec_id <> b.vec_id
+          QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 5),
+        g AS (SELECT vec_id, max(sim) FILTER (oc <> cluster AND os < seen) AS near, avg((oc = cluster)::INT::DOUBLE) AS share FROM s GROUP BY vec_id),
+        f AS (SELECT vec_id AS topic, cluster, round(1 - coalesce(near, 0), 6) AS novelty,
+          round(pow(0.5::DOUBLE, greatest((epoch_us(TIMESTAMP '{roles.AS_OF}') - epoch_us(seen)) / 86400e6::DOUBLE, 0) / 7), 6) AS timeliness, round(share, 6) AS support, relevance FROM t JOIN g USING (vec_id))
+        SELECT topic, cluster, novelty, timeliness, support, round((novelty + timeliness + support + relevance) / 4, 8) AS score FROM f""",
+    ),
     "vector_norms": (
         vector_norms,
         """SELECT vec_id, len(embedding)::INT AS dims, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm,
