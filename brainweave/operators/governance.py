@@ -77,8 +77,27 @@ def _sources_known(proposals: DataFrame, active: DataFrame) -> DataFrame:
     return all_known(rows, "proposal_id", "source_ids", known, "_source")
 
 
+def check_commits(amendments: DataFrame, as_of: Column, fields: list[str], founding: int = 5) -> DataFrame:
+    """amendments (amendment_id, user_id, kind, target_id, source_ids, payload, status, cooldown_until) with error: what keeps each from being committed.
+
+    All is checked again, whatever was checked when it was proposed. A user's first few new ones need no cooldown: those committed so far are counted.
+    """
+    settled = amendments.filter("kind = 'new' AND status = 'committed'").groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= founding)
+    joined = amendments.join(settled, "user_id", "left")
+    free = (F.col("kind") == "new") & F.col("_n").isNull()
+    error = (
+        F.when(~F.col("status").eqNullSafe("proposed"), F.concat(F.lit("is "), F.coalesce("status", F.lit("unknown"))))
+        .when(~free & (F.col("cooldown_until").isNull() | (as_of < F.col("cooldown_until"))), "cooldown not over")
+        .when(F.col("kind").isin("new", "synthesize") & ~filled(F.col("payload"), fields), "payload incomplete")
+        .when((F.col("kind") == "synthesize") & (F.size(F.coalesce("source_ids", F.array())) < 2), "two sources needed")
+        .when(F.col("kind").isin("amend", "retire", "achieve", "abandon") & F.col("target_id").isNull(), "target missing")
+        .when(~F.coalesce(F.col("kind").isin("new", "synthesize", "amend", "retire", "achieve", "abandon"), F.lit(False)), "kind unknown")
+    )
+    return joined.select(*[joined[c] for c in amendments.columns], error.alias("error"))
+
+
 def commit(goals: DataFrame, amendments: DataFrame, as_of: Column, columns: list[str]) -> DataFrame:
-    """goals after amendments (amendment_id, kind, target_id, source_ids, payload, new_id) of disjoint targets.
+    """goals after amendments (amendment_id, kind, target_id, source_ids, payload, new_id) of disjoint targets that ``check_commits`` has let pass.
 
     amend replaces what the payload gives; retire, achieve and abandon set the status; synthesize merges its sources into
     the new row; new and synthesize add a row.

@@ -150,6 +150,20 @@ def checked_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return governance.check_proposals(proposals, targets, pending, ["label", "statement"]).select("proposal_id", "kind", "error")
 
 
+def checked_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as amendments of several states and kinds, checked again at the present."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("new", "amend", "synthesize", "retire", "odd", "new"))), (k % 6 + 1).cast("int"))
+    rows = table(spark, sf, "orders").select(
+        k.alias("amendment_id"), (F.col("o_custkey") % 50).alias("user_id"), kind.alias("kind"), F.when(k % 4 != 0, k).alias("target_id"),
+        F.when(k % 7 == 0, F.array(k)).when(k % 7 > 1, F.array(k, k + 1)).alias("source_ids"), F.col("o_orderdate").alias("cooldown_until"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.to_json(F.struct(F.col("o_orderpriority").alias("label"), F.lit("x").alias("statement")))).otherwise('{"label":""}').alias("payload"),
+        F.when(F.col("o_orderstatus") == "F", "committed").when(F.col("o_orderstatus") == "O", "proposed").otherwise("withdrawn").alias("status"),
+    )
+    rows = rows.withColumn("status", F.when((F.col("status") == "committed") & (F.col("user_id") % 5 == 0), "proposed").otherwise(F.col("status")))
+    return governance.check_commits(rows, roles.as_of("1997-01-01 00:00:00"), ["label", "statement"]).select("amendment_id", "kind", "error")
+
+
 def domains_with_goals(spark: SparkSession, sf: str) -> DataFrame:
     """Regions with their nations as children, the last three by key."""
     r = table(spark, sf, "region")
@@ -348,6 +362,18 @@ QUERIES = {
           WHEN kind = 'synthesize' AND len(src) < 2 THEN 'two sources needed' WHEN kind = 'synthesize' AND hits <> len(src) THEN 'source unknown or not active'
           WHEN kind = 'synthesize' AND groups > 1 THEN 'sources in several domains' WHEN kind IN ('new', 'synthesize') AND NOT filled THEN 'payload incomplete' END AS error FROM x""",
     ),
+    "checked_commits": (
+        checked_commits,
+        """WITH a AS (SELECT o_orderkey AS k, o_custkey % 50 AS u, ['new', 'amend', 'synthesize', 'retire', 'odd', 'new'][o_orderkey % 6 + 1] AS kind, o_orderdate AS cool, o_orderpriority <> '5-LOW' AS filled,
+            CASE WHEN o_orderstatus = 'O' OR o_orderstatus = 'F' AND o_custkey % 50 % 5 = 0 THEN 'proposed' WHEN o_orderstatus = 'F' THEN 'committed' ELSE 'withdrawn' END AS status FROM orders),
+          n AS (SELECT u, count(*) AS n FROM a WHERE kind = 'new' AND status = 'committed' GROUP BY u)
+        SELECT k AS amendment_id, kind, CASE WHEN status <> 'proposed' THEN 'is ' || status
+          WHEN NOT (kind = 'new' AND coalesce(n, 0) < 5) AND TIMESTAMP '1997-01-01' < cool THEN 'cooldown not over'
+          WHEN kind IN ('new', 'synthesize') AND NOT filled THEN 'payload incomplete'
+          WHEN kind = 'synthesize' AND k % 7 <= 1 THEN 'two sources needed'
+          WHEN kind IN ('amend', 'retire') AND k % 4 = 0 THEN 'target missing'
+          WHEN kind = 'odd' THEN 'kind unknown' END AS error FROM a LEFT JOIN n USING (u)""",
+    ),
     "domains_with_goals": (
         domains_with_goals,
         """SELECT r_regionkey, r_name, (SELECT coalesce(string_agg(n_name, ',' ORDER BY n_nationkey DESC), '') FROM (SELECT * FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_nationkey DESC LIMIT 3)) AS nations FROM region""",

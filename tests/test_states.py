@@ -122,6 +122,19 @@ def test_proposals_and_commits(spark):
     ]
 
 
+def test_commits_are_checked_again(spark):
+    full, late, soon = '{"label":"l"}', at(10**6), at(0)
+    some = [(i, "u", "new", None, [], full, "committed", soon) for i in range(100, 105)] + [(i, "v", "new", None, [], full, "committed", soon) for i in range(200, 204)]
+    a = spark.createDataFrame(
+        some + [(1, "u", "new", None, [], full, "proposed", late), (2, "v", "new", None, [], full, "proposed", late), (3, "v", "amend", 7, [], "{}", "proposed", late), (4, "v", "amend", 7, [], "{}", "proposed", soon),
+                (5, "v", "amend", None, [], "{}", "proposed", soon), (6, "v", "synthesize", None, [1], full, "proposed", soon), (7, "v", "synthesize", None, None, full, "proposed", soon), (8, "v", "new", None, [], '{"label":""}', "proposed", soon),
+                (9, "v", "rename", 7, [], full, "proposed", soon), (10, "v", "retire", 7, [], full, None, soon), (11, "v", "retire", 7, [], full, "proposed", None)],
+        "amendment_id int, user_id string, kind string, target_id int, source_ids array<int>, payload string, status string, cooldown_until timestamp_ntz",
+    )
+    got = dict(rows(governance.check_commits(a, F.lit(at(1)), ["label"]).filter("amendment_id < 100"), "amendment_id", "error"))
+    assert got == {1: "cooldown not over", 2: None, 3: "cooldown not over", 4: None, 5: "target missing", 6: "two sources needed", 7: "two sources needed", 8: "payload incomplete", 9: "kind unknown", 10: "is unknown", 11: "cooldown not over"}
+
+
 def test_tri_state_and_rules(spark):
     df = spark.createDataFrame([(1, "a", False, None), (2, "a", True, None), (3, "a", True, "b")], "k int, old string, given boolean, value string")
     assert [r.x for r in df.orderBy("k").select(upsert.tri_state(F.col("old"), F.col("given"), F.col("value")).alias("x")).collect()] == ["a", None, "b"]
