@@ -20,9 +20,15 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), 1 - F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
+def round_up(x: Column, digits: int) -> Column:
+    """x to a number of digits, ties towards plus infinity, as the API's clients round; what has no such digits stays."""
+    f = 10.0**digits
+    return F.when(F.isnan(x) | (F.abs(x) * f >= 2.0**52), x).otherwise(F.floor(x * f + 0.5) / f)
+
+
 def similarity(a: Column, b: Column, digits: int | None = None) -> Column:
     s = 1 - cosine_distance(a, b)
-    return s if digits is None else F.round(s, digits) + 0.0
+    return s if digits is None else round_up(s, digits)
 
 
 def to_literal(a: Column) -> Column:

@@ -55,6 +55,13 @@ def next_to_post(suggestions: DataFrame, k: int = 10) -> DataFrame:
     return suggestions.filter("status = 'pending' AND posted_at IS NULL").orderBy("created_at", "suggestion_id").limit(k)
 
 
+def mark_posted(suggestions: DataFrame, posts: DataFrame) -> DataFrame:
+    """posts: suggestion_id, ts, message_id. The first post of a suggestion is noted, once; later ones, also those of later batches, change nothing."""
+    first = upsert.first_per_key(posts.select("suggestion_id", "ts", "message_id"), ["suggestion_id"], ["ts", "message_id"])
+    new = first.select("suggestion_id", F.col("ts").alias("posted_at"), "message_id")
+    return upsert.update_from(suggestions, new, "suggestion_id", ["posted_at", "message_id"], F.col("posted_at").isNull())
+
+
 #: Fixed value: the classifier's type of entries that may be tasks.
 TASK = "task_candidate"
 

@@ -149,6 +149,14 @@ def mention_rows(said: DataFrame, key: str) -> DataFrame:
     return rows.select(key, *user, "entity_no", entity.alias("entity"), "e.*")
 
 
+def replace_mentions(current: DataFrame, done: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Mentions after a run over the artifacts ``done``: all of theirs go, also of those without any now, and the new ones come in.
+
+    A mention has no place in the text, so no two are the same one: an entity that an artifact names twice has two rows.
+    """
+    return upsert.clear_children(current, done, "artifact").unionByName(mentions.select(*current.columns))
+
+
 def upsert_entities(current: DataFrame, mentions: DataFrame) -> DataFrame:
     """Entities by user, type and lower-cased trimmed name; the last mention's display name and aliases overwrite.
 

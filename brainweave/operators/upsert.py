@@ -69,6 +69,11 @@ def replace_children(current: DataFrame, incoming: DataFrame, parent: str) -> Da
     return current.join(incoming.select(parent).distinct(), parent, "left_anti").unionByName(incoming)
 
 
+def clear_children(current: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
+    """All children of the named parents go; a null names nothing."""
+    return current.join(parents.select(parent).distinct(), parent, "left_anti").select(*current.columns)
+
+
 def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First write wins: rows of known keys, and later rows of a key, do nothing."""
     new = first_per_key(incoming, keys, order)

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "hybrid_search"
-MODULES = ("searching", "indexing", "texts", "linking", "capturing", "states", "reviewing", "looking", "feeding")
+MODULES = ("searching", "indexing", "texts", "linking", "capturing", "states", "reviewing", "looking", "feeding", "governing")
 
 
 def queries() -> dict[str, Callable]:

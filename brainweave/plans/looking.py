@@ -102,5 +102,10 @@ QUERIES = {
         processed_turns,
         """SELECT conv_id, turn, CASE WHEN contains(text, 'er') THEN 'task' ELSE 'note' END AS primary_type, left(text, 40) AS summary, length(trim(text, ' ' || chr(10) || chr(9)))::INT AS size, 'processed' AS status FROM conversations""",
     ),
-    "nearest_to_processed": (nearest_to_processed, None),
+    "nearest_to_processed": (
+        nearest_to_processed,
+        """WITH v AS (SELECT page_id, [length(html), length(html) - length(replace(html, ' ', '')), 1, length(html) - length(replace(html, 'e', ''))]::DOUBLE[] AS e FROM pages),
+             s AS (SELECT a.page_id AS query_id, b.page_id, round(list_cosine_similarity(a.e, b.e), 6) + 0.0 AS similarity FROM v a JOIN v b ON a.page_id <> b.page_id)
+           SELECT *, 1 AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, page_id) = 1""",
+    ),
 }

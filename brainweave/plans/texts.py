@@ -100,7 +100,7 @@ def escaped_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def message_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Long documents in parts of 3,900 characters at most; no SQL, tested by putting them together again."""
+    """Long documents in parts of 3,900 characters at most."""
     return sinks.message_parts(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "part", F.length("body").alias("n_chars"))
 
 
@@ -174,6 +174,21 @@ QUERIES = {
         escaped_texts,
         "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS digest FROM pages",
     ),
-    "message_parts": (message_parts, None),
-    "json_answer": (json_answer, None),
+    "message_parts": (
+        message_parts,
+        """WITH RECURSIVE r AS (
+             SELECT doc_id, -1 AS part, text AS rest, 0::BIGINT AS n FROM documents WHERE length(text) > 3900
+             UNION ALL
+             SELECT doc_id, part + 1, substr(s, n + 1), n FROM (
+               SELECT doc_id, part, s, CASE WHEN length(s) <= 3900 THEN length(s) WHEN brk BETWEEN 1951 AND 3901 THEN brk - 1 ELSE 3900 END AS n FROM (
+                 SELECT *, 3902 - coalesce(nullif(instr(reverse(substr(s, 1, 3901)), chr(10)), 0), 9999) AS brk FROM (
+                   SELECT doc_id, part, CASE WHEN length(rest) > 1 AND rest[1] = chr(10) THEN substr(rest, 2) ELSE rest END AS s FROM r WHERE rest <> ''))))
+           SELECT doc_id, part::INT AS part, n::INT AS n_chars FROM r WHERE part >= 0
+           UNION ALL SELECT doc_id, 0, length(text)::INT FROM documents WHERE length(text) <= 3900""",
+    ),
+    "json_answer": (
+        json_answer,
+        """WITH h AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS n FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5))
+           SELECT '{"count":' || count(*) || ',"hits":[' || string_agg('{"p_partkey":' || p_partkey || ',"p_name":' || to_json(p_name) || ',"n":' || n || '}', ',' ORDER BY p_partkey) || ']}' AS body FROM h""",
+    ),
 }

@@ -162,5 +162,18 @@ def messages(raw: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole markdown files with their paths."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("uri"), F.col("value").alias("body"))
+    """Whole markdown files with their paths. Files of no bytes give no row: Spark's readers pass them over."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("body"))
+
+
+def resources(files: DataFrame, scheme: str) -> DataFrame:
+    """files (uri, body) as reading matter: (uri, name, mime_type, body), by addresses that don't depend on where the files lie.
+
+    The name is the first heading, or else the file's. ``lookups.by_ids`` reads by address and tells what is unknown.
+    """
+    file = F.regexp_extract("uri", r"([^/]*?)(\.[^./]*)?$", 1)
+    heading = text.strip(F.regexp_extract("body", r"(?m)^#[ \t]+(.+)$", 1))
+    kind = F.when(F.col("uri").rlike(r"(?i)\.md$"), "text/markdown").otherwise("text/plain")
+    return files.select(
+        F.concat(F.lit(f"{scheme}://"), file).alias("uri"), F.when(heading != "", heading).otherwise(file).alias("name"), kind.alias("mime_type"), "body"
+    )
