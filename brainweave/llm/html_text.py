@@ -32,7 +32,12 @@ BLOCK = set(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = set(
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark math meter noscript object output "
+    "picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var video body html marquee nobr".split()
+)
 RAW = set("script style textarea title template iframe noembed noframes xmp svg annotation annotation-xml".split())
+ELEMENTS = BLOCK | INLINE
 #: What an opening tag closes: an open element of these names, not looking past the barriers.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -40,6 +45,14 @@ CLOSES = {
 }
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 
+#: Words by which pages name their parts in class and id.
+NAMED = set(
+    "ad ads advert advertisement adslot sponsor sponsored promo promoted banner cookie consent gdpr notice alert popup modal "
+    "overlay newsletter subscribe signup login comment comments reply replies discussion respond disqus nav navigation navbar "
+    "menu breadcrumb breadcrumbs sidebar side rail widget related recommended more share social follow footer foot header "
+    "masthead top toolbar search form article post entry content main body story text copyright legal tags meta byline "
+    "author date caption pager pagination skip hidden".split()
+)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
@@ -51,24 +64,74 @@ SPACE = re.compile(r"\s+")
 @dataclass
 class Block:
     text: str
-    names: tuple[str, ...]  # open elements, outermost first
-    marks: frozenset[str]  # words of their class, id and role
+    place: Place
     linked: int  # characters inside links
 
 
-def name_parts(attributes: str) -> frozenset[str]:
-    found = ATTRIBUTE.findall(attributes)
-    return frozenset(w.lower() for _, a, b, c in found for w in NAME_PART.findall(a or b or c))
+@dataclass(slots=True)
+class Place:
+    """Where a block stands. Elements within each other share these sets, which are bounded whatever the depth."""
+
+    parent: str = "-"  # the innermost open element
+    block: str = "-"  # the innermost one of block level
+    tags: frozenset[str] = frozenset()  # open elements that HTML has
+    marks: frozenset[str] = frozenset()  # words of their class, id and role that name parts of pages
+
+    def inside(self, name: str, attributes: str) -> Place:
+        """The place inside a further element."""
+        tags = self.tags if name in self.tags or name not in ELEMENTS else self.tags | {name}
+        marks = self.marks
+        if "=" in attributes:
+            found = {w.lower() for _, a, b, c in ATTRIBUTE.findall(attributes) for w in NAME_PART.findall(a or b or c)}
+            new = (found & NAMED) - marks
+            marks = marks | new if new else marks
+        return Place(name, name if name in BLOCK else self.block, tags, marks)
+
+
+class Open:
+    """The open elements of a page, with the positions of each name: finding and closing one takes no walk over the others."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places = [Place()]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # positions of elements of block level
+        self.links = 0
+
+    def last(self, *names: str) -> int:
+        """The position of the innermost open element of these names, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def block_after(self, i: int) -> bool:
+        """Whether an element of block level is open inside the i-th."""
+        return bool(self.blocks) and self.blocks[-1] > i
+
+    def add(self, name: str, attributes: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.links += name == "a"
+        self.names.append(name)
+        self.places.append(self.places[-1].inside(name, attributes))
+
+    def close(self, i: int) -> None:
+        """Closes the i-th and all inside it."""
+        while len(self.names) > i:
+            name = self.names.pop()
+            self.places.pop()
+            self.at[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            self.links -= name == "a"
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page, in order."""
+    """Leaf blocks of a page, in order; in time linear in the page, however its elements are nested or left open."""
     found: list[Block] = []
-    names: list[str] = []
-    marks: list[frozenset[str]] = []
+    stack = Open()
     parts: list[str] = []
-    links, linked, place, end = 0, 0, 0, len(page)
-    context: tuple[tuple[str, ...], frozenset[str]] | None = None
+    linked, place, end = 0, 0, len(page)
+    context: Place | None = None
 
     def say(text: str) -> None:
         nonlocal linked, context
@@ -76,8 +139,8 @@ def blocks(page: str) -> list[Block]:
             text = entities.unescape(text)
         parts.append(text)
         if context is None and text and not text.isspace():
-            context = tuple(names), frozenset().union(*marks)
-        if links:
+            context = stack.places[-1]
+        if stack.links:
             linked += len(text.strip())
 
     def border() -> None:
@@ -85,16 +148,14 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text and context:
-                found.append(Block(text, *context, linked))
+                found.append(Block(text, context, linked))
             parts.clear()
         linked, context = 0, None
 
     def close(i: int) -> None:
-        nonlocal links
-        if any(n in BLOCK for n in names[i:]):
+        if stack.block_after(i - 1):
             border()
-        links -= names[i:].count("a")
-        del names[i:], marks[i:]
+        stack.close(i)
 
     for m in TAG.finditer(page):
         if m.start() < place:
@@ -108,28 +169,22 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 border()
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] == name:
-                    close(i)
-                    break
-                if name not in BLOCK and names[i] in BLOCK and name != "a":
-                    break  # an inline end tag doesn't close blocks
+            i = stack.last(name)
+            if i >= 0 and (name in BLOCK or name == "a" or not stack.block_after(i)):  # other inline end tags don't close blocks
+                close(i)
             continue
         if name == "br":
             parts.append("\n")
             continue
         if name in BLOCK:
             border()
-            if "p" in names and name != "button" and (i := len(names) - 1 - names[::-1].index("p")) >= 0:
-                if not any(n in BLOCK for n in names[i + 1 :]):
+            i = stack.last("p")
+            if i >= 0 and name != "button" and not stack.block_after(i):
+                close(i)
+            if name in CLOSES:
+                i = stack.last(*CLOSES[name])
+                if i > stack.last(*BARRIER.get(name, ("table",))):
                     close(i)
-            stop = BARRIER.get(name, ("table",))
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in stop or name not in CLOSES:
-                    break
-                if names[i] in CLOSES[name]:
-                    close(i)
-                    break
         if name in VOID:
             continue
         if name in RAW:
@@ -137,10 +192,7 @@ def blocks(page: str) -> list[Block]:
                 ended = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(page, place)
                 place = ended.end()
             continue
-        if name == "a":
-            links += 1
-        names.append(name)
-        marks.append(name_parts(m[3]) if "=" in m[3] else frozenset())
+        stack.add(name, m[3])
     if place < end:
         say(page[place:])
     border()
@@ -149,16 +201,6 @@ def blocks(page: str) -> list[Block]:
 
 # ---- features
 
-#: Words by which pages name their parts in class and id.
-NAMED = set(
-    "ad ads advert advertisement adslot sponsor sponsored promo promoted banner cookie consent gdpr notice alert popup modal "
-    "overlay newsletter subscribe signup login comment comments reply replies discussion respond disqus nav navigation navbar "
-    "menu breadcrumb breadcrumbs sidebar side rail widget related recommended more share social follow footer foot header "
-    "masthead top toolbar search form article post entry content main body story text copyright legal tags meta byline "
-    "author date caption pager pagination skip hidden".split()
-)
-
-
 def squashed(n: int, edges: tuple[int, ...]) -> int:
     return sum(n >= e for e in edges)
 
@@ -169,11 +211,11 @@ def feature_names(page: list[Block]) -> Iterator[list[str]]:
         text, size = b.text, len(b.text)
         words = text.count(" ") + 1
         letters = sum(map(str.isalpha, text)) or 1
-        out = ["bias", f"parent:{b.names[-1] if b.names else '-'}"]
-        out += [f"tag:{t}" for t in set(b.names)]
-        out += [f"mark:{m}" for m in b.marks if m in NAMED]
-        block_parent = next((t for t in reversed(b.names) if t in BLOCK), "-")
-        inside = "article" in b.names or "main" in b.names
+        out = ["bias", f"parent:{b.place.parent}"]
+        out += [f"tag:{t}" for t in b.place.tags]
+        out += [f"mark:{m}" for m in b.place.marks]
+        block_parent = b.place.block
+        inside = "article" in b.place.tags or "main" in b.place.tags
         out += [
             f"block:{block_parent}",
             f"words:{squashed(words, (2, 4, 8, 16, 32, 64))}",

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 
@@ -51,6 +52,29 @@ def test_a_page_with_everything():
     ]
 
 
+def test_places_of_blocks():
+    found = html_text.blocks('<div class="navMenu x1"><odd><span id=post>a</span><p role="comments">b</div><a href=/>c</a>')
+    assert [(b.text, b.place.parent, b.place.block, set(b.place.tags), set(b.place.marks), b.linked) for b in found] == [
+        ("a", "span", "div", {"div", "span"}, {"nav", "menu", "post"}, 0),
+        ("b", "p", "p", {"div", "p"}, {"nav", "menu", "comments"}, 0),
+        ("c", "a", "-", {"a"}, set(), 1),
+    ]
+
+
+def test_a_megabyte_of_nested_or_unbalanced_tags_is_read_in_linear_time():
+    pages = {
+        "end tags without begin": ("<div>" * 3000 + "</p>" * 250_000, 0),
+        "nested": ("<div class='ad-nav'>x" * 50_000, 50_000),
+        "unknown names": ("".join(f"<x{i}>t<p>" for i in range(80_000)), 80_000),
+        "links": ("<a>" * 330_000 + "</b>", 0),
+    }
+    for name, (page, n) in pages.items():
+        before = time.process_time()
+        found = html_text.blocks(page)
+        features = sum(1 for _ in html_text.feature_names(found))
+        assert (features, time.process_time() - before < 8) == (n, True), name  # a walk over the stack took minutes
+
+
 def test_odd_markup():
     text = lambda page: [b.text for b in html_text.blocks(page)]
     assert text("") == [] and text("<p>") == [] and text("<!-- <p>x</p> --> <p>y") == ["y"]
@@ -65,7 +89,7 @@ def test_odd_markup():
 
 
 def test_features_read_the_whole_block():
-    features = lambda text: set(next(html_text.feature_names([html_text.Block(text, ("p",), frozenset(), 0)])))
+    features = lambda text: set(next(html_text.feature_names([html_text.Block(text, html_text.Place("p", "p", frozenset({"p"})), 0)])))
     assert {"caps:0", "digits:0"} <= features("A" * 300 + "1" * 100 + "a" * 4000)
     assert {"caps:3", "digits:0"} <= features("a" * 400 + "A" * 8000)
     assert {"caps:0", "digits:2"} <= features("a" * 400 + "1" * 8000)
