@@ -19,6 +19,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,12 @@ class Block:
     linked: int  # characters inside links
 
 
+@lru_cache(maxsize=4096)
+def named_parts(attributes: str) -> frozenset[str]:
+    """The words of class, id and role that name parts of pages. Short attributes are remembered: pages repeat them."""
+    return frozenset({w.lower() for _, a, b, c in ATTRIBUTE.findall(attributes) for w in NAME_PART.findall(a or b or c)} & NAMED)
+
+
 @dataclass(slots=True)
 class Place:
     """Where a block stands. Elements within each other share these sets, which are bounded whatever the depth."""
@@ -82,8 +89,7 @@ class Place:
         tags = self.tags if name in self.tags or name not in ELEMENTS else self.tags | {name}
         marks = self.marks
         if "=" in attributes:
-            found = {w.lower() for _, a, b, c in ATTRIBUTE.findall(attributes) for w in NAME_PART.findall(a or b or c)}
-            new = (found & NAMED) - marks
+            new = (named_parts(attributes) if len(attributes) < 200 else named_parts.__wrapped__(attributes)) - marks
             marks = marks | new if new else marks
         return Place(name, name if name in BLOCK else self.block, tags, marks)
 
