@@ -72,6 +72,21 @@ def test_events_and_tasks(spark):
         assert sorted((r.source_id, r.target_id) for r in linker.task_links(e, tasks, bound).collect()) == [(1, 1), (1, 2), (1, 3)]
 
 
+def test_event_links_of_copies_are_not_shuffled(spark):
+    """300 entries and 300 events of one day, word and title: 90,000 links come of two rows, and repeated rows count as often."""
+    t = dt.datetime(2024, 1, 1, 12)
+    e = spark.createDataFrame([(i, t) for i in range(300)] + [(0, t), (0, t + dt.timedelta(days=1))], "entry_id int, created_at timestamp_ntz")
+    m = spark.createDataFrame([(i, "work", "Big Garden", None) for i in range(300)], "entry_id int, entity_type string, display_name string, aliases array<string>")
+    ev = spark.createDataFrame([(i, "Garden fair", t) for i in range(300)] + [(7, "Garden fair", t + dt.timedelta(days=1)), (7, None, t)], "event_id int, title string, start_at timestamp_ntz")
+    links = linker.event_links(e, m, ev)
+    assert links.count() == 90_000
+    odd = {(r.source_id, r.target_id): (r.confidence, r.explanation[-14:]) for r in links.filter("source_id < 2 AND target_id IN (6, 7)").collect()}
+    assert odd == {(0, 6): (1.0, "by 2/2 token(s)"[1:]), (0, 7): (1.5, "by 3/2 token(s)"[1:]), (1, 6): (0.6, "by 1/2 token(s)"[1:]), (1, 7): (0.6, "by 1/2 token(s)"[1:])}
+    plan = links._jdf.queryExecution().optimizedPlan().toString().splitlines()  # the outermost operator first
+    above = [line for line in plan[: next(i for i, line in enumerate(plan) if "Join" in line)]]
+    assert any("explode(entry_ids" in line for line in above) and not any("Aggregate" in line for line in above)
+
+
 def test_links_of_entry_drops_missing_confidence_and_shows_targets_once(spark):
     links = spark.createDataFrame(
         [("entry", 1, "task", 5, "a", 0.6), ("entry", 1, "task", 5, "b", 0.9), ("entry", 1, "task", 6, "a", None), ("entry", 1, "person", 7, "a", 0.9), ("entry", 1, "task", 8, "a", 0.4)],
