@@ -204,7 +204,9 @@ def stitch_versions(messages: DataFrame, gap_seconds: int = 600, delay: str = "0
         F.col("user_id").cast("long"), "channel", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "is_command", "is_feedback",
         F.col("message_id").cast("long"), F.col("arrived").cast("timestamp").alias("arrived"),
     ).na.drop(subset=["user_id", "channel", "us", "arrived"])
-    timed = rows.withWatermark("arrived", delay)
+    # Spark drops rows that are later than the watermark where a stateful operator sees their event time; this one doesn't, so files that are
+    # read in another order than they arrived in lose nothing
+    timed = rows.withWatermark("arrived", delay).drop("arrived")
     return timed.groupBy(*KEY).transformWithState(Sessions(gap_seconds * 1_000_000), OUT, "append", "eventtime")
 
 

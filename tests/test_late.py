@@ -74,6 +74,17 @@ def test_open_until_the_watermark_passes_its_end(spark, tmp_path, rocks):
     assert mine == [(False, 1), (True, 1)]
 
 
+def test_batches_that_arrive_out_of_order_lose_nothing(spark, tmp_path, rocks):
+    """The first micro-batch is the one that arrived last, so the watermark is hours past the others."""
+    for i, hour in enumerate([5, 0, 3, 1]):
+        rows = [(*one(i * 60 + 7 * n, 10 * i + n), dt.datetime(2024, 2, 1, hour, tzinfo=dt.timezone.utc)) for n in range(5)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i:03d}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    capture.drain(late.stitch_versions(stream, 600), str(tmp_path / "cp"), sinks.append_batch(str(tmp_path / "out")))
+    versions = spark.read.schema(late.OUT + ", batch long").parquet(str(tmp_path / "out"))
+    assert [(x.messages, x.window_end, x.closed) for x in late.latest(versions).collect()] == [(20, T + dt.timedelta(seconds=208), True)]
+
+
 def test_cut_keeps_entries_of_one_instant_apart():
     rows = np.array([(5, late.FEEDBACK, 1), (5, late.MESSAGE, 3), (5, late.FEEDBACK, 2), (6, late.MESSAGE, 4)], late.ROW)
     got = late.cut(late.in_order(rows), 10)
