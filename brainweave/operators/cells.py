@@ -26,6 +26,8 @@ from brainweave.sources import sinks
 
 #: Cells at most (their centres are broadcast), rows of the sample per cell, rows of a stored file, queries that meet a file at once.
 CELLS, FIT, FILE, ASKED = 4096, 256, 50_000, 2048
+#: Numbers of a matrix that a task makes at once.
+NUMBERS = 1 << 21
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +44,16 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return fits[good], x
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, cosine) of each row's nearest centre."""
+    cell, near, step = np.zeros(len(x), np.int32), np.zeros(len(x)), max(1, NUMBERS // len(centres))
+    for s in range(0, len(x), step):
+        dots = x[s : s + step] @ centres.T
+        cell[s : s + step] = dots.argmax(1)
+        near[s : s + step] = dots[np.arange(len(dots)), cell[s : s + step]]
+    return cell, near
+
+
 @dataclass(frozen=True)
 class Index:
     """A stored index: where it is, its centres (unit rows), the widest angle of each cell, its rows, and the types of its columns."""
@@ -74,11 +86,9 @@ def _assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, x = unit_rows(batch.column("v"), kept.value.shape[1])
-            dots = x @ kept.value.T
-            cell = dots.argmax(1) if len(x) else np.zeros(0, int)
+            cell, near = nearest_centres(x, kept.value)
             valid = batch.take(pa.array(at))
-            near = dots[np.arange(len(x)), cell]
-            yield pa.record_batch([*valid.columns, pa.array(cell.astype(np.int32)), pa.array(near)], [*valid.schema.names, "cell", "near"])
+            yield pa.record_batch([*valid.columns, pa.array(cell), pa.array(near)], [*valid.schema.names, "cell", "near"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, v {rows.schema['v'].dataType.simpleString()}, cell int, near double")
 
@@ -101,7 +111,7 @@ def fit(rows: DataFrame, dim: int, cells: int, rounds: int) -> np.ndarray:
             for batch in batches:
                 _, x = unit_rows(batch.column("v"), dim)
                 if len(x):
-                    np.add.at(sums, (x @ kept.value.T).argmax(1), x)
+                    np.add.at(sums, nearest_centres(x, kept.value)[0], x)
             used = np.flatnonzero((sums != 0).any(1))
             yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(list(sums[used]), pa.list_(pa.float64()))], ["cell", "s"])
 
@@ -210,33 +220,59 @@ def search(spark: SparkSession, index: Index, query: list[float], k: int, probes
     return found.select("key", "similarity", "rank")
 
 
+def shelves(rows: np.ndarray) -> np.ndarray:
+    """The shelf of each cell: cells of FILE rows and more have their own, the others share one as long as they fit."""
+    out, shelf, full = np.zeros(len(rows), np.int32), 0, 0
+    for i, n in enumerate(rows.tolist()):
+        if full and full + n > FILE:
+            shelf, full = shelf + 1, 0
+        out[i], full = shelf, full + n
+    return out
+
+
 def search_join(index: Index, queries: DataFrame, query_key: str, query_embedding: str, k: int, probes: int = 8, digits: int = 6) -> DataFrame:
     """(query_key, key, similarity, rank): the k nearest rows found for every query row, each in its ``probes`` nearest cells.
 
-    Queries and stored rows meet by (cell, file, block of queries): groups of at most FILE rows and ASKED queries, however hot a cell is.
+    Small cells share a shelf of about FILE rows, so that a query is sent once per shelf it probes and not once per cell. Queries and stored rows meet by
+    (shelf, file, block of queries): groups of some FILE rows and ASKED queries, however hot a cell is.
     """
     spark = queries.sparkSession
-    sent = spark.sparkContext.broadcast((index.centres, index.rows))
+    shelf_of = shelves(index.rows)
+    sent = spark.sparkContext.broadcast((index.centres, index.rows, shelf_of))
     asked = queries.select(F.col(query_key).alias("q"), F.col(query_embedding).cast("array<double>").alias("w")).filter("q IS NOT NULL AND w IS NOT NULL")
     q_kind = asked.schema["q"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, rows = sent.value
+        centres, rows, shelf_of = sent.value
         held = np.flatnonzero(rows > 0)
+        top, of_held = min(probes, len(held)), np.unique(shelf_of[held])
+        step = max(1, NUMBERS // max(1, len(held), len(of_held) * centres.shape[1]))
         for batch in batches:
             at, x = unit_rows(batch.column("w"), centres.shape[1])
-            top = min(probes, len(held))
-            best = held[np.argsort(-(x @ centres[held].T), axis=1, kind="stable")[:, :top]] if len(x) and top else np.zeros((0, 0), int)
-            take = pa.array(np.repeat(at, top) if len(best) else np.zeros(0, int))
-            yield pa.record_batch([batch.column("q").take(take), batch.column("w").take(take), pa.array(best.ravel().astype(np.int32))], ["q", "w", "cell"])
-
-    goes = asked.mapInArrow(probe, f"q {q_kind}, w array<double>, cell int")
-    rows = spark.createDataFrame([(i, -(-int(n) // FILE)) for i, n in enumerate(index.rows) if n], "cell int, parts int")  # at most CELLS
-    sizes = goes.groupBy("cell").count().select("cell", F.ceil(F.col("count") / ASKED).cast("int").alias("blocks"))  # at most CELLS
-    grid = F.broadcast(rows.join(F.broadcast(sizes), "cell"))
-    left = goes.join(grid, "cell").select("q", "w", "cell", F.pmod(F.xxhash64("q"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            for s in range(0, len(x) if top else 0, step):
+                some = at[s : s + step]
+                if top == len(held):  # all cells: a null stands for them
+                    row, shelf, cells = np.repeat(some, len(of_held)), np.tile(of_held, len(some)), pa.nulls(len(some) * len(of_held), pa.list_(pa.int32()))
+                else:
+                    best = held[np.argsort(-(x[s : s + step] @ centres[held].T), axis=1, kind="stable")[:, :top]]
+                    n, cell = np.repeat(np.arange(len(some)), top), best.ravel()
+                    order = np.lexsort((cell, shelf_of[cell], n))
+                    n, cell = n[order], cell[order]
+                    first = np.flatnonzero((np.diff(n, prepend=-1) != 0) | (np.diff(shelf_of[cell], prepend=-1) != 0))
+                    row, shelf = some[n[first]], shelf_of[cell[first]]
+                    cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(n)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                take = pa.array(row)
+                yield pa.record_batch([batch.column("q").take(take), batch.column("w").take(take), pa.array(shelf.astype(np.int32)), cells], ["q", "w", "shelf", "cells"])
+
+    goes = asked.mapInArrow(probe, f"q {q_kind}, w array<double>, shelf int, cells array<int>")
+    held = [(i, int(shelf_of[i]), -(-int(n) // FILE)) for i, n in enumerate(index.rows) if n]  # at most CELLS; a shelf of several files has one cell
+    rows = spark.createDataFrame(held, "cell int, shelf int, parts int")
+    sizes = goes.groupBy("shelf").count().select("shelf", F.ceil(F.col("count") / ASKED).cast("int").alias("blocks"))  # at most CELLS
+    grid = F.broadcast(rows.join(F.broadcast(sizes), "shelf"))
+    files = F.broadcast(rows.groupBy("shelf").agg(F.max("parts").alias("parts")).join(F.broadcast(sizes), "shelf"))
+    left = goes.join(files, "shelf").select("q", "w", "cells", "shelf", F.pmod(F.xxhash64("q"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     stored = index.read(spark).withColumn("v", F.col("v").cast("array<double>"))
-    right = stored.join(grid, "cell").select("key", "v", "cell", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = stored.join(grid, "cell").select("key", "v", "cell", "shelf", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dim, kind = index.centres.shape[1], index.kinds[0]
     schema = f"q {q_kind}, i {kind}, similarity double"
 
@@ -245,10 +281,20 @@ def search_join(index: Index, queries: DataFrame, query_key: str, query_embeddin
         at, y = unit_rows(ask["w"].combine_chunks(), dim)
         on, x = unit_rows(items["v"].combine_chunks(), dim)
         if len(at) and len(on):
-            best.add(ask["q"].combine_chunks().take(pa.array(at)), items["key"].combine_chunks().take(pa.array(on)), y @ x.T)
+            q, i = ask["q"].combine_chunks().take(pa.array(at)), items["key"].combine_chunks().take(pa.array(on))
+            lists = ask["cells"].combine_chunks().take(pa.array(at))
+            if lists.null_count == len(lists):
+                best.add_vectors(q, i, y, x)
+            else:
+                whose, probed = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy()
+                cell = items["cell"].combine_chunks().take(pa.array(on)).to_numpy()
+                for c in np.unique(cell):
+                    mine, here = np.sort(whose[probed == c]), np.flatnonzero(cell == c)
+                    if len(mine):
+                        best.add_vectors(q.take(pa.array(mine)), i.take(pa.array(here)), y[mine], x[here])
         return best.table(ask.schema.field("q").type, items.schema.field("key").type)
 
-    by = ["cell", "part", "block"]
+    by = ["shelf", "part", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "i")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

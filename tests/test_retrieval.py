@@ -1,7 +1,10 @@
 import datetime as dt
 import itertools
+import tracemalloc
 
-from brainweave.operators import fulltext, graph, knn, linker, search
+import numpy as np
+import pyarrow as pa
+from brainweave.operators import cells, fulltext, graph, knn, linker, search
 from pyspark.sql import functions as F
 
 
@@ -113,3 +116,39 @@ def test_links_are_written_strictly_or_as_far_as_they_go(spark, tmp_path):
         assert str(failure) == "the model is away"
     else:
         raise AssertionError("a strict run goes on")
+
+
+def test_best_of_many_copies_takes_bounded_memory():
+    """4,096 queries and 10,000 items in three groups of copies: a matrix of them is 328 MB, the tiles a tenth; the smaller ids come first."""
+    r = np.random.default_rng(1)
+    groups = np.linalg.qr(r.normal(size=(8, 8)))[0][:3]
+    of, ids = r.integers(0, 3, 10_000), r.permutation(10_000)
+    best = knn.Best(3, 6)
+    tracemalloc.start()
+    best.add_vectors(pa.array(range(4096)), pa.array(ids), groups[np.arange(4096) % 3], groups[of])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    got = best.rows.sort_by([("q", "ascending"), ("i", "ascending")])
+    assert got["i"].to_pylist() == [int(i) for q in range(4096) for i in sorted(ids[of == q % 3])[:3]] and set(got["similarity"].to_pylist()) == {1.0}
+
+
+def test_cells_share_shelves_and_are_probed_alone(spark, tmp_path, monkeypatch):
+    """Queries are sent once per shelf, and meet the rows of their own cells only; cells of some files are split."""
+    assert cells.shelves(np.array([20_000, 20_000, 0, 20_000, 90_000, 1, 7])).tolist() == [0, 0, 0, 1, 2, 3, 3]
+    monkeypatch.setattr(cells, "FILE", 40)
+    monkeypatch.setattr(cells, "NUMBERS", 500)
+    r = np.random.default_rng(2)
+    v = [(i, [float(c) for c in r.normal(size=5)]) for i in range(400)]
+    items = spark.createDataFrame(v, "id long, v array<double>")
+    index = cells.build(items, "id", "v", f"file://{tmp_path}/index", 5, cells=9, rounds=1)
+    of = {row.key: row.cell for row in index.read(spark).collect()}
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in v}
+    for probes in (2, 9):
+        got = {(g.id, g.key) for g in cells.search_join(index, items.filter("id % 4 = 0"), "id", "v", 3, probes).collect()}
+        want = set()
+        for q in range(0, 400, 4):
+            probed = set(index.nearest(unit[q])[:probes].tolist())
+            near = sorted((-round(float(unit[i] @ unit[q]), 6), i) for i in unit if of[i] in probed)
+            want |= {(q, i) for _, i in near[:3]}
+        assert got == want
