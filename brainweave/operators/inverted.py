@@ -32,7 +32,7 @@ SLOT, BUCKETS = 100_000, 32
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])))
 def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
-    for lists in batches:
+    for lists in (some for batch in batches for some in stemming.portions(batch)):
         yield pa.array([[{"term": t, "tf": n} for t, n in Counter(words).items()] for words in lists.to_pylist()], kind)
 
 

@@ -1,6 +1,7 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from brainweave.functions import stemming
 from brainweave.operators import fulltext, inverted
@@ -128,3 +129,17 @@ def test_empty_index(spark, tmp_path):
     inverted.update(index, none, "id", "body")
     inverted.update(index, docs(spark, range(1, 20)), "id", "body")
     same(spark, index, docs(spark, range(1, 20)), "red")
+
+
+def test_batches_are_stemmed_in_portions(spark, monkeypatch):
+    """Lists come back whole and in order, nulls and empty ones too, whatever a batch holds; no portion holds more words than allowed or than one list."""
+    texts = ["The running dogs", None, "", "cats", "the and of", "a " * 9 + "ponies"] * 40
+    lists = pa.array([t.lower().split() if t is not None else None for t in texts], pa.list_(pa.string()))
+    monkeypatch.setattr(stemming, "WORDS", 4)
+    some = list(stemming.portions(lists))
+    assert pa.concat_arrays(some).equals(lists) and all(len(p) == 1 or len(p.flatten()) <= 4 for p in some) and len(some) > 40
+    want = [None if t is None else [stemming.stem(w) for w in t.lower().split() if w not in stemming.STOP_WORDS] for t in texts]
+    assert pa.concat_arrays([stemming._stemmed_lists(p) for p in some]).to_pylist() == want
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", stemming.lexemes(F.col("t")).alias("l"))
+    assert [r.l for r in df.orderBy("i").collect()] == want
