@@ -26,6 +26,8 @@ CLASSES = (
     "suggested_actions array<struct<kind:string,reason:string,confidence:double>>"
 )
 ANALYSIS = "summary string, excerpt string, tags array<string>, language string"
+#: Texts whose answers a task holds at once; a multiple of the sizes that models take by default.
+ROWS = 1000
 #: Link types that follow from entities, and are made anew by a relink.
 ENTITY_LINKS = ("mentions_person", "relates_to_event", "mentions_entity", "relates_to_task", "echoes_artifact")
 
@@ -41,12 +43,19 @@ def _batched(model: Model, texts: list[str], size: int) -> list[Any]:
     return out
 
 
+def _portions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Batches of at most ``ROWS`` texts: what models say about them is held as Python objects."""
+    for s in batches:
+        for i in range(0, len(s), ROWS):
+            yield s.iloc[i : i + ROWS]
+
+
 def embed(df: DataFrame, column: str, model: Model, dim: int, into: str = "embedding", size: int = 100) -> DataFrame:
     """df with vectors of a text column, ``size`` texts at a time; null texts have none, other sizes than ``dim`` are an error."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in _portions(batches):
             some = [i for i, t in enumerate(s) if t is not None]
             out: list = [None] * len(s)
             for i, v in zip(some, _batched(model, [s.iloc[i] for i in some], size), strict=True):
@@ -64,7 +73,7 @@ def ask(df: DataFrame, column, model: Model, schema: str, into: str, size: int =
     @F.pandas_udf(schema)
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _fields(schema)]
-        for s in batches:
+        for s in _portions(batches):
             some = [i for i, t in enumerate(s) if t is not None]
             got = dict(zip(some, _batched(model, [s.iloc[i] for i in some], size), strict=True))
             yield pd.DataFrame({n: pd.Series([got.get(i, {}).get(n) for i in range(len(s))], dtype=object) for n in names})

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,12 @@ def test_intake(spark):
     assert sorted(r.raw_text for r in intake.family_messages(m, members, "@bot").collect()) == ["hello", "hi"]
     assert [r.reader for r in intake.reader_scopes(m, 1).collect()] == ["personal", "family", "family", "family"]
     assert spark.range(1).select(intake.reply_text(F.lit("a"), F.array(F.lit("b"))).alias("x")).first().x == "a\n\nSources:\n- b"
+
+
+def test_models_answers_are_held_in_portions(spark):
+    """A batch of 2,500 texts is answered in three portions; rows keep their order and nulls."""
+    portions = list(processing._portions(iter([pd.Series(range(2500)), pd.Series(range(3))])))
+    assert [len(p) for p in portions] == [1000, 1000, 500, 3]
+    df = spark.range(2500, numPartitions=1).select("id", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("t"))
+    got = processing.embed(df, "t", lambda texts: [[float(t)] for t in texts], 1).orderBy("id").collect()
+    assert [r.embedding for r in got] == [[float(i)] if i % 7 else None for i in range(2500)]
