@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +39,23 @@ def stitch_stream(messages: DataFrame, gap_seconds: int = 600, delay: str = "10
             close()
             state.remove()
         else:
-            rows = pd.concat(list(batches))
-            rows = rows.assign(us=rows["ts"].astype("datetime64[us]").astype("int64"), said=~rows["is_command"])
-            for r in rows.sort_values(["us", "said", "message_id"]).itertuples():
-                if r.is_command:
-                    command = max(command, r.us)
+            # plain lists: a key has few rows, and building a frame costs more than they do
+            parts = [(b["ts"].to_numpy("datetime64[us]").astype("int64"), b["is_command"].to_numpy(bool), b["is_feedback"].to_numpy(bool), b["message_id"].to_numpy()) for b in batches]
+            us, command_, feedback, ids = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort((ids, ~command_, us))
+            for at, is_command, is_feedback in zip(us[order].tolist(), command_[order].tolist(), feedback[order].tolist()):
+                if is_command:
+                    command = max(command, at)
                     continue
-                if not n or r.is_feedback or alone or r.us - end >= gap or command > end:
+                if not n or is_feedback or alone or at - end >= gap or command > end:
                     close()
-                    start, n = r.us, 0
-                end, n, alone = r.us, n + 1, bool(r.is_feedback)
+                    start, n = at, 0
+                end, n, alone = at, n + 1, is_feedback
             state.update((start, end, n, alone, command))
             state.setTimeoutTimestamp(max(end + gap, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
         columns = ["user_id", "channel", "window_start", "window_end", "messages"]
-        yield pd.DataFrame(done, columns=columns)
+        if done:
+            yield pd.DataFrame(done, columns=columns)
 
     timed = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return timed.groupBy("user_id", "channel").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
