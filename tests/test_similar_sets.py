@@ -81,3 +81,14 @@ def test_first_five_are_limited_before_the_shuffle(spark):
     got = lifecycle.founding(df)
     assert sorted(r.amendment_id for r in got.filter("bypass AND user_id = 'hot'").collect()) == [19984, 19988, 19990, 19994, 19996]
     assert got.count() == 20_000 and "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_that_share_one_word_make_no_pairs(spark):
+    """300 entries and 300 open tasks share one word: no link, so no pair is listed; entry 300 has two words of task 7, and is tagged with one of task 8."""
+    entries = [(i, "the garden", ["none"]) for i in range(300)] + [(300, "own7 garden own8 ", ["Tag8"]), (300, None, None), (301, "own9", None), (301, "garden", None)]
+    e = spark.createDataFrame(entries, "entry_id int, full_text string, tags array<string>")
+    tasks = spark.createDataFrame([(f"t{i}", f"Garden own{i} tag{i}" if i != 8 else "own8 tag8", "needsAction") for i in range(300)], "task_id string, title string, status string")
+    got = linker.task_links(e, tasks)
+    assert sorted((r.source_id, r.target_id) for r in got.collect()) == [(300, "t7"), (300, "t8"), (301, "t9")]
+    joined = re.findall(r"number of output rows: ([\d,]+)", metrics(spark, got))
+    assert max(int(x.replace(",", "")) for x in joined) <= 2000
