@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a task gets, about, when a table is dealt out by a key.
+EACH = 500_000
+
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in an order that tells rows apart. An aggregation: combined before the shuffle."""
@@ -64,14 +67,22 @@ def upsert_artifacts(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def parts(rows: DataFrame) -> int:
+    """Partitions of about ``EACH`` rows. For joins by key, whose tasks sort what they get: left to itself, Spark puts partitions together
+    by their compressed size, some millions of rows of a few columns. It is the keys' side that is to be dealt out by it; Spark deals the
+    other side alike, but would move a repartition of the rows themselves behind a semi or anti join."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // EACH))
+
+
 def replace_children(current: DataFrame, incoming: DataFrame, parent: str) -> DataFrame:
     """All children of the incoming parents are replaced."""
-    return current.join(incoming.select(parent).distinct(), parent, "left_anti").unionByName(incoming)
+    return clear_children(current, incoming, parent).unionByName(incoming)
 
 
 def clear_children(current: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
     """All children of the named parents go; a null names nothing."""
-    return current.join(parents.select(parent).distinct(), parent, "left_anti").select(*current.columns)
+    gone = parents.select(parent).repartition(parts(current), parent).distinct()
+    return current.join(gone, parent, "left_anti").select(*current.columns)
 
 
 def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def replaced_children(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of open orders are replaced by one line each with their sum."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     open_ = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    new = li.join(open_, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.lit(0).alias("l_linenumber"), F.sum("l_quantity").alias("l_quantity"))
+    new = li.join(open_.repartition(upsert.parts(li), "l_orderkey"), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.lit(0).alias("l_linenumber"), F.sum("l_quantity").alias("l_quantity"))
     return upsert.replace_children(li, new, "l_orderkey")
 
 

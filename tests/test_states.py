@@ -181,3 +181,20 @@ def test_last_episode_stays(spark):
     p = spark.createDataFrame([(1, None, None), (2, "old", at(0))], "pick_id int, episode_url string, episode_linked_at timestamp_ntz")
     n = spark.createDataFrame([(1, at(1), "a"), (1, at(2), "b"), (3, at(1), "c")], "pick_id int, ts timestamp_ntz, episode_url string")
     assert rows(intake.link_episodes(p, n), "pick_id", "episode_url", "episode_linked_at") == [(1, "b", at(2)), (2, "old", at(0))]
+
+
+def test_children_are_replaced_in_tasks_of_few_rows(spark, monkeypatch):
+    """4,000 children in partitions of about 100 rows: Spark alone would put all of them into one or a few tasks."""
+    monkeypatch.setattr(upsert, "EACH", 100)
+    now = spark.range(4000).select((F.col("id") % 1000).alias("parent"), F.col("id").alias("child")).unionByName(spark.createDataFrame([(None, 5000)], "parent long, child long"))
+    new = spark.range(0, 1000, 2).select(F.col("id").alias("parent"), F.lit(-1).cast("long").alias("child"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = upsert.replace_children(now, new, "parent")
+        assert got.count() == 2501 and got.filter("child < 0").count() == 500 and got.filter("child >= 0 AND parent % 2 = 0").count() == 0
+        kept = upsert.clear_children(now, new, "parent")
+        assert kept.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 500
+    finally:
+        spark.conf.set(threshold, before)
