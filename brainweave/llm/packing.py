@@ -39,7 +39,7 @@ from brainweave.llm import common
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
 #: Words whose ids a task keeps, twice: when there are more, those that were kept but not met again go.
-CACHE = 100_000
+CACHE = 250_000
 #: Characters of texts that are encoded at once (and one text at least): as words they take some twenty times that.
 CHARS = 1 << 19
 #: Ranges that documents and gaps are dealt into, round by round.
@@ -98,9 +98,9 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             else:
                 split.append(WORD.split(x) if OTHER_BLANK.search(x) else x.split(" "))
         new = set().union(*(s[1:] for s in split)).difference(known)
-        again = new.intersection(older)
-        known.update((w, older[w]) for w in again)
-        learn(list(new - again))
+        again = [w for w in new if w in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        learn(list(new.difference(again)))
         firsts = ids_of([s[0] for s in split])
         return [f.tobytes() + b"".join(map(known.__getitem__, s[1:])) for f, s in zip(firsts, split, strict=True)]
 

@@ -102,3 +102,21 @@ def test_ties_repeated_rows_null_ids_empty_table_and_extra_columns(spark):
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length long"), capacity=16).collect()
     assert len(got) == 12 and len({(p.sequence_id, p.offset) for p in got}) == 12
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_that_are_met_again_are_encoded_once(monkeypatch):
+    """220,000 words in portions, twice: some as many as a task of 16 MB has would be encoded again if fewer were kept."""
+    own, size, special = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    seen = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            seen.append(sum(map(len, texts)))
+            return own.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: (Counting(), size, special))
+    encode = packing.encoder("")
+    portions = [[" ".join(["", *(f"w{i}" for i in range(k, k + 20_000))])] for k in range(0, 220_000, 20_000)]
+    first = [encode(p) for p in portions]
+    once = sum(seen)
+    assert [encode(p) for p in portions] == first and sum(seen) == once
