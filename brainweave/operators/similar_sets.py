@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Sets that hold a token for it to count as common, and rows of a token that meet in one task.
 HOT = 1000
+#: Rows or pairs that a task gets, about.
+EACH = 500_000
 
 
 def _salted(left: DataFrame, right: DataFrame, hot: int) -> DataFrame:
@@ -37,12 +39,18 @@ def overlaps(sets: DataFrame, least: int, hot: int = HOT) -> DataFrame:
 
     sets: id, token, n, one row per id and token.
     """
-    spread = sets.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
-    rows = sets.join(spread, "token").select("id", "token", F.col("n").cast("long").alias("n"), "df")
+    spread = lambda of: of.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    light_pairs = F.when(F.col("df") <= hot, F.expr("df * (df - 1) div 2"))
+    size = spread(sets).agg(F.sum("df").alias("rows"), F.sum(light_pairs).alias("pairs")).first()
+    parts = lambda n: max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) // EACH))
+    # dealt out before tokens are counted: the joins by token follow these partitions, which Spark doesn't put together
+    rows = sets.join(spread(sets.select("token").repartition(parts(size["rows"]), "token")), "token").select("id", "token", F.col("n").cast("long").alias("n"), "df")
     light, heavy = rows.filter(F.col("df") <= hot), rows.filter(F.col("df") > hot)
 
     one, two = light.withColumnRenamed("id", "a"), light.select("token", F.col("id").alias("b"), F.col("n").alias("m"))
-    near = one.join(two, "token").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("light"))
+    near = one.join(two, "token").filter("a < b").select("a", "b", (F.col("n") * F.col("m")).alias("light"))
+    # pairs are added up after their shuffle only, as few of them are equal
+    near = near.repartition(parts(size["pairs"]), "a", "b").groupBy("a", "b").agg(F.sum("light").alias("light"))
     a_held, b_held = _held(heavy, "a"), _held(heavy, "b")
     more = F.when(F.col("a_n").isNotNull() & F.col("b_n").isNotNull(), _both(F.col("a_n"), F.col("b_n"))).otherwise(0)
     by_light = near.join(a_held, "a", "left").join(b_held, "b", "left").select("a", "b", (F.col("light") + more).alias("shared"))

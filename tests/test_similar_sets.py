@@ -92,3 +92,13 @@ def test_tasks_that_share_one_word_make_no_pairs(spark):
     assert sorted((r.source_id, r.target_id) for r in got.collect()) == [(300, "t7"), (300, "t8"), (301, "t9")]
     joined = re.findall(r"number of output rows: ([\d,]+)", metrics(spark, got))
     assert max(int(x.replace(",", "")) for x in joined) <= 2000
+
+
+def test_pairs_are_added_up_in_tasks_of_few(spark, monkeypatch):
+    """30 tokens in 40 sets each are 23,400 pairs: with 1,000 for a task they go to 24 partitions, however few the session has."""
+    monkeypatch.setattr(similar_sets, "EACH", 1000, raising=False)
+    rows = [(i, f"t{i % 40 + k * 40 - i % 40}", 1) for i in range(40) for k in range(30)]
+    got = similar_sets.overlaps(spark.createDataFrame(rows, "id int, token string, n int"), 2)
+    assert {(x.a, x.b): x.shared for x in got.collect()} == brute(rows, 2)
+    parts = re.findall(r"RepartitionByExpression \[a#\d+, b#\d+\], (\d+)", got._jdf.queryExecution().optimizedPlan().toString())
+    assert parts and set(parts) == {"24"}
