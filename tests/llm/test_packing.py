@@ -120,3 +120,30 @@ def test_words_that_are_met_again_are_encoded_once(monkeypatch):
     first = [encode(p) for p in portions]
     once = sum(seen)
     assert [encode(p) for p in portions] == first and sum(seen) == once
+
+
+def test_ids_are_the_tokenizers_wherever_pieces_are_cut():
+    r = random.Random(11)
+    odd = [*" \n\t'.,!a1B_é\u00df\u00b2\u2167\u0301\u65e5\u00a0\u3000\x1c\x85\x0b\x00\x01\ufb01\u00aa\u02bc\u01c5\u0660\u00b7\u00d7\u200d", "<|endoftext|>"]
+    texts = ["", "\x00", "\n", "it's 'tis ' s don't--'s x'", "a.\nB", "a.\n\nB", "x" * 300 + ", " + "y" * 300]
+    texts += ["".join(r.choices(odd, [6, 4] + [1] * (len(odd) - 2), k=r.randint(1, 25))) for _ in range(4000)]
+    texts += ["".join(r.choices(" \n'.,!a1é", k=r.randint(1, 30))) for _ in range(4000)]
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    got = [ids for k in range(0, len(texts), 500) for ids in encode(texts[k : k + 500])]
+    assert got == [np.array(ids[:-1], "<u4").tobytes() for ids in reference_ids(texts)]
+
+
+def test_a_word_is_encoded_once_whatever_punctuation_follows(monkeypatch):
+    own, size, special = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    seen = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            seen.append(sum(map(len, texts)))
+            return own.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: (Counting(), size, special))
+    words = [f"word{i}" for i in range(1000)]
+    texts = [after.join(words) for after in (" ", ", ", ". ", "! ", "; ", ".\n", ",\n", "\n")]
+    packing.encoder("")(texts)
+    assert sum(seen) < 3 * len(texts[0])  # each word after a blank and after a line's end, with what stands between
