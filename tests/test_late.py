@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from brainweave.operators import stitch
 from brainweave.sources import sinks
@@ -90,3 +91,104 @@ def test_cut_keeps_entries_of_one_instant_apart():
     got = late.cut(late.in_order(rows), 10)
     assert got[["start", "nth", "end", "n"]].tolist() == [(5, 0, 5, 1), (5, 1, 5, 1), (5, 2, 6, 2)]
     assert len(late.cut(np.zeros(0, late.ROW), 10)) == 0
+
+
+class Kept:
+    """State of one key, and its timers; calls are counted."""
+
+    def __init__(self):
+        self.value, self.pages, self.timers, self.calls = None, {}, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self.called(self.value)
+
+    def update(self, value):
+        self.value = self.called(value)
+
+    def getValue(self, key):
+        return self.called(self.pages[key])
+
+    def updateValue(self, key, value):
+        self.pages[key] = self.called(value)
+
+    def registerTimer(self, ms):
+        self.timers.add(self.called(ms))
+
+    def deleteTimer(self, ms):
+        self.timers.remove(self.called(ms))
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def put(kept, sessions, rows, ms, shown):
+    """A micro-batch of one key: its rows, then its timers; shown is brought up to date as ``latest`` would."""
+    clock = Clock(ms)
+    frames = [pd.DataFrame(rows[i : i + 9], columns=["user_id", "us", "kind", "message_id"]) for i in range(0, len(rows), 9)]
+    found = list(sessions.handleInputRows(("c", 0), iter(frames), clock)) if rows else []
+    for timer in sorted(t for t in kept.timers if t <= ms):
+        found += sessions.handleExpiredTimer(("c", 0), clock, None)
+        kept.timers.discard(timer)
+    for frame in found:
+        for r in frame.itertuples():
+            assert r.version > shown.get("version", 0)
+            shown["version"] = r.version
+            place = (r.user_id, r.start, r.nth)
+            if r.retracted:
+                del shown[place]
+            else:
+                assert shown.get(place) != (r.end, r.messages, r.closed)  # only changes are sent
+                shown[place] = (r.end, r.messages, r.closed)
+
+
+@pytest.mark.parametrize("seed, page, together, portion", [(1, 4, 2, 11), (2, 3, 64, 1000), (3, 8, 1, 5), (4, 2048, 64, 50_000)])
+def test_users_of_a_bucket_are_cut_together_in_pages(monkeypatch, seed, page, together, portion):
+    for name, value in (("PAGE", page), ("TOGETHER", together), ("PORTION", portion)):
+        monkeypatch.setattr(late, name, value)
+    r = random.Random(seed)
+    gap, kept, shown, every = 10, Kept(), {}, []
+    sessions = late.Sessions(gap)
+    sessions.init(kept)
+    for ms in [0, 0, 0, 1, 1, 2, 0, 3, 9]:
+        span = r.choice([30, 400, 4000])
+        rows = [(r.choice([-5, 1, 2, 2]), r.randint(-300, span), r.choices([0, 1, 2], [2, 7, 1])[0], len(every) + i) for i in range(r.choice([0, 1, 40]))]
+        every += rows
+        r.shuffle(rows)
+        put(kept, sessions, rows, ms, shown)
+        want = late.cut(late.in_order(np.array([x for x in every], late.KEYED)), gap)
+        assert {k: v[:2] for k, v in shown.items() if k != "version"} == {(e["user"], e["start"], e["nth"]): (e["end"], e["n"]) for e in want}
+        open_ends = [k for k, v in shown.items() if k != "version" and not v[2]]
+        assert all(shown[k][0] + gap > ms * 1000 for k in open_ends) and len(kept.timers) == bool(open_ends)
+        bounds = late.History(kept, kept, gap).bounds
+        assert (len(bounds) > 1) == (page < 100) or len(every) <= 2 * page
+
+
+def test_pages_are_of_a_size_and_keep_instants_whole(monkeypatch):
+    monkeypatch.setattr(late, "PAGE", 4)
+    rows = late.in_order(np.array([(u, 100 * t, k, t) for u in (1, 2) for t in range(9) for k in (0, 1)] + [(3, 7, 1, i) for i in range(20)], late.KEYED))
+    pages = late.paged(rows, 50)
+    assert (np.concatenate(pages) == rows).all() and [len(p) for p in pages][-1] == 20
+    assert all(len(p) <= 8 for p in pages[:-1])
+    assert all((a["user"][-1], a["us"][-1]) < (b["user"][0], b["us"][0]) for a, b in zip(pages, pages[1:]))
+
+
+def test_calls_to_state_grow_with_pages_not_with_users_or_days():
+    kept = Kept()
+    sessions = late.Sessions(600_000_000)
+    sessions.init(kept)
+    day = 86_400_000_000
+    for late_by in (0, day // 2):
+        rows = [(u, d * day + late_by, late.MESSAGE, d) for u in range(20) for d in range(30)]
+        put(kept, sessions, rows, 0, {})
+    assert kept.calls <= 8
