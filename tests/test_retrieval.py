@@ -152,3 +152,14 @@ def test_cells_share_shelves_and_are_probed_alone(spark, tmp_path, monkeypatch):
             near = sorted((-round(float(unit[i] @ unit[q]), 6), i) for i in unit if of[i] in probed)
             want |= {(q, i) for _, i in near[:3]}
         assert got == want
+
+
+def test_few_event_rows_are_told_apart_by_many_tasks(spark):
+    day = dt.datetime(2024, 1, 1, 9)
+    entries = spark.createDataFrame([(i, day) for i in range(30)], "entry_id int, created_at timestamp")
+    mentions = spark.createDataFrame([(i, "person", f"word{i % 3} blue", None) for i in range(30)], "entry_id int, entity_type string, display_name string, aliases array<string>")
+    events = spark.createDataFrame([(i, f"word{i % 3} ring", day) for i in range(60)], "event_id int, title string, start_at timestamp")
+    links = linker.event_links(entries, mentions, events)
+    assert links.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert {(r.source_id, r.target_id) for r in links.collect()} == {(a, b) for a in range(30) for b in range(60) if a % 3 == b % 3}
+    assert {r.explanation for r in links.collect()} == {f'Extracted entities overlap event title "word{k} ring" by 1/2 token(s)' for k in range(3)}
