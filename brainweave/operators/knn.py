@@ -1,7 +1,7 @@
 """Nearest neighbours with exact semantics: cosine, best first, ties to the smaller id.
 
 The query side is broadcast when its size has been checked; the table side is scanned once, with filters pushed into
-the scan, and never shuffled as a whole: only each partition's best k per query go on.
+the scan, and shuffled as a whole only for many queries, where comparing costs far more: only each partition's best k per query go on.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from brainweave.functions import vector
 
 #: Queries of more bytes than this go in several broadcasts.
 BLOCK = 1 << 24
+#: Queries from which on items are dealt out evenly before they are compared: their files may be few.
+MANY = 5_000
 #: Queries and items of a tile, and pairs that are multiplied one by one at once.
 QUERIES, ITEMS, PAIRS = 512, 2048, 1 << 15
 
@@ -100,7 +102,7 @@ class Best:
         many = near.sum(1, dtype=np.int32) > max(64, size // 8)
         dense = np.flatnonzero(many)
         near[dense] = False
-        row, col = np.nonzero(near)
+        row, col = _where(near)
         score = np.empty(len(row))
         for s in range(0, len(row), PAIRS):
             score[s : s + PAIRS] = tile.pairs(row[s : s + PAIRS], col[s : s + PAIRS])
@@ -144,6 +146,16 @@ class Best:
         return pa.table({"q": pa.array([], query_type), "i": pa.array([], item_type), "similarity": pa.array([], pa.float64())})
 
 
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a mask in which little is set: eight at a time."""
+    flat = np.ascontiguousarray(mask).ravel()
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = np.append((8 * words[:, None] + np.arange(8)).ravel(), np.arange(whole, len(flat)))
+    at = at[flat[at]]
+    return at // mask.shape[1], at % mask.shape[1]
+
+
 def _place(keys: np.ndarray) -> np.ndarray:
     """The place of each row, from 0, among those of its key; rows of a key are next to each other."""
     first = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -176,6 +188,8 @@ def knn_join(items: DataFrame, key: str, embedding: str, queries: DataFrame, que
     blocks = max(1, -(-n * 8 * max(1, size) // BLOCK))
     q_type, i_type = asked.schema["q"].dataType.simpleString(), items.schema[key].dataType.simpleString()
     rows = items.select(F.col(key).alias("i"), F.col(embedding).cast("array<double>").alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
+    if n >= MANY:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "i")
     found = None
     for b in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()

@@ -4,7 +4,7 @@ Topics are joined by a neighbour list (topic, other, similarity), as ``knn.knn_j
 of topics is compared that isn't near. Two topics that have each other in their lists are linked. Clusters come from label propagation: in each round
 a topic takes the label with the largest sum of similarities among its neighbours and itself, the smaller label on a tie; at first it has the
 smaller id of itself and its nearest neighbour, so that two that are nearest to each other don't swap labels for ever. A round is two
-aggregations over links, written to the shared folder, and lists are of bounded length, so a large cluster is no hot key.
+aggregations over links; links and labels are written to the shared folder, and lists are of bounded length, so a large cluster is no hot key.
 """
 
 from __future__ import annotations
@@ -25,9 +25,17 @@ def mutual(neighbours: DataFrame, least: float) -> DataFrame:
     return near.join(back, ["topic", "other"], "left_semi")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    path = sinks.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clusters(topics: DataFrame, links: DataFrame, rounds: int = 10) -> DataFrame:
     """(topic, cluster): labels after so many rounds, or when none changes any more. A topic without links is a cluster of its own."""
     spark = topics.sparkSession
+    links = _stored(links, "links")  # every round reads them, and to find them may be the larger part of the work
     nearest = links.groupBy("topic").agg(F.min_by("other", F.struct((-F.col("similarity")).alias("s"), "other")).alias("_other"))
     labels = topics.select("topic").distinct().join(nearest, "topic", "left").select("topic", F.least("topic", "_other").alias("cluster"))
     for _ in range(rounds):
@@ -35,9 +43,7 @@ def clusters(topics: DataFrame, links: DataFrame, rounds: int = 10) -> DataFrame
         own = labels.select("topic", "cluster", F.lit(OWN).alias("similarity"))
         sums = votes.unionByName(own).groupBy("topic", "cluster").agg(F.round(F.sum("similarity"), 9).alias("s"))
         best = sums.groupBy("topic").agg(F.min_by("cluster", F.struct((-F.col("s")).alias("s"), "cluster")).alias("cluster"))
-        path = sinks.scratch(spark, "labels")
-        best.write.parquet(path)
-        new = spark.read.schema(best.schema).parquet(path)
+        new = _stored(best, "labels")
         same = new.join(labels.select("topic", F.col("cluster").alias("_old")), "topic").filter("cluster != _old").isEmpty()
         labels = new
         if same:

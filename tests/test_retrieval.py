@@ -163,3 +163,23 @@ def test_few_event_rows_are_told_apart_by_many_tasks(spark):
     assert links.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert {(r.source_id, r.target_id) for r in links.collect()} == {(a, b) for a in range(30) for b in range(60) if a % 3 == b % 3}
     assert {r.explanation for r in links.collect()} == {f'Extracted entities overlap event title "word{k} ring" by 1/2 token(s)' for k in range(3)}
+
+
+def test_many_queries_meet_items_in_many_tasks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(90, 5)))]
+    one = spark.createDataFrame(rows, "id int, e array<double>").coalesce(1)
+    asked = one.select(F.col("id").alias("q"), F.col("e").alias("w"))
+    few = knn.knn_join(one, "id", "e", asked, "q", "w", 4).collect()
+    monkeypatch.setattr(knn, "MANY", 50)
+    many = knn.knn_join(one, "id", "e", asked, "q", "w", 4)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i#" in plan and f", {spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few))
+
+
+def test_where_is_nonzero():
+    r = np.random.default_rng(6)
+    for shape in [(1, 1), (3, 5), (8, 8), (7, 33), (0, 4)]:
+        mask = r.random(shape) < 0.2
+        assert all((a == b).all() for a, b in zip(knn._where(mask), np.nonzero(mask)))

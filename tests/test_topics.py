@@ -70,3 +70,17 @@ def test_topics_alone_and_none(spark):
     assert sorted(map(tuple, topics.clusters(df, topics.mutual(none, 0.5)).collect())) == [(1, 1), (2, 2)]
     assert [r.novelty for r in topics.scores(df, topics.clusters(df, none), none, F.lit(dt.datetime(2024, 1, 3))).collect()] == [1.0, 1.0]
     assert topics.clusters(df.limit(0), none).count() == 0
+
+
+def test_links_are_found_once_for_all_rounds(spark):
+    df, near = made(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    links = topics.mutual(near, 0.5)
+    found = topics.clusters(df, links.withColumn("similarity", counted("similarity")), 6)
+    assert found.count() == 61 and seen.value == links.count() > 0
